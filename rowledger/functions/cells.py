@@ -1,14 +1,11 @@
-"""Column expressions on single cells: numbers, key parts, comparison, flags.
+"""Expressions on single cells: numbers, key parts, comparison, flags.
 
-All cells are text. These stay inside the JVM; nothing here is a Python UDF.
+All cells are text. Each function takes and returns SQL expression text, to be used in
+``F.expr`` and inside lambda functions. Nothing here leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The spellings that read as a number.
@@ -17,138 +14,141 @@ KEY_NUMBER = rf"^[+-]?({DIGITS}(\.({DIGITS})?)?|\.{DIGITS})([eE][+-]?{DIGITS})?$
 CELL_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 NOT_A_NUMBER = r"(?i)^[+-]?nan$"
-MAYBE_NUMBER = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
 PLAIN_INTEGER = r"^(0|-?[1-9][0-9]{0,14})$"
+MAYBE_NUMBER = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
 YES_WORDS = ("Y", "YES", "TRUE", "1")
 
 
-def text(c: Column) -> Column:
-    """A null cell is an empty cell."""
-    return F.coalesce(c, F.lit(""))
+def literal(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip(c: Column) -> Column:
-    """Drop white space of every kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def text(c: str) -> str:
+    """A null cell is an empty cell."""
+    return f"coalesce({c}, '')"
+
 
+def strip(c: str) -> str:
+    """Drop white space of every kind at both ends."""
+    return rf"regexp_replace({c}, r'^\s+|\s+$', '')"
 
-def _special(c: Column, otherwise: Column) -> Column:
-    infinity = F.when(c.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+
+def _number(c: str, grammar: str, digits: str) -> str:
     return (
-        F.when(c.rlike(INFINITE), infinity)
-        .when(c.rlike(NOT_A_NUMBER), F.lit(float("nan")))
-        .otherwise(otherwise)
+        f"case when {c} rlike r'{grammar}' then try_cast({digits} as double)"
+        f" when {c} rlike r'{INFINITE}' then if({c} like '-%', double('-inf'), double('inf'))"
+        f" when {c} rlike r'{NOT_A_NUMBER}' then double('nan') end"
     )
 
 
-def key_number(c: Column) -> Column:
+def key_number(c: str) -> str:
     """Number behind a key part, or null: ``1_000`` and surrounding blanks count."""
-    s = F.trim(c)
-    digits = F.when(s.rlike(KEY_NUMBER), F.regexp_replace(s, "_", "").try_cast("double"))
-    return F.when(s.rlike(r"^[+-]?[\d.]"), digits).otherwise(_special(s, F.lit(None).cast("double")))
+    return bind(f"trim({c})", "_txt", _number("_txt", KEY_NUMBER, "replace(_txt, '_', '')"))
 
 
-def cell_number(c: Column) -> Column:
+def cell_number(c: str) -> str:
     """Number behind a compared cell, or null: no underscores, no blanks."""
-    digits = F.when(c.rlike(CELL_NUMBER), c.try_cast("double"))
-    return F.when(c.rlike(r"^[+-]?[\d.]"), digits).otherwise(_special(c, F.lit(None).cast("double")))
+    return _number(c, CELL_NUMBER, c)
 
 
-def _shortest(d: Column) -> Column:
-    """Spark's text of a double, without the surplus digits that older JVMs may print."""
-    s = d.cast("string")
-    n_digits = F.length(F.regexp_replace(F.regexp_replace(s, r"E.*$", ""), r"[-.]|^-?0\.0*", ""))
-    tries = [F.format_string(f"%.{n}e", d) for n in (14, 15, 16)]
-    exact = [F.when(t.try_cast("double") == d, t) for t in tries]
-    return (
-        F.when((F.abs(d) >= 1e16) & (F.abs(d) < 9e18), _whole_exponent(d))
-        .when(n_digits >= 16, F.coalesce(*exact, s))
-        .otherwise(s)
+def _whole_exponent(d: str) -> str:
+    """A large whole number in exponent form, rounded from its exact digits."""
+    whole = f"try_cast(abs({d}) as bigint)"
+    tries = ", ".join(
+        f"if(cast(round({whole}, -{k}) as double) = abs({d}), round({whole}, -{k}), null)" for k in (4, 3, 2, 1)
     )
+    joined = "concat(substr(_digits, 1, 1), '.', substr(_digits, 2), 'E', length(_digits) - 1)"
+    return f"concat(if({d} < 0, '-', ''), {bind(f'cast(coalesce({tries}, {whole}) as string)', '_digits', joined)})"
 
 
-def _whole_exponent(d: Column) -> Column:
-    """A large whole number in exponent form, rounded from its exact digits."""
-    whole = F.abs(d).try_cast("bigint")
-    rounded = [F.round(whole, -k) for k in (4, 3, 2, 1)]
-    digits = F.coalesce(*[F.when(r.cast("double") == F.abs(d), r) for r in rounded], whole).cast("string")
-    sign = F.when(d < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(
-        sign, F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)),
-        F.lit("E"), (F.length(digits) - 1).cast("string"),
+def _shortest(d: str) -> str:
+    """Spark's text of a double, without the surplus digits that older JVMs may print."""
+    n_digits = r"length(regexp_replace(regexp_replace(_plain, r'E.*$', ''), r'[-.]|^-?0\.0*', ''))"
+    tries = ", ".join(
+        f"if(try_cast(format_string('%.{n}e', {d}) as double) = {d}, format_string('%.{n}e', {d}), null)"
+        for n in (14, 15, 16)
+    )
+    checked = f"if({n_digits} >= 16, coalesce({tries}, _plain), _plain)"
+    return (
+        f"if(abs({d}) >= 1e16D and abs({d}) < 9e18D, {_whole_exponent(d)},"
+        f" {bind(f'cast({d} as string)', '_plain', checked)})"
     )
 
 
-def _fixed_point(s: Column) -> Column:
-    plain = s.try_cast("decimal(38,20)").cast("string")
-    digits = F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", ".0")
-    return F.when(s.rlike("[eE]"), digits).otherwise(s)
+def _fixed_point(s: str) -> str:
+    plain = f"cast(try_cast({s} as decimal(38,20)) as string)"
+    digits = rf"regexp_replace(regexp_replace({plain}, r'0+$', ''), r'\.$', '.0')"
+    return f"if({s} rlike '[eE]', {digits}, {s})"
 
 
-def _exponent(s: Column) -> Column:
-    mantissa = F.regexp_replace(F.regexp_extract(s, r"^(-?[\d.]+)[eE]", 1), r"\.?0*$", "")
-    power = F.regexp_extract(s, r"[eE]([+-]?\d+)$", 1).try_cast("int")
-    sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    # lpad would cut three-digit exponents
-    size = F.abs(power).cast("string")
-    return F.concat(mantissa, sign, F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
+def _exponent(s: str) -> str:
+    mantissa = rf"regexp_replace(regexp_extract({s}, r'^(-?[\d.]+)[eE]', 1), r'\.?0*$', '')"
+    power = rf"try_cast(regexp_extract({s}, r'[eE]([+-]?\d+)$', 1) as int)"
+    size = f"cast(abs({power}) as string)"
+    return f"concat({mantissa}, if({power} < 0, 'e-', 'e+'), if(length({size}) < 2, '0', ''), {size})"
 
 
-def number_text(d: Column) -> Column:
+def number_text(d: str) -> str:
     """Canonical text: whole numbers under 1e15 without a fraction, others as shortest text."""
-    size = F.abs(d)
+    wide = f"abs({d}) >= 1e16D or abs({d}) < 1e-4D"
+    fraction = bind(_shortest(d), "_short", f"if({wide}, {_exponent('_short')}, {_fixed_point('_short')})")
     return (
-        F.when(F.isnan(d), F.lit("nan"))
-        .when(d == float("inf"), F.lit("inf"))
-        .when(d == float("-inf"), F.lit("-inf"))
-        .when((d == F.floor(d)) & (size < 1e15), d.cast("bigint").cast("string"))
-        .when((size >= 1e16) | (size < 1e-4), bind(_shortest(d), _exponent))
-        .otherwise(bind(_shortest(d), _fixed_point))
+        f"case when {d} is null then null when isnan({d}) then 'nan'"
+        f" when {d} = double('inf') then 'inf' when {d} = double('-inf') then '-inf'"
+        f" when {d} = floor({d}) and abs({d}) < 1e15D then cast(cast({d} as bigint) as string)"
+        f" else {fraction} end"
     )
 
 
-def normalize_key_part(c: Column) -> Column:
+def normalize_key_part(c: str) -> str:
     """Canonical text of one key cell, so that ``1.10`` and ``1.1`` are one key."""
+    number = bind(key_number(c), "_num", number_text("_num"))
     return (
-        F.when(c.isNull(), F.lit(""))
-        .when(c.rlike(PLAIN_INTEGER) | ~c.rlike(MAYBE_NUMBER), c)
-        .otherwise(bind(key_number(c), lambda d: F.coalesce(number_text(d), c)))
+        f"case when {c} is null then ''"
+        f" when {c} rlike r'{PLAIN_INTEGER}' or not {c} rlike r'{MAYBE_NUMBER}' then {c}"
+        f" else coalesce({number}, {c}) end"
+    )
+
+
+def key_text(cells: str, positions: str) -> str:
+    """Pipe-joined canonical key from the cells at the given positions."""
+    return f"array_join(transform(cells_at, _key -> {normalize_key_part('_key')}), '|')".replace(
+        "cells_at", cells_at(cells, positions)
     )
 
 
-def key_text(parts: Column) -> Column:
-    """Pipe-joined canonical key of an array of raw key cells."""
-    return F.array_join(F.transform(parts, normalize_key_part), "|")
+def cells_at(cells: str, positions: str) -> str:
+    """Cells at the given positions; a position beyond the row is an empty cell."""
+    return f"transform({positions}, _at -> coalesce(get({cells}, _at), ''))"
 
 
-def cells_differ(old: Column, new: Column) -> Column:
+def cells_differ(old: str, new: str) -> str:
     """Different text that is not the same number on both sides."""
     o, n = text(old), text(new)
-    same_number = F.coalesce(cell_number(o) == cell_number(n), F.lit(False))
-    return (o != n) & ~same_number
+    return f"({o} <> {n} and not coalesce({cell_number(o)} = {cell_number(n)}, false))"
 
 
-def value_class(c: Column) -> Column:
+def value_class(c: str) -> str:
     """Text that is equal for two cells exactly when ``cells_differ`` is false."""
-    s = text(c)
-    number = F.concat(F.lit("n:"), (cell_number(s) + F.lit(0.0)).cast("string"))
-    return F.coalesce(number, F.concat(F.lit("t:"), s))
+    return f"coalesce(concat('n:', cast({cell_number(text(c))} + 0.0D as string)), concat('t:', {text(c)}))"
 
 
-def yes(c: Column) -> Column:
+def yes(c: str) -> str:
     """Flag words to boolean; anything else, and null, is false."""
-    return F.coalesce(F.upper(strip(c.cast("string"))).isin(*YES_WORDS), F.lit(False))
+    words = ", ".join(literal(w) for w in YES_WORDS)
+    return f"coalesce(upper({strip(f'cast({c} as string)')}) in ({words}), false)"
 
 
-def cell_text(c: Column, dtype: T.DataType) -> Column:
+def cell_text(c: str, dtype: T.DataType) -> str:
     """Text of a typed column as a table cell."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return text(number_text(c.cast("double")))
+        return text(bind(f"cast({c} as double)", "_num", number_text("_num")))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return text(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
-    return text(c.cast("string"))
+        return text(f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')")
+    return text(f"cast({c} as string)")

@@ -108,8 +108,9 @@ class TableSet:
     def keyed_rows(self) -> DataFrame:
         """Rows with ``key_tuple``, the canonical text of their key cells."""
         keys = self.meta.select(*TABLE_KEY, "n_keys")
-        parts = F.slice("cells", F.lit(1), F.greatest(F.col("n_keys") - 1, F.lit(0)))
-        return self.rows.join(keys, TABLE_KEY).withColumn("key_tuple", key_text(parts)).drop("n_keys")
+        places = "transform(slice(cells, 1, greatest(n_keys - 1, 0)), (_c, i) -> i)"
+        key = F.expr(key_text("cells", places)).alias("key_tuple")
+        return self.rows.join(keys, TABLE_KEY).select(*self.rows.columns, key)
 
     def to_dataframe(self, table_name: str, columns: list[str]) -> DataFrame:
         """One table as an ordinary wide frame of text columns, with its row position."""
@@ -149,7 +150,7 @@ def from_dataframe(
         spark, [(change_request_id, table_name, len(keys) + 1, columns, ".csv", None, None)], META
     )
     line = F.col(order_by) if order_by else F.lit(0)
-    cells = [cell_text(F.col(c), df.schema[c].dataType) for c in columns]
+    cells = [F.expr(cell_text(f"`{c}`", df.schema[c].dataType)) for c in columns]
     rows = df.select(
         F.lit(change_request_id).alias("change_request_id"),
         F.lit(table_name).alias("table_name"),

@@ -18,10 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowledger.functions.cells import cells_differ, key_text, text, value_class
+from rowledger.functions.cells import cells_at, cells_differ, key_text, literal, text, value_class
 from rowledger.model import LOG_COLUMNS, POSITION, TABLE_KEY, TableSet
 from rowledger.operators.pairs import AFTER_ONLY, before_only_warnings, pair_tables, structural_changes
 from rowledger.storage import write_once
@@ -29,7 +29,13 @@ from rowledger.storage import write_once
 ROW_KEY = [*TABLE_KEY, "key_tuple"]
 CELL_KEY = [*ROW_KEY, "column_name"]
 DEFAULT_PAIR_ROWS = 100
+
+# Fixed texts.
 FRESH_NOTE = "Value on newly added column"
+TABLE_ADD_NOTE = "Part of table_add"
+CROWDED_NOTE = "Repeated key: old and new values listed apart"
+
+NO_POSITION = f"cast(null as {POSITION.simpleString()})"
 
 
 @dataclass(frozen=True)
@@ -42,138 +48,111 @@ class Diff:
     errors: DataFrame
 
 
-def _cells_at(cells: Column, positions: Column) -> Column:
-    return F.transform(positions, lambda i: text(F.get(cells, i)))
-
-
-def _sequence(old: Column, new: Column) -> Column:
-    return F.struct(old.alias("old"), new.alias("new"))
-
-
-def _no_position() -> Column:
-    return F.lit(None).cast(POSITION)
+def _sequence(old: str, new: str) -> str:
+    return f"struct({old} as old, {new} as new)"
 
 
 def _prepare(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """Rows of comparable tables with their matching key, key hash and content hashes."""
-    layout = pairs.where("comparable").select(
-        *TABLE_KEY, F.col(f"{side}_key").alias("key_at"), F.col(f"common.{side}").alias("cells_at")
+    layout = pairs.where("comparable").selectExpr(
+        *TABLE_KEY, f"{side}_key as key_places", f"common.{side} as places"
     )
-    keyed = rows.join(layout, TABLE_KEY).withColumn("key_tuple", key_text(_cells_at(F.col("cells"), F.col("key_at"))))
-    content = _cells_at(F.col("cells"), F.col("cells_at"))
-    return keyed.select(
-        *ROW_KEY, "pos", "cells",
-        F.xxhash64(*ROW_KEY).alias("key_hash"),
-        F.xxhash64("key_tuple", content).alias("content_a"),
-        F.hash("key_tuple", content).alias("content_b"),
+    content = cells_at("cells", "places")
+    return (
+        rows.join(layout, TABLE_KEY)
+        .selectExpr(*TABLE_KEY, "pos", "cells", "places", f"{key_text('cells', 'key_places')} as key_tuple")
+        .selectExpr(
+            *ROW_KEY, "pos", "cells", f"xxhash64({', '.join(ROW_KEY)}) as key_hash",
+            f"xxhash64(key_tuple, {content}) as content_a", f"hash(key_tuple, {content}) as content_b",
+        )
     )
 
 
 def changed_keys(before: DataFrame, after: DataFrame, pair_rows: int) -> DataFrame:
     """Key hashes whose rows differ between the sides, and whether the key is crowded."""
     hashes = ["key_hash", "content_a", "content_b"]
-    both = before.select(*hashes, F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
-        after.select(*hashes, F.lit(0).alias("b"), F.lit(1).alias("a"))
-    )
+    both = before.selectExpr(*hashes, "1 as b", "0 as a").unionAll(after.selectExpr(*hashes, "0 as b", "1 as a"))
     profile = both.groupBy("key_hash").agg(
-        F.sum("b").alias("b"), F.sum("a").alias("a"),
-        *(f(h).alias(f"{name}_{h}") for h in hashes[1:] for name, f in (("lo", F.min), ("hi", F.max))),
+        F.expr("sum(b) as b"), F.expr("sum(a) as a"),
+        F.expr("min(content_a) = max(content_a) and min(content_b) = max(content_b) as alike"),
     )
-    same = (F.col("b") > 0) & (F.col("a") > 0)
-    for h in hashes[1:]:
-        same &= F.col(f"lo_{h}") == F.col(f"hi_{h}")
-    return profile.where(~same).select(
-        "key_hash", ((F.col("b") > pair_rows) | (F.col("a") > pair_rows)).alias("crowded")
+    return profile.where("not (b > 0 and a > 0 and alike)").selectExpr(
+        "key_hash", f"b > {pair_rows} or a > {pair_rows} as crowded"
     )
 
 
-def _changes(kind: str, names: Column, old, new, notes: str = "") -> Column:
-    """One struct per listed column."""
-    return F.transform(
-        names,
-        lambda c: F.struct(
-            F.lit(kind).alias("change_type"), c["name"].alias("column_name"),
-            old(c).alias("old_value"), new(c).alias("new_value"), F.lit(notes).alias("notes"),
-        ),
+def _changes(kind: str, columns: str, old: str, new: str, notes: str = "") -> str:
+    """One struct per listed column ``c``."""
+    return (
+        f"transform({columns}, c -> struct('{kind}' as change_type, c.name as column_name,"
+        f" {old} as old_value, {new} as new_value, {literal(notes)} as notes))"
     )
 
 
-def _empty(_c: Column) -> Column:
-    return F.lit("")
-
-
-def _at(cells: str, field: str):
-    return lambda c: text(F.get(F.col(cells), c[field]))
-
-
-def _added_cells(cells: str, notes: str = "") -> Column:
-    columns = F.transform("a_columns", lambda c, i: F.struct(c.alias("name"), i.alias("a")))
-    return _changes("row_add", columns, _empty, _at(cells, "a"), notes)
+def _cell(cells: str, place: str) -> str:
+    return text(f"get({cells}, {place})")
 
 
-def _deleted_cells(cells: str) -> Column:
-    return _changes("row_delete", F.col("kept"), _at(cells, "b"), _empty)
+def _added_cells(cells: str, notes: str = "") -> str:
+    columns = "transform(a_columns, (n, i) -> struct(n as name, i as a))"
+    return _changes("row_add", columns, "''", _cell(cells, "c.a"), notes)
 
 
-def _fresh_cells(cells: str) -> Column:
-    return _changes("value_update", F.col("fresh"), _empty, _at(cells, "a"), FRESH_NOTE)
+def _deleted_cells(cells: str) -> str:
+    return _changes("row_delete", "kept", _cell(cells, "c.b"), "''")
 
 
-def _emit(rows: DataFrame, entries: Column, seq: Column) -> DataFrame:
+def _emit(rows: DataFrame, entries: str, seq: str) -> DataFrame:
     """Explode change structs into log rows."""
     return (
-        rows.select(*ROW_KEY, F.col("nb").alias("n_keys_before"), F.col("na").alias("n_keys_after"),
-                    seq.alias("seq"), F.explode(entries).alias("change"))
-        .select(*ROW_KEY, "n_keys_before", "n_keys_after", "change.*", "seq", F.lit(1).cast("long").alias("copies"))
-        .select(*LOG_COLUMNS, "seq", "copies")
+        rows.selectExpr(
+            *ROW_KEY, "nb as n_keys_before", "na as n_keys_after", f"{seq} as seq", f"explode({entries}) as change"
+        )
+        .select(*ROW_KEY, "n_keys_before", "n_keys_after", "change.*", "seq")
+        .selectExpr(*LOG_COLUMNS, "seq", "1L as copies")
     )
 
 
 def _row_changes(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
     """Added, deleted and updated rows from one full outer join on the key."""
-    b = before.select(*ROW_KEY, F.col("pos").alias("b_pos"), F.col("cells").alias("b_cells"))
-    a = after.select(*ROW_KEY, F.col("pos").alias("a_pos"), F.col("cells").alias("a_cells"))
+    b = before.selectExpr(*ROW_KEY, "pos as b_pos", "cells as b_cells")
+    a = after.selectExpr(*ROW_KEY, "pos as a_pos", "cells as a_cells")
     layout = pairs.where("comparable").select(*TABLE_KEY, "nb", "na", "a_columns", "kept", "common")
-    differing = F.filter(
-        "common", lambda c: cells_differ(F.get(F.col("b_cells"), c["b"]), F.get(F.col("a_cells"), c["a"]))
-    )
+    differing = f"filter(common, c -> {cells_differ('get(b_cells, c.b)', 'get(a_cells, c.a)')})"
+    updates = _changes("value_update", differing, _cell("b_cells", "c.b"), _cell("a_cells", "c.a"))
     entries = (
-        F.when(F.col("b_cells").isNull(), _added_cells("a_cells"))
-        .when(F.col("a_cells").isNull(), _deleted_cells("b_cells"))
-        .otherwise(_changes("value_update", differing, _at("b_cells", "b"), _at("a_cells", "a")))
+        f"case when b_cells is null then {_added_cells('a_cells')}"
+        f" when a_cells is null then {_deleted_cells('b_cells')} else {updates} end"
     )
     joined = b.join(a, ROW_KEY, "full_outer").join(layout, TABLE_KEY)
-    return _emit(joined, entries, _sequence(F.col("b_pos"), F.col("a_pos")))
+    return _emit(joined, entries, _sequence("b_pos", "a_pos"))
 
 
 def _fresh_fills(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
     """New columns of rows that existed before: once per new row, whatever the key repeats."""
-    layout = pairs.where(F.col("comparable") & (F.size("fresh") > 0)).select(*TABLE_KEY, "nb", "na", "fresh")
+    layout = pairs.where("comparable and size(fresh) > 0").select(*TABLE_KEY, "nb", "na", "fresh")
     known = before.join(layout.select(*TABLE_KEY), TABLE_KEY, "left_semi").select(*ROW_KEY).distinct()
     rows = after.join(layout, TABLE_KEY).join(known, ROW_KEY, "left_semi")
-    return _emit(rows, _fresh_cells("cells"), _sequence(_no_position(), F.col("pos")))
+    entries = _changes("value_update", "fresh", "''", _cell("cells", "c.a"), FRESH_NOTE)
+    return _emit(rows, entries, _sequence(NO_POSITION, "pos"))
 
 
 def _new_tables(after: TableSet, pairs: DataFrame) -> DataFrame:
     """All cells of tables that only the new side has."""
-    layout = pairs.where(F.col("kind") == AFTER_ONLY).select(*TABLE_KEY, "nb", "na", "a_columns", "a_key")
-    rows = after.rows.join(layout, TABLE_KEY).withColumn(
-        "key_tuple", key_text(_cells_at(F.col("cells"), F.col("a_key")))
-    )
-    return _emit(rows, _added_cells("cells", "Part of table_add"), _sequence(_no_position(), F.col("pos")))
+    layout = pairs.where(f"kind = '{AFTER_ONLY}'").select(*TABLE_KEY, "nb", "na", "a_columns", "a_key")
+    rows = after.rows.join(layout, TABLE_KEY).selectExpr("*", f"{key_text('cells', 'a_key')} as key_tuple")
+    return _emit(rows, _added_cells("cells", TABLE_ADD_NOTE), _sequence(NO_POSITION, "pos"))
 
 
 def _crowded_rows(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
     """Added and deleted rows of crowded keys: a small list of keys decides, nothing is paired."""
-    sides = before.select(*ROW_KEY, F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
-        after.select(*ROW_KEY, F.lit(0).alias("b"), F.lit(1).alias("a"))
-    )
-    found = sides.groupBy(*ROW_KEY).agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    sides = before.selectExpr(*ROW_KEY, "1 as b", "0 as a").unionAll(after.selectExpr(*ROW_KEY, "0 as b", "1 as a"))
+    found = sides.groupBy(*ROW_KEY).agg({"b": "max", "a": "max"}).selectExpr(*ROW_KEY, "`max(b)` as b", "`max(a)` as a")
     layout = pairs.where("comparable").select(*TABLE_KEY, "nb", "na", "a_columns", "kept")
     added = after.join(found.where("b = 0").select(*ROW_KEY), ROW_KEY, "left_semi").join(layout, TABLE_KEY)
     deleted = before.join(found.where("a = 0").select(*ROW_KEY), ROW_KEY, "left_semi").join(layout, TABLE_KEY)
-    return _emit(added, _added_cells("cells"), _sequence(_no_position(), F.col("pos"))).unionAll(
-        _emit(deleted, _deleted_cells("cells"), _sequence(F.col("pos"), _no_position()))
+    return _emit(added, _added_cells("cells"), _sequence(NO_POSITION, "pos")).unionAll(
+        _emit(deleted, _deleted_cells("cells"), _sequence("pos", NO_POSITION))
     )
 
 
@@ -188,89 +167,89 @@ def _crowded_updates(before: DataFrame, after: DataFrame, pairs: DataFrame) -> D
     layout = pairs.where("comparable").select(*TABLE_KEY, "nb", "na", "common")
 
     def cells(rows: DataFrame, side: str) -> DataFrame:
-        entry = F.transform(
-            "common",
-            lambda c: F.struct(c["name"].alias("column_name"), text(F.get(F.col("cells"), c[side])).alias("value")),
+        entry = f"transform(common, c -> struct(c.name as column_name, {_cell('cells', 'c.' + side)} as value))"
+        return (
+            rows.join(layout, TABLE_KEY).selectExpr(*ROW_KEY, "pos", f"explode({entry}) as cell")
+            .select(*ROW_KEY, "cell.*", "pos")
+            .groupBy(*CELL_KEY, "value").agg(F.expr("count(*) as n"), F.expr("max(pos) as pos"))
+            .selectExpr("*", f"{value_class('value')} as class")
         )
-        flat = rows.join(layout, TABLE_KEY).select(*ROW_KEY, "pos", F.explode(entry).alias("cell"))
-        return flat.select(*ROW_KEY, "cell.*", "pos").groupBy(*CELL_KEY, "value").agg(
-            F.count("*").alias("n"), F.max("pos").alias("pos")
-        ).withColumn("class", value_class(F.col("value")))
-
-    olds, news = cells(before, "b"), cells(after, "a")
 
-    def classes(values: DataFrame, side: str) -> DataFrame:
-        return values.groupBy(*CELL_KEY, "class").agg(F.sum("n").alias(f"n_{side}"), F.max("pos").alias(f"pos_{side}"))
+    def classes(values: DataFrame) -> DataFrame:
+        return values.groupBy(*CELL_KEY, "class").agg(F.expr("sum(n) as alike"), F.expr("max(pos) as pos"))
 
-    def totals(by_class: DataFrame, side: str) -> DataFrame:
-        best = F.struct(F.col(f"pos_{side}").alias("pos"), F.col("class").alias("class"))
-        return by_class.groupBy(*CELL_KEY).agg(F.sum(f"n_{side}").alias("total"), F.max(best).alias("last"))
+    def totals(by_class: DataFrame) -> DataFrame:
+        return by_class.groupBy(*CELL_KEY).agg(
+            F.expr("sum(alike) as total"), F.expr("max(struct(pos, class)) as last")
+        )
 
-    old_classes, new_classes = classes(olds, "b"), classes(news, "a")
-    old_totals, new_totals = totals(old_classes, "b"), totals(new_classes, "a")
+    olds, news = cells(before, "b"), cells(after, "a")
+    old_classes, new_classes = classes(olds), classes(news)
+    old_totals, new_totals = totals(old_classes), totals(new_classes)
     # the last old row outside the class of the very last one
-    runner_up = old_classes.join(old_totals, CELL_KEY).where(F.col("class") != F.col("last.class")).groupBy(
-        *CELL_KEY
-    ).agg(F.max("pos_b").alias("second"))
+    runner_up = old_classes.join(old_totals, CELL_KEY).where("class <> last.class").groupBy(*CELL_KEY).agg(
+        F.expr("max(pos) as second")
+    )
 
-    def partners(values: DataFrame, other_totals: DataFrame, other_classes: DataFrame, side: str) -> DataFrame:
-        alike = other_classes.select(*CELL_KEY, "class", F.col(f"n_{side}").alias("alike"))
+    def with_partners(values: DataFrame, other_totals: DataFrame, other_classes: DataFrame) -> DataFrame:
         return (
-            values.join(other_totals, CELL_KEY).join(alike, [*CELL_KEY, "class"], "left")
-            .withColumn("partners", F.col("total") - F.coalesce("alike", F.lit(0)))
+            values.join(other_totals, CELL_KEY)
+            .join(other_classes.drop("pos"), [*CELL_KEY, "class"], "left")
+            .selectExpr("*", "total - coalesce(alike, 0) as partners")
             .where("partners > 0")
         )
 
-    old_rows = partners(olds, new_totals, new_classes, "a").select(
-        *CELL_KEY, F.col("value").alias("old_value"), F.lit(None).cast("string").alias("new_value"),
-        _sequence(F.col("pos"), _no_position()).alias("seq"), F.lit(0).cast("long").alias("copies"),
+    old_rows = with_partners(olds, new_totals, new_classes).selectExpr(
+        *CELL_KEY, "value as old_value", "cast(null as string) as new_value",
+        f"{_sequence('pos', NO_POSITION)} as seq", "0L as copies",
     )
-    last_old = F.when(F.col("last.class") == F.col("class"), F.col("second")).otherwise(F.col("last.pos"))
-    new_rows = partners(news, old_totals, old_classes, "b").join(runner_up, CELL_KEY, "left").select(
-        *CELL_KEY, F.lit(None).cast("string").alias("old_value"), F.col("value").alias("new_value"),
-        _sequence(last_old, F.col("pos")).alias("seq"), (F.col("n") * F.col("partners")).alias("copies"),
+    last_old = "if(last.class = class, second, last.pos)"
+    new_rows = with_partners(news, old_totals, old_classes).join(runner_up, CELL_KEY, "left").selectExpr(
+        *CELL_KEY, "cast(null as string) as old_value", "value as new_value",
+        f"{_sequence(last_old, 'pos')} as seq", "n * partners as copies",
     )
-    return (
-        old_rows.unionAll(new_rows).join(layout, TABLE_KEY)
-        .select(
-            *TABLE_KEY, F.lit("value_update").alias("change_type"), F.col("nb").alias("n_keys_before"),
-            F.col("na").alias("n_keys_after"), "key_tuple", "column_name", "old_value", "new_value",
-            F.lit("Repeated key: old and new values listed apart").alias("notes"), "seq", "copies",
-        )
+    return old_rows.unionAll(new_rows).join(layout, TABLE_KEY).selectExpr(
+        *TABLE_KEY, "'value_update' as change_type", "nb as n_keys_before", "na as n_keys_after", "key_tuple",
+        "column_name", "old_value", "new_value", f"{literal(CROWDED_NOTE)} as notes", "seq", "copies",
     )
 
 
 def _structural(pairs: DataFrame) -> DataFrame:
-    line = F.struct(F.lit("").alias("part"), F.lit(0).cast("long").alias("block"), F.col("nth").cast("long").alias("line"))
-    return structural_changes(pairs).select(
-        *LOG_COLUMNS, _sequence(_no_position(), line).alias("seq"), F.lit(1).cast("long").alias("copies")
+    line = f"cast(struct('' as part, 0 as block, nth as line) as {POSITION.simpleString()})"
+    return structural_changes(pairs).selectExpr(
+        *LOG_COLUMNS, f"{_sequence(NO_POSITION, line)} as seq", "1L as copies"
     )
 
 
 def diff_tables(
     before: TableSet, after: TableSet, renames: DataFrame, *, pair_rows: int = DEFAULT_PAIR_ROWS
 ) -> Diff:
-    """Compare all tables of two sets, each change request with its own pair of snapshots."""
+    """Compare all tables of two sets, each change request with its own pair of snapshots.
+
+    Two one-row aggregates over written tables decide which branches the plan needs.
+    """
     pairs = write_once(pair_tables(before.meta, after.meta, renames), "pairs")
     b, a = _prepare(before.rows, pairs, "b"), _prepare(after.rows, pairs, "a")
     changed = write_once(changed_keys(b, a, pair_rows), "changed-keys")
-    usual = changed.where("not crowded").select("key_hash")
-    crowded = changed.where("crowded").select("key_hash")
+    new_tables, fresh = pairs.selectExpr(
+        f"max(kind = '{AFTER_ONLY}')", "max(comparable and size(fresh) > 0)"
+    ).first()
+    (crowding,) = changed.selectExpr("max(crowded)").first()
 
-    def keep(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    def keep(rows: DataFrame, condition: str) -> DataFrame:
+        keys = changed.where(condition).select("key_hash")
         return rows.join(keys, "key_hash", "left_semi").select(*ROW_KEY, "pos", "cells")
 
-    b_crowded, a_crowded = keep(b, crowded), keep(a, crowded)
-    parts = [
-        _structural(pairs),
-        _new_tables(after, pairs),
-        _row_changes(keep(b, usual), keep(a, usual), pairs),
-        _fresh_fills(b, a, pairs),
-        _crowded_rows(b_crowded, a_crowded, pairs),
-        _crowded_updates(b_crowded, a_crowded, pairs),
-    ]
-    errors = pairs.where(F.col("comparable") & (F.size("lost_keys") > 0)).select(
-        *TABLE_KEY,
-        F.concat(F.lit("Undeclared rename of key column: "), F.array_join("lost_keys", ", ")).alias("message"),
+    parts = [_structural(pairs), _row_changes(keep(b, "not crowded"), keep(a, "not crowded"), pairs)]
+    if new_tables:
+        parts.append(_new_tables(after, pairs))
+    if fresh:
+        parts.append(_fresh_fills(b, a, pairs))
+    if crowding:
+        b_crowded, a_crowded = keep(b, "crowded"), keep(a, "crowded")
+        parts.append(_crowded_rows(b_crowded, a_crowded, pairs))
+        parts.append(_crowded_updates(b_crowded, a_crowded, pairs))
+    errors = pairs.where("comparable and size(lost_keys) > 0").selectExpr(
+        *TABLE_KEY, "concat('Undeclared rename of key column: ', array_join(lost_keys, ', ')) as message"
     )
     return Diff(pairs, reduce(DataFrame.unionByName, parts), before_only_warnings(pairs), errors)

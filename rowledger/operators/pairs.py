@@ -5,47 +5,36 @@ Works on ``meta`` frames alone: one row per table, columns as arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowledger.functions.cells import literal
 from rowledger.model import LOG_COLUMNS, TABLE_KEY
 
 BOTH, AFTER_ONLY, BEFORE_ONLY = "both", "after_only", "before_only"
+NO_NAMES = "cast(array() as array<string>)"
 
 
 def rename_maps(renames: DataFrame) -> DataFrame:
     """Declared renames per table as a map; a repeated old name keeps its last target."""
-    last = renames.groupBy(*TABLE_KEY, "old_column_name").agg(
-        F.max_by("new_column_name", "sheet_pos").alias("new_column_name"), F.min("sheet_pos").alias("first")
-    )
-    entry = F.struct("first", "old_column_name", "new_column_name")
-    return last.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(entry)).alias("declared")).select(
-        *TABLE_KEY,
-        "declared",
-        F.map_from_arrays("declared.old_column_name", "declared.new_column_name").alias("renames"),
+    return (
+        renames.groupBy(*TABLE_KEY, "old_column_name")
+        .agg(F.expr("min(sheet_pos) as first"), F.expr("max_by(new_column_name, sheet_pos) as new_column_name"))
+        .groupBy(*TABLE_KEY)
+        .agg(F.expr("array_sort(collect_list(struct(first, old_column_name, new_column_name))) as declared"))
+        .selectExpr(
+            *TABLE_KEY, "declared", "map_from_arrays(declared.old_column_name, declared.new_column_name) as renames"
+        )
     )
 
 
-def align(columns: Column, renames: Column) -> Column:
+def aligned(columns: str, renames: str) -> str:
     """Column names as they read after the declared renames."""
-    return F.transform(columns, lambda c: F.coalesce(F.try_element_at(renames, c), c))
-
-
-def _contains(names: Column, c: Column) -> Column:
-    return F.array_contains(names, c)
-
-
-def _index(names: Column, c: Column) -> Column:
-    return (F.array_position(names, c) - 1).cast("int")
+    return f"transform({columns}, c -> coalesce(try_element_at({renames}, c), c))"
 
 
-def _entry(name: Column, b: Column | None = None, a: Column | None = None) -> Column:
-    fields = [name.alias("name")]
-    if b is not None:
-        fields.append(b.alias("b"))
-    if a is not None:
-        fields.append(a.alias("a"))
-    return F.struct(*fields)
+def _place(names: str, c: str) -> str:
+    return f"cast(array_position({names}, {c}) - 1 as int)"
 
 
 def pair_tables(before_meta: DataFrame, after_meta: DataFrame, renames: DataFrame) -> DataFrame:
@@ -54,110 +43,88 @@ def pair_tables(before_meta: DataFrame, after_meta: DataFrame, renames: DataFram
     ``a_key``/``b_key`` are cell positions of the matching key; ``common``, ``kept``, ``fresh``
     list columns with their positions on either side.
     """
-    before = before_meta.select(*TABLE_KEY, F.col("n_keys").alias("nb"), F.col("columns").alias("b_columns"))
-    after = after_meta.select(*TABLE_KEY, F.col("n_keys").alias("na"), F.col("columns").alias("a_columns"))
-    kind = (
-        F.when(F.col("na").isNull(), BEFORE_ONLY).when(F.col("nb").isNull(), AFTER_ONLY).otherwise(BOTH)
-    )
+    before = before_meta.selectExpr(*TABLE_KEY, "n_keys as nb", "columns as b_columns")
+    after = after_meta.selectExpr(*TABLE_KEY, "n_keys as na", "columns as a_columns")
+    own_keys = "slice(a_columns, 1, greatest(na - 1, 0))"
     paired = (
         before.join(after, TABLE_KEY, "full_outer")
         .join(rename_maps(renames), TABLE_KEY, "left")
-        .withColumn("kind", kind)
-        .withColumn("mapped", F.when(F.col("renames").isNull(), F.col("b_columns")).otherwise(
-            align(F.col("b_columns"), F.col("renames"))))
+        .selectExpr(
+            "*",
+            f"case when na is null then '{BEFORE_ONLY}' when nb is null then '{AFTER_ONLY}' else '{BOTH}' end as kind",
+            f"if(renames is null, b_columns, {aligned('b_columns', 'renames')}) as mapped",
+        )
+        .selectExpr(
+            "*",
+            f"if(kind = '{AFTER_ONLY}' or nb = na, {own_keys},"
+            f" filter({own_keys}, c -> array_contains(mapped, c))) as key_names",
+        )
     )
-    mapped, a_columns = F.col("mapped"), F.col("a_columns")
-    own_keys = F.slice(a_columns, F.lit(1), F.greatest(F.col("na") - 1, F.lit(0)))
-    key_names = F.when(
-        (F.col("kind") == AFTER_ONLY) | (F.col("nb") == F.col("na")), own_keys
-    ).otherwise(F.filter(own_keys, lambda c: _contains(mapped, c)))
-    paired = paired.withColumn("key_names", key_names)
-    keys = F.col("key_names")
-    return paired.select(
+    return paired.selectExpr(
         *TABLE_KEY, "kind", "nb", "na", "b_columns", "a_columns", "mapped", "declared", "renames", "key_names",
-        ((F.col("kind") == BOTH) & ((F.col("nb") == F.col("na")) | (F.size(keys) > 0))).alias("comparable"),
-        F.filter(keys, lambda c: (F.col("kind") == BOTH) & ~_contains(mapped, c)).alias("lost_keys"),
-        F.transform(keys, lambda c: _index(mapped, c)).alias("b_key"),
-        F.transform(keys, lambda c: _index(a_columns, c)).alias("a_key"),
-        F.transform(
-            F.filter(a_columns, lambda c: _contains(mapped, c) & ~_contains(keys, c)),
-            lambda c: _entry(c, b=_index(mapped, c), a=_index(a_columns, c)),
-        ).alias("common"),
-        F.transform(
-            F.filter(mapped, lambda c: _contains(a_columns, c)), lambda c: _entry(c, b=_index(mapped, c))
-        ).alias("kept"),
-        F.transform(
-            F.filter(a_columns, lambda c: ~_contains(mapped, c)), lambda c: _entry(c, a=_index(a_columns, c))
-        ).alias("fresh"),
+        f"kind = '{BOTH}' and (nb = na or size(key_names) > 0) as comparable",
+        f"filter(key_names, c -> kind = '{BOTH}' and not array_contains(mapped, c)) as lost_keys",
+        f"transform(key_names, c -> {_place('mapped', 'c')}) as b_key",
+        f"transform(key_names, c -> {_place('a_columns', 'c')}) as a_key",
+        "transform(filter(a_columns, c -> array_contains(mapped, c) and not array_contains(key_names, c)),"
+        f" c -> struct(c as name, {_place('mapped', 'c')} as b, {_place('a_columns', 'c')} as a)) as common",
+        "transform(filter(mapped, c -> array_contains(a_columns, c)),"
+        f" c -> struct(c as name, {_place('mapped', 'c')} as b)) as kept",
+        "transform(filter(a_columns, c -> not array_contains(mapped, c)),"
+        f" c -> struct(c as name, {_place('a_columns', 'c')} as a)) as fresh",
     )
 
 
-def _or_none(names: Column) -> Column:
-    """Tables of one side only have no columns to compare."""
-    return F.coalesce(names, F.array().cast("array<string>"))
-
-
-def added_columns(pairs: DataFrame) -> Column:
+def added_columns() -> str:
     """New columns by name; targets of declared renames are not additions."""
-    targets = F.coalesce(F.map_values("renames"), F.array().cast("array<string>"))
-    fresh = F.array_except("a_columns", "mapped")
-    return _or_none(F.array_sort(F.filter(fresh, lambda c: ~_contains(targets, c))))
+    targets = f"coalesce(map_values(renames), {NO_NAMES})"
+    return f"array_sort(filter(array_except(a_columns, mapped), c -> not array_contains({targets}, c)))"
 
 
-def deleted_columns(pairs: DataFrame) -> Column:
+def deleted_columns() -> str:
     """Old columns that are neither renamed nor present afterwards, by name."""
-    sources = F.coalesce(F.map_keys("renames"), F.array().cast("array<string>"))
-    return _or_none(F.array_sort(F.array_except(F.array_except("b_columns", sources), F.col("a_columns"))))
+    sources = f"coalesce(map_keys(renames), {NO_NAMES})"
+    return f"array_sort(array_except(array_except(b_columns, {sources}), a_columns))"
 
 
 def structural_changes(pairs: DataFrame) -> DataFrame:
     """Log rows that concern whole tables: added tables, key counts, columns."""
-    none, empty = F.lit(None).cast("string"), F.lit("")
 
-    def change(kind, column=empty, old=empty, new=empty, notes=empty):
-        return F.struct(
-            F.lit(kind).alias("change_type"), column.alias("column_name"), old.alias("old_value"),
-            new.alias("new_value"), notes.alias("notes"),
+    def change(kind: str, column: str = "''", old: str = "''", new: str = "''", notes: str = "") -> str:
+        return (
+            f"struct('{kind}' as change_type, {column} as column_name, {old} as old_value,"
+            f" {new} as new_value, {literal(notes)} as notes)"
         )
 
-    def only(condition: Column, entry: Column) -> Column:
-        return F.filter(F.array(entry), lambda _: condition)
-
-    both = F.col("kind") == BOTH
-    no_renames = F.array().cast("array<struct<first:bigint,old_column_name:string,new_column_name:string>>")
-    renames = F.transform(
-        F.coalesce(F.col("declared"), no_renames),
-        lambda r: change(
-            "column_rename", F.concat_ws("->", r.old_column_name, r.new_column_name),
-            F.coalesce(r.old_column_name, none), F.coalesce(r.new_column_name, none),
-            F.lit("Declared in ColumnRenames"),
-        ),
+    key_count = change(
+        "key_count_change", old="cast(nb as string)", new="cast(na as string)", notes="Structural key-count change"
+    )
+    rename = change(
+        "column_rename", "concat(r.old_column_name, '->', r.new_column_name)", "r.old_column_name",
+        "r.new_column_name", "Declared in ColumnRenames",
     )
-    entries = F.concat(
-        only(F.col("kind") == AFTER_ONLY, change("table_add", notes=F.lit("Table only present in after/"))),
-        only(
-            both & (F.col("nb") != F.col("na")),
-            change(
-                "key_count_change", old=F.col("nb").cast("string"), new=F.col("na").cast("string"),
-                notes=F.lit("Structural key-count change"),
-            ),
-        ),
-        F.filter(renames, lambda _: both),
-        F.filter(F.transform(added_columns(pairs), lambda c: change("column_add", c)), lambda _: both),
-        F.filter(F.transform(deleted_columns(pairs), lambda c: change("column_delete", c)), lambda _: both),
+    none = f"filter(array({change('table_add')}), c -> false)"
+    of_pairs = (
+        f"concat(if(nb <> na, array({key_count}), {none}),"
+        f" if(declared is null, {none}, transform(declared, r -> {rename})),"
+        f" transform({added_columns()}, c -> {change('column_add', 'c')}),"
+        f" transform({deleted_columns()}, c -> {change('column_delete', 'c')}))"
     )
+    table_add = f"array({change('table_add', notes='Table only present in after/')})"
     return (
-        pairs.where(F.col("kind") != BEFORE_ONLY)
-        .select(*TABLE_KEY, F.col("nb").alias("n_keys_before"), F.col("na").alias("n_keys_after"),
-                F.posexplode(entries).alias("nth", "change"))
-        .select(*TABLE_KEY, "n_keys_before", "n_keys_after", "change.*", F.lit("").alias("key_tuple"), "nth")
+        pairs.where(f"kind <> '{BEFORE_ONLY}'")
+        .selectExpr(
+            *TABLE_KEY, "nb as n_keys_before", "na as n_keys_after", "'' as key_tuple",
+            f"posexplode(if(kind = '{AFTER_ONLY}', {table_add}, {of_pairs})) as (nth, change)",
+        )
+        .select(*TABLE_KEY, "n_keys_before", "n_keys_after", "key_tuple", "change.*", "nth")
         .select(*LOG_COLUMNS, "nth")
     )
 
 
 def before_only_warnings(pairs: DataFrame) -> DataFrame:
     """Tables that vanished are reported and otherwise left alone."""
-    message = F.format_string(
-        "[%s] Table '%s' exists only in before/ — skipped (no automatic deletes).", *TABLE_KEY
+    text = "[%s] Table '%s' exists only in before/ — skipped (no automatic deletes)."
+    return pairs.where(f"kind = '{BEFORE_ONLY}'").selectExpr(
+        *TABLE_KEY, f"format_string({literal(text)}, change_request_id, table_name) as message"
     )
-    return pairs.where(F.col("kind") == BEFORE_ONLY).select(*TABLE_KEY, message.alias("message"))

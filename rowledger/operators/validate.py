@@ -49,7 +49,7 @@ def log_order(df: DataFrame) -> Column:
 
 def unresolved_conflicts(conflicts: DataFrame, steps: DataFrame) -> DataFrame:
     """Conflicts not marked resolved that involve an approved request."""
-    open_ones = conflicts.where(~yes(F.col("resolved")))
+    open_ones = conflicts.where(~F.expr(yes("resolved")))
     involved = (
         open_ones.select("conflict_type", "table_name", "key_tuple", "column_name", "change_request_ids",
                          F.explode("change_request_ids").alias("change_request_id"))

@@ -15,5 +15,6 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "rowle
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowledger.functions.cells import strip, yes
+from rowledger.functions.cells import strip, text, yes
 from rowledger.model import TABLE_KEY, small_frame
 
 # Column names, in the order used when a header is not recognised.
@@ -52,7 +52,11 @@ def _named(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _word(name: str) -> Column:
-    return strip(F.coalesce(F.col(name), F.lit(""))).alias(name)
+    return F.expr(strip(text(name))).alias(name)
+
+
+def _flag(name: str) -> Column:
+    return F.expr(yes(name)).alias(name)
 
 
 def change_requests(df: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ def change_requests(df: DataFrame) -> DataFrame:
     return _named(df, REQUEST_COLUMNS).select(
         _word("change_request_id"),
         F.coalesce(F.col("order").try_cast("int"), F.lit(0)).alias("order"),
-        yes(F.col("include")).alias("include"),
-        yes(F.col("approved")).alias("approved"),
+        _flag("include"),
+        _flag("approved"),
         F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("notes", F.lit("")).alias("notes"),
         "sheet_pos",
@@ -79,7 +83,7 @@ def column_renames(df: DataFrame) -> DataFrame:
 
 def key_count_approvals(df: DataFrame) -> DataFrame:
     return _named(df, APPROVAL_COLUMNS).select(
-        *(_word(c) for c in TABLE_KEY), yes(F.col("approved")).alias("approved"), "sheet_pos"
+        *(_word(c) for c in TABLE_KEY), _flag("approved"), "sheet_pos"
     ).where("change_request_id <> '' and table_name <> ''")
 
 
