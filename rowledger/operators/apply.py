@@ -8,11 +8,11 @@ That is the order inside a step too: deletes, then updates, then added rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowledger.functions.cells import key_text, text
-from rowledger.model import TableSet, position
+from rowledger.functions.cells import cells_at, key_text, literal, text
+from rowledger.model import POSITION, TableSet
 from rowledger.operators.evolve import evolution
 from rowledger.storage import write_once
 
@@ -21,8 +21,7 @@ ROW = ["table_name", "key_tuple"]
 AFTER_FILES = "\U0010ffff"
 
 
-def _slot_of(name: Column) -> Column:
-    return F.get("name_slots", (F.array_position(F.col("names"), name) - 1).cast("int"))
+SLOT = "get(name_slots, cast(array_position(names, column_name) - 1 as int)) as slot"
 
 
 def row_edits(log: DataFrame, steps: DataFrame) -> DataFrame:
@@ -33,76 +32,61 @@ def row_edits(log: DataFrame, steps: DataFrame) -> DataFrame:
     kept = log.where(F.col("change_type").isin("value_update", "row_delete")).join(layout, ["table_name", "step"])
     updates = (
         kept.where("change_type = 'value_update' and column_name <> '' and new_value is not null")
-        .select("era", *ROW, "step", "seq", "new_value", _slot_of(F.col("column_name")).alias("slot"))
+        .selectExpr("era", *ROW, "step", "seq", "new_value", SLOT)
         .groupBy("era", *ROW, "slot")
-        .agg(F.max_by(F.struct("step", F.col("new_value").alias("value")), F.struct("step", "seq")).alias("edit"))
+        .agg(F.expr("max_by(struct(step, new_value as value), struct(step, seq)) as edit"))
     )
     deletes = kept.where("change_type = 'row_delete'").groupBy("era", *ROW).agg(
-        F.struct(F.max("step").alias("step"), F.lit("").alias("value")).alias("edit")
+        F.expr("-1 as slot"), F.expr("struct(max(step) as step, '' as value) as edit")
     )
-    every = updates.unionByName(deletes.withColumn("slot", F.lit(-1)))
-    update = F.when(F.col("slot") >= 0, F.struct("slot", "edit"))
-    return every.groupBy("era", *ROW).agg(
-        F.map_from_entries(F.collect_list(update)).alias("updates"),
-        F.max(F.when(F.col("slot") < 0, F.col("edit.step"))).alias("delete_step"),
+    return updates.unionByName(deletes).groupBy("era", *ROW).agg(
+        F.expr("map_from_entries(collect_list(struct(slot, edit)) filter (where slot >= 0)) as updates"),
+        F.expr("max(edit.step) filter (where slot < 0) as delete_step"),
     )
 
 
 def added_rows(log: DataFrame, steps: DataFrame) -> DataFrame:
     """Added rows as records: key parts fill the key columns, given cells override them."""
-    layout = steps.where("adds_table or step >= reset_step").where("step >= reset_step")
-    cells = (
+    layout = steps.where("step >= reset_step")
+    records = (
         log.where("change_type = 'row_add' and column_name <> ''")
-        .groupBy(*ROW, "step", "column_name").agg(F.max_by("new_value", "seq").alias("value"))
+        .groupBy(*ROW, "step", "column_name").agg(F.expr("max_by(new_value, seq) as value"))
         .join(layout.select("table_name", "step", "names", "name_slots"), ["table_name", "step"])
-        .select(*ROW, "step", _slot_of(F.col("column_name")).alias("slot"), "value")
-        .groupBy(*ROW, "step").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("given"))
-    )
-    parts = F.when(F.col("key_tuple") == "", F.array().cast("array<string>")).otherwise(
-        F.split("key_tuple", r"\|", -1)
-    )
-    filled = F.when(F.size("parts") == F.size("final_key_slots"), F.col("final_key_slots")).otherwise(
-        F.col("match_slots")
-    )
-
-    def cell(slot: Column) -> Column:
-        place = F.array_position(F.col("filled"), slot).cast("int")
-        part = F.when(~F.col("adds_table") & (place > 0), F.get("parts", place - 1))
-        return F.coalesce(F.try_element_at("given", slot), part, F.lit(""))
-
-    slots = F.transform(F.sequence(F.lit(1), F.col("n_slots")), lambda i: (i - 1).cast("int"))
-    added_position = position(
-        F.concat(F.lit(AFTER_FILES), F.lpad(F.col("step").cast("string"), 9, "0"), F.lit(":"), F.col("key_tuple")),
-        F.lit(0), F.lit(0),
+        .selectExpr(*ROW, "step", SLOT, "value")
+        .groupBy(*ROW, "step").agg(F.expr("map_from_entries(collect_list(struct(slot, value))) as given"))
     )
+    parts = "if(key_tuple = '' or adds_table, cast(array() as array<string>), split(key_tuple, '[|]', -1))"
+    filled = "if(size(parts) = size(final_key_slots), final_key_slots, match_slots)"
+    part = "if(array_contains(filled, i), get(parts, cast(array_position(filled, i) - 1 as int)), null)"
+    place = f"concat({literal(AFTER_FILES)}, lpad(step, 9, '0'), ':', key_tuple)"
     return (
-        cells.join(layout, ["table_name", "step"])
-        .withColumn("parts", parts).withColumn("filled", filled)
-        .select("era", "table_name", "step", added_position.alias("pos"), F.transform(slots, cell).alias("cells"))
+        records.join(layout, ["table_name", "step"])
+        .selectExpr("*", f"{parts} as parts")
+        .selectExpr("*", f"{filled} as filled")
+        .selectExpr(
+            "era", "table_name", "step",
+            f"cast(struct({place} as part, 0 as block, 0 as line) as {POSITION.simpleString()}) as pos",
+            f"transform(sequence(0, n_slots - 1), i -> coalesce(try_element_at(given, i), {part}, '')) as cells",
+        )
     )
 
 
 def _apply_era(rows: DataFrame, edits: DataFrame, steps: DataFrame) -> DataFrame:
     """Rows (with ``step``) of tables in this era, joined once with the era's edits."""
     layout = steps.groupBy("table_name").agg(
-        F.first("match_slots").alias("match_slots"), F.first("n_slots").alias("n_slots")
+        F.expr("first(match_slots) as match_slots"), F.expr("first(n_slots) as n_slots")
     )
-    at_key = F.transform("match_slots", lambda i: text(F.get(F.col("cells"), i)))
-    keyed = rows.join(layout, ["table_name"]).withColumn("key_tuple", key_text(at_key))
-    joined = keyed.join(edits.drop("era"), ROW, "left").where(
-        F.col("delete_step").isNull() | (F.col("delete_step") <= F.col("step"))
+    joined = (
+        rows.join(layout, ["table_name"])
+        .selectExpr("*", f"{key_text('cells', 'match_slots')} as key_tuple")
+        .join(edits.drop("era"), ROW, "left")
+        .where("delete_step is null or delete_step <= step")
     )
-
-    def cell(i: Column) -> Column:
-        edit = F.try_element_at("updates", (i - 1).cast("int"))
-        return F.when(edit["step"] > F.col("step"), edit["value"]).otherwise(
-            text(F.get(F.col("cells"), (i - 1).cast("int")))
-        )
-
-    edited = F.transform(F.sequence(F.lit(1), F.col("n_slots")), cell)
-    return joined.select(
+    edit = "try_element_at(updates, i)"
+    cell = f"if({edit}.step > step, {edit}.value, {text('get(cells, i)')})"
+    return joined.selectExpr(
         "table_name", "step", "pos",
-        F.when(F.col("updates").isNull(), F.col("cells")).otherwise(edited).alias("cells"),
+        f"if(updates is null, cells, transform(sequence(0, n_slots - 1), i -> {cell})) as cells",
     )
 
 
@@ -113,14 +97,12 @@ def apply_changes(production: TableSet, log: DataFrame) -> TableSet:
     place, then added rows by step and key.
     """
     final, steps = evolution(production.meta, log)
-    steps = write_once(steps, "steps")
-    final = write_once(final, "final-layout")
     edits = write_once(row_edits(log, steps), "edits")
     added = write_once(added_rows(log, steps), "added-rows")
     n_eras = (steps.agg(F.max("era")).first()[0] or 0) + 1
 
     touched = production.rows.join(final.select("table_name", "reset_step"), ["table_name"])
-    rows = touched.where("reset_step = 0").select("table_name", F.lit(0).alias("step"), "pos", "cells")
+    rows = touched.where("reset_step = 0").selectExpr("table_name", "0 as step", "pos", "cells")
     for era in range(n_eras):
         steps_now = steps.where(F.col("era") == era)
         rows = rows.unionByName(added.where(F.col("era") == era).drop("era"))
@@ -132,9 +114,8 @@ def apply_changes(production: TableSet, log: DataFrame) -> TableSet:
         if era + 1 < n_eras:
             rows = write_once(rows, "era")
 
-    in_order = F.transform("final_slots", lambda i: text(F.get(F.col("cells"), i)))
-    changed = rows.join(final.select("table_name", "final_slots"), ["table_name"]).select(
-        F.lit("").alias("change_request_id"), "table_name", "pos", in_order.alias("cells")
+    changed = rows.join(final.select("table_name", "final_slots"), ["table_name"]).selectExpr(
+        "'' as change_request_id", "table_name", "pos", f"{cells_at('cells', 'final_slots')} as cells"
     )
     untouched = production.rows.join(final.select("table_name"), ["table_name"], "left_anti")
     return TableSet(
@@ -145,13 +126,10 @@ def apply_changes(production: TableSet, log: DataFrame) -> TableSet:
 
 
 def _final_meta(meta: DataFrame, final: DataFrame) -> DataFrame:
-    replaced = final.select(
-        "table_name", "reset_step", F.col("n_keys").alias("new_keys"), F.col("columns").alias("new_columns")
-    )
-    kept = F.col("reset_step").isNull() | (F.col("reset_step") == 0)
-    return meta.join(replaced, ["table_name"], "full_outer").select(
-        F.lit("").alias("change_request_id"), "table_name",
-        F.coalesce("new_keys", "n_keys").alias("n_keys"), F.coalesce("new_columns", "columns").alias("columns"),
-        F.when(kept, F.coalesce("suffix", F.lit(".csv"))).otherwise(".csv").alias("suffix"),
-        F.when(kept, F.col("encoding")).alias("encoding"), F.when(kept, F.col("source_path")).alias("source_path"),
+    replaced = final.selectExpr("table_name", "reset_step", "n_keys as new_keys", "columns as new_columns")
+    kept = "coalesce(reset_step, 0) = 0"
+    return meta.join(replaced, ["table_name"], "full_outer").selectExpr(
+        "'' as change_request_id", "table_name", "coalesce(new_keys, n_keys) as n_keys",
+        "coalesce(new_columns, columns) as columns", f"if({kept}, coalesce(suffix, '.csv'), '.csv') as suffix",
+        f"if({kept}, encoding, null) as encoding", f"if({kept}, source_path, null) as source_path",
     )

@@ -7,11 +7,13 @@ its own. Row cells can then be addressed by slot through any number of requests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowledger.functions.cells import bind
 from rowledger.storage import write_once
 
+NO_IDS = "cast(array() as array<string>)"
 STRUCTURAL = ("key_count_change", "column_rename", "column_add", "column_delete")
 COLUMN = "struct<name:string,id:string>"
 RECORD = (
@@ -22,108 +24,98 @@ RECORD = (
 
 def step_facts(log: DataFrame) -> DataFrame:
     """Per table and step: structural changes and the columns its rows mention, in log order."""
-    order = F.struct("key_tuple", "column_name", "seq")
-    keys_after = F.col("n_keys_after")
+    order = "struct(key_tuple, column_name, seq)"
     per_column = log.groupBy("table_name", "step", "change_type", "column_name").agg(
-        F.min(order).alias("first"),
-        F.min(F.when(keys_after.isNotNull(), F.struct(order.alias("order"), keys_after.alias("n")))).alias("keys"),
+        F.expr(f"min({order}) as first"),
+        F.expr(f"min(struct({order} as place, n_keys_after as n)) filter (where n_keys_after is not null) as keys"),
     )
-    mentioned = F.struct("first", "column_name")
 
-    def columns_of(kind: str) -> Column:
-        chosen = F.when((F.col("change_type") == kind) & (F.col("column_name") != ""), mentioned)
-        return F.array_sort(F.collect_list(chosen)).getField("column_name")
+    def columns_of(kind: str) -> str:
+        chosen = f"filter (where change_type = '{kind}' and column_name <> '')"
+        return f"array_sort(collect_list(struct(first, column_name)) {chosen}).column_name"
 
     facts = per_column.groupBy("table_name", "step").agg(
-        (F.max((F.col("change_type") == "table_add").cast("int")) == 1).alias("adds_table"),
-        F.min(F.when(F.col("keys").isNotNull(), F.struct("change_type", "keys"))).alias("first_keys"),
-        columns_of("value_update").alias("updated"),
-        columns_of("row_add").alias("inserted"),
+        F.expr("bool_or(change_type = 'table_add') as adds_table"),
+        F.expr("min(struct(change_type, keys)) filter (where keys is not null) as first_keys"),
+        F.expr(f"{columns_of('value_update')} as updated"),
+        F.expr(f"{columns_of('row_add')} as inserted"),
     )
-    change = F.struct(order.alias("order"), "change_type", "column_name", "old_value", "new_value", "n_keys_after")
+    change = f"struct({order} as place, change_type, column_name, old_value, new_value, n_keys_after)"
     structural = (
         log.where(F.col("change_type").isin(*STRUCTURAL)).groupBy("table_name", "step")
-        .agg(F.array_sort(F.collect_list(change)).alias("changes"))
+        .agg(F.expr(f"array_sort(collect_list({change})) as changes"))
     )
-    return facts.join(structural, ["table_name", "step"], "left").withColumn(
-        "new_table_keys", F.col("first_keys.keys.n")
+    return facts.join(structural, ["table_name", "step"], "left").selectExpr(
+        "table_name", "step", "adds_table", "first_keys.keys.n as new_table_keys", "updated", "inserted",
+        "coalesce(changes, array()) as changes",
     )
 
 
-def _ids(columns: Column) -> Column:
-    return F.transform(columns, lambda c: c["id"])
+def _ids(columns: str) -> str:
+    return f"transform({columns}, c -> c.id)"
 
 
-def _names(columns: Column) -> Column:
-    return F.transform(columns, lambda c: c["name"])
+def _names(columns: str) -> str:
+    return f"transform({columns}, c -> c.name)"
 
 
-def _new_column(name: Column, step: Column) -> Column:
-    return F.struct(name.alias("name"), F.concat_ws(":", step.cast("string"), name).alias("id"))
+def _new_column(name: str) -> str:
+    return f"struct({name} as name, concat(s.step, ':', {name}) as id)"
 
 
-def _head(columns: Column, n_keys: Column) -> Column:
-    return _ids(F.slice(columns, F.lit(1), F.greatest(n_keys - 1, F.lit(0))))
+def _head(columns: str, n_keys: str) -> str:
+    return _ids(f"slice({columns}, 1, greatest({n_keys} - 1, 0))")
 
 
-def _with_unknown(columns: Column, names: Column, step: Column) -> Column:
-    fresh = F.array_except(names, _names(columns))
-    return F.concat(columns, F.transform(fresh, lambda c: _new_column(c, step)))
+def _with_unknown(columns: str, names: str) -> str:
+    return f"concat({columns}, transform(array_except({names}, {_names(columns)}), n -> {_new_column('n')}))"
 
 
-def _apply_structure(state: Column, s: Column) -> Column:
-    """State after one step: key count, renames, additions, deletions, then unknown columns."""
-    step = s["step"]
-    counts = F.filter(s["changes"], lambda c: (c["change_type"] == "key_count_change") & c["n_keys_after"].isNotNull())
-    old_keys = state["n_keys"]
-    n_keys = F.coalesce(F.element_at(F.transform(counts, lambda c: c["n_keys_after"]), -1), old_keys)
+def _apply_structure() -> str:
+    """Record after step ``s`` from the ``last`` one.
 
-    def listed(kind: str) -> Column:
-        return F.filter(s["changes"], lambda c: c["change_type"] == kind)
-
-    def rename(columns: Column, r: Column) -> Column:
-        return F.transform(
-            columns,
-            lambda c: F.struct(
-                F.when(c["name"] == r["old_value"], r["new_value"]).otherwise(c["name"]).alias("name"),
-                c["id"].alias("id"),
-            ),
-        )
-
-    def add(columns: Column, r: Column) -> Column:
-        name = r["column_name"]
-        known = (name == "") | F.array_contains(_names(columns), name)
-        column = F.array(_new_column(name, step))
-        # a wider key takes its new columns right behind the old key columns
-        at = F.least(F.greatest(old_keys - 1, F.lit(0)), F.size(columns))
-        inserted = F.concat(
-            F.slice(columns, F.lit(1), at), column, F.slice(columns, at + 1, F.size(columns))
-        )
-        return F.when(known, columns).when(n_keys > old_keys, inserted).otherwise(F.concat(columns, column))
-
-    renamed = F.aggregate(listed("column_rename"), state["columns"], rename)
-    widened = F.aggregate(listed("column_add"), renamed, add)
-    gone = F.transform(listed("column_delete"), lambda c: c["column_name"])
-    structured = F.filter(widened, lambda c: ~F.array_contains(gone, c["name"]))
-    updated = _with_unknown(structured, s["updated"], step)
-    inserted = _with_unknown(updated, s["inserted"], step)
-    touched = F.filter(updated, lambda c: F.array_contains(s["updated"], c["name"]))
-    return F.struct(
-        step.alias("step"), F.lit(False).alias("adds_table"), inserted.alias("columns"), n_keys.alias("n_keys"),
-        _head(structured, old_keys).alias("match_ids"), _head(structured, n_keys).alias("final_ids"),
-        _ids(touched).alias("updated_ids"),
-    ).cast(RECORD)
-
-
-def _new_table(s: Column) -> Column:
-    """State after a step that adds, or replaces, the table."""
-    n_keys = F.coalesce(s["new_table_keys"], F.lit(1))
-    columns = F.transform(s["inserted"], lambda c: _new_column(c, s["step"]))
-    none = F.array().cast("array<string>")
-    return F.struct(
-        s["step"].alias("step"), F.lit(True).alias("adds_table"), columns.alias("columns"), n_keys.alias("n_keys"),
-        _head(columns, n_keys).alias("match_ids"), none.alias("final_ids"), none.alias("updated_ids"),
-    ).cast(RECORD)
+    Key count, renames, additions, deletions, then unknown columns.
+    """
+    n_keys = (
+        "coalesce(try_element_at(transform(filter(s.changes, c -> c.change_type = 'key_count_change'"
+        " and c.n_keys_after is not null), c -> c.n_keys_after), -1), last.n_keys)"
+    )
+    renamed = (
+        f"aggregate(filter(s.changes, c -> c.change_type = 'column_rename'), cast(last.columns as array<{COLUMN}>),"
+        " (acc, r) -> transform(acc, c -> struct(if(c.name = r.old_value, r.new_value, c.name) as name, c.id as id)))"
+    )
+    # a wider key takes its new columns right behind the old key columns
+    at = "least(greatest(last.n_keys - 1, 0), size(acc))"
+    added = f"array({_new_column('r.column_name')})"
+    widened = (
+        f"aggregate(filter(s.changes, c -> c.change_type = 'column_add'), {renamed}, (acc, r) -> case"
+        f" when r.column_name = '' or array_contains({_names('acc')}, r.column_name) then acc"
+        f" when n_keys > last.n_keys then concat(slice(acc, 1, {at}), {added}, slice(acc, {at} + 1, size(acc)))"
+        f" else concat(acc, {added}) end)"
+    )
+    structured = (
+        f"filter({widened}, c -> not exists(s.changes,"
+        " d -> d.change_type = 'column_delete' and d.column_name = c.name))"
+    )
+    record = (
+        f"struct(s.step as step, false as adds_table, {_with_unknown('updated', 's.inserted')} as columns,"
+        f" n_keys as n_keys, {_head('structured', 'last.n_keys')} as match_ids,"
+        f" {_head('structured', 'n_keys')} as final_ids,"
+        f" {_ids('filter(updated, c -> array_contains(s.updated, c.name))')} as updated_ids)"
+    )
+    record = bind(_with_unknown("structured", "s.updated"), "updated", record)
+    record = bind(structured, "structured", record)
+    return bind(n_keys, "n_keys", record)
+
+
+def _new_table() -> str:
+    """Record after step ``s`` that adds, or replaces, the table."""
+    columns = f"transform(s.inserted, n -> {_new_column('n')})"
+    n_keys = "coalesce(s.new_table_keys, 1)"
+    return (
+        f"struct(s.step as step, true as adds_table, {columns} as columns, {n_keys} as n_keys,"
+        f" {_head(columns, n_keys)} as match_ids, {NO_IDS} as final_ids, {NO_IDS} as updated_ids)"
+    )
 
 
 def evolution(meta: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,62 +124,47 @@ def evolution(meta: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     An *era* is a run of steps that match rows on the same key cells. It ends where the key
     columns change, or where a step updates a cell that the next step uses as key.
     """
-    fact = F.struct("step", "adds_table", "new_table_keys", "updated", "inserted",
-                    F.coalesce("changes", F.array()).alias("changes"))
-    facts = step_facts(log).groupBy("table_name").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
-    base = meta.select("table_name", F.col("n_keys").alias("base_keys"), F.col("columns").alias("base_columns"))
-    tables = facts.join(base, ["table_name"], "left")
-    base_columns = F.transform(
-        F.coalesce("base_columns", F.array().cast("array<string>")),
-        lambda c: F.struct(c.alias("name"), F.concat(F.lit("0:"), c).alias("id")),
-    )
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        F.lit(0).alias("step"), F.lit(False).alias("adds_table"), base_columns.alias("columns"),
-        F.coalesce("base_keys", F.lit(1)).alias("n_keys"),
-        none.alias("match_ids"), none.alias("final_ids"), none.alias("updated_ids"),
-    ).cast(RECORD)
-
-    def advance(history: Column, s: Column) -> Column:
-        last = F.element_at(history, -1)
-        return F.concat(history, F.array(F.when(s["adds_table"], _new_table(s)).otherwise(_apply_structure(last, s))))
-
-    tables = tables.withColumn("history", F.aggregate("facts", F.array(start), advance))
-    history = F.col("history")
-
-    def era(eras: Column, i: Column) -> Column:
-        now, before = F.get(history, i), F.get(history, i - 1)
-        same_key = now["match_ids"] == before["match_ids"]
-        moved = F.arrays_overlap(before["updated_ids"], now["match_ids"])
-        last = F.element_at(eras, -1)
-        return F.concat(eras, F.array(F.when((i == 1) | (same_key & ~moved), last).otherwise(last + 1)))
-
-    places = F.sequence(F.lit(1), F.size(history) - 1)
-    slots = F.array_distinct(F.flatten(F.transform(history, lambda h: _ids(h["columns"]))))
-    reset = F.array_max(F.transform(F.filter(history, lambda h: h["adds_table"]), lambda h: h["step"]))
+    fact = "struct(step, adds_table, new_table_keys, updated, inserted, changes)"
+    facts = step_facts(log).groupBy("table_name").agg(F.expr(f"array_sort(collect_list({fact})) as facts"))
+    base = meta.selectExpr("table_name", "n_keys as base_keys", "columns as base_columns")
+    start = (
+        "struct(0 as step, false as adds_table,"
+        f" transform(coalesce(base_columns, {NO_IDS}), n -> struct(n as name, concat('0:', n) as id)) as columns,"
+        f" coalesce(base_keys, 1) as n_keys, {NO_IDS} as match_ids, {NO_IDS} as final_ids, {NO_IDS} as updated_ids)"
+    )
+    advance = bind(
+        "element_at(acc, -1)", "last",
+        f"cast(if(s.adds_table, {_new_table()}, {_apply_structure()}) as {RECORD})",
+    )
+    history = f"aggregate(facts, array(cast({start} as {RECORD})), (acc, s) -> concat(acc, array({advance})))"
+    same_key = "get(history, i).match_ids = get(history, i - 1).match_ids"
+    moved = "arrays_overlap(get(history, i - 1).updated_ids, get(history, i).match_ids)"
+    eras = (
+        "aggregate(sequence(1, size(history) - 1), array(0), (acc, i) -> concat(acc, array("
+        f"element_at(acc, -1) + if(i = 1 or ({same_key} and not {moved}), 0, 1))))"
+    )
+    slots = f"array_distinct(flatten(transform(history, h -> {_ids('h.columns')})))"
+    reset = "coalesce(array_max(transform(filter(history, h -> h.adds_table), h -> h.step)), 0)"
     tables = write_once(
-        tables.select(
-            "table_name", "history", slots.alias("slots"), F.coalesce(reset, F.lit(0)).alias("reset_step"),
-            F.aggregate(places, F.array(F.lit(0)), era).alias("eras"),
-        ),
+        facts.join(base, ["table_name"], "left").selectExpr("table_name", f"{history} as history")
+        .selectExpr("table_name", "history", f"{slots} as slots", f"{reset} as reset_step", f"{eras} as eras"),
         "evolution",
     )
 
-    def slot(ids: Column) -> Column:
-        return F.transform(ids, lambda c: (F.array_position(F.col("slots"), c) - 1).cast("int"))
+    def places(ids: str) -> str:
+        return f"transform({ids}, c -> cast(array_position(slots, c) - 1 as int))"
 
-    last = F.element_at("history", -1)
-    final = tables.select(
-        "table_name", "reset_step", F.size("slots").alias("n_slots"),
-        last["n_keys"].alias("n_keys"), _names(last["columns"]).alias("columns"),
-        slot(_ids(last["columns"])).alias("final_slots"),
+    final = tables.selectExpr(
+        "table_name", "reset_step", "slots", "element_at(history, -1) as last"
+    ).selectExpr(
+        "table_name", "reset_step", "last.n_keys as n_keys", f"{_names('last.columns')} as columns",
+        f"{places(_ids('last.columns'))} as final_slots",
     )
-    steps = tables.select(
-        "table_name", "slots", "reset_step", "eras", F.posexplode("history").alias("place", "h")
-    ).where("place > 0").select(
-        "table_name", "reset_step", F.size("slots").alias("n_slots"), F.get("eras", F.col("place")).alias("era"),
-        "h.step", "h.adds_table", _names(F.col("h.columns")).alias("names"),
-        slot(_ids(F.col("h.columns"))).alias("name_slots"),
-        slot(F.col("h.match_ids")).alias("match_slots"), slot(F.col("h.final_ids")).alias("final_key_slots"),
+    steps = tables.selectExpr(
+        "table_name", "slots", "reset_step", "eras", "posexplode(history) as (place, h)"
+    ).where("place > 0").selectExpr(
+        "table_name", "reset_step", "size(slots) as n_slots", "get(eras, place) as era", "h.step", "h.adds_table",
+        f"{_names('h.columns')} as names", f"{places(_ids('h.columns'))} as name_slots",
+        f"{places('h.match_ids')} as match_slots", f"{places('h.final_ids')} as final_key_slots",
     )
     return final, steps
