@@ -122,9 +122,9 @@ def empty_set(spark: SparkSession) -> TableSet:
     return TableSet(*(small_frame(spark, [], s) for s in (META, ROWS, DUMMIES)))
 
 
-def union_sets(sets: Iterable[TableSet]) -> TableSet:
+def union_sets(spark: SparkSession, sets: Iterable[TableSet]) -> TableSet:
     """All tables of several sets."""
-    sets = list(sets)
+    sets = list(sets) or [empty_set(spark)]
     return TableSet(
         reduce(DataFrame.unionByName, [s.meta for s in sets]),
         reduce(DataFrame.unionByName, [s.rows for s in sets]),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowledger.functions.cells import literal, strip
-from rowledger.model import BODY, DUMMIES, HEADER, LEADING, META, POSITION, ROWS, TRAILING, TableSet, small_frame
+from rowledger.model import BODY, HEADER, LEADING, META, POSITION, TRAILING, TableSet, empty_set, small_frame
 from rowledger.storage import write_once
 
 # File suffixes of tables, and of the parts of a written table.
@@ -223,7 +223,7 @@ def scan_tables(spark: SparkSession, folder: str, path_fields: bool = False) ->
     """Read all table files under a folder in one plan."""
     files = write_once(list_tables(spark, folder, path_fields), "files")
     if files.isEmpty():
-        blank = TableSet(*(small_frame(spark, [], s) for s in (META, ROWS, DUMMIES)))
+        blank = empty_set(spark)
         errors = small_frame(
             spark, [], T.StructType([T.StructField(n, T.StringType()) for n in (*OWNER, "message")])
         )
