@@ -14,7 +14,6 @@ KEY_NUMBER = rf"^[+-]?({DIGITS}(\.({DIGITS})?)?|\.{DIGITS})([eE][+-]?{DIGITS})?$
 CELL_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 NOT_A_NUMBER = r"(?i)^[+-]?nan$"
-PLAIN_INTEGER = r"^(0|-?[1-9][0-9]{0,14})$"
 MAYBE_NUMBER = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
 YES_WORDS = ("Y", "YES", "TRUE", "1")
 
@@ -84,7 +83,7 @@ def _shortest(d: str) -> str:
 def _fixed_point(s: str) -> str:
     plain = f"cast(try_cast({s} as decimal(38,20)) as string)"
     digits = rf"regexp_replace(regexp_replace({plain}, r'0+$', ''), r'\.$', '.0')"
-    return f"if({s} rlike '[eE]', {digits}, {s})"
+    return f"if(contains({s}, 'E') or contains({s}, 'e'), {digits}, {s})"
 
 
 def _exponent(s: str) -> str:
@@ -95,14 +94,19 @@ def _exponent(s: str) -> str:
 
 
 def number_text(d: str) -> str:
-    """Canonical text: whole numbers under 1e15 without a fraction, others as shortest text."""
+    """Canonical text: whole numbers under 1e15 without a fraction, others as shortest text.
+
+    Spark's own text is right for all but very short, very long and very large numbers, and
+    is taken without further work when it is short and has no exponent.
+    """
+    plain = f"cast({d} as string)"
     wide = f"abs({d}) >= 1e16D or abs({d}) < 1e-4D"
     fraction = bind(_shortest(d), "_short", f"if({wide}, {_exponent('_short')}, {_fixed_point('_short')})")
     return (
-        f"case when {d} is null then null when isnan({d}) then 'nan'"
-        f" when {d} = double('inf') then 'inf' when {d} = double('-inf') then '-inf'"
-        f" when {d} = floor({d}) and abs({d}) < 1e15D then cast(cast({d} as bigint) as string)"
-        f" else {fraction} end"
+        f"case when {d} is null then null when {d} = floor({d}) and abs({d}) < 1e15D then"
+        f" cast(cast({d} as bigint) as string)"
+        f" when isnan({d}) then 'nan' when {d} = double('inf') then 'inf' when {d} = double('-inf') then '-inf'"
+        f" when length({plain}) < 17 and not contains({plain}, 'E') then {plain} else {fraction} end"
     )
 
 
@@ -111,8 +115,8 @@ def normalize_key_part(c: str) -> str:
     number = bind(key_number(c), "_num", number_text("_num"))
     return (
         f"case when {c} is null then ''"
-        f" when {c} rlike r'{PLAIN_INTEGER}' or not {c} rlike r'{MAYBE_NUMBER}' then {c}"
-        f" else coalesce({number}, {c}) end"
+        f" when length({c}) <= 15 and cast(try_cast({c} as bigint) as string) = {c} then {c}"
+        f" when not {c} rlike r'{MAYBE_NUMBER}' then {c} else coalesce({number}, {c}) end"
     )
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowledger.functions.cells import cells_at, cells_differ, key_text, literal, text, value_class
@@ -29,6 +29,7 @@ from rowledger.storage import write_once
 ROW_KEY = [*TABLE_KEY, "key_tuple"]
 CELL_KEY = [*ROW_KEY, "column_name"]
 DEFAULT_PAIR_ROWS = 100
+SPELLED_TABLES = 100
 
 # Fixed texts.
 FRESH_NOTE = "Value on newly added column"
@@ -57,13 +58,15 @@ def _prepare(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     layout = pairs.where("comparable").selectExpr(
         *TABLE_KEY, f"{side}_key as key_places", f"common.{side} as places"
     )
-    content = cells_at("cells", "places")
     return (
         rows.join(layout, TABLE_KEY)
-        .selectExpr(*TABLE_KEY, "pos", "cells", "places", f"{key_text('cells', 'key_places')} as key_tuple")
+        .selectExpr(
+            *TABLE_KEY, "pos", "cells", f"{cells_at('cells', 'places')} as content",
+            f"{key_text('cells', 'key_places')} as key_tuple",
+        )
         .selectExpr(
             *ROW_KEY, "pos", "cells", f"xxhash64({', '.join(ROW_KEY)}) as key_hash",
-            f"xxhash64(key_tuple, {content}) as content_a", f"hash(key_tuple, {content}) as content_b",
+            "xxhash64(key_tuple, content) as content_a", "hash(key_tuple, content) as content_b",
         )
     )
 
@@ -137,11 +140,11 @@ def _fresh_fills(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataF
     return _emit(rows, entries, _sequence(NO_POSITION, "pos"))
 
 
-def _new_tables(after: TableSet, pairs: DataFrame) -> DataFrame:
+def _new_tables(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """All cells of tables that only the new side has."""
     layout = pairs.where(f"kind = '{AFTER_ONLY}'").select(*TABLE_KEY, "nb", "na", "a_columns", "a_key")
-    rows = after.rows.join(layout, TABLE_KEY).selectExpr("*", f"{key_text('cells', 'a_key')} as key_tuple")
-    return _emit(rows, _added_cells("cells", TABLE_ADD_NOTE), _sequence(NO_POSITION, "pos"))
+    keyed = rows.join(layout, TABLE_KEY).selectExpr("*", f"{key_text('cells', 'a_key')} as key_tuple")
+    return _emit(keyed, _added_cells("cells", TABLE_ADD_NOTE), _sequence(NO_POSITION, "pos"))
 
 
 def _crowded_rows(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -183,7 +186,7 @@ def _crowded_updates(before: DataFrame, after: DataFrame, pairs: DataFrame) -> D
             F.expr("sum(alike) as total"), F.expr("max(struct(pos, class)) as last")
         )
 
-    olds, news = cells(before, "b"), cells(after, "a")
+    olds, news = write_once(cells(before, "b"), "old-cells"), write_once(cells(after, "a"), "new-cells")
     old_classes, new_classes = classes(olds), classes(news)
     old_totals, new_totals = totals(old_classes), totals(new_classes)
     # the last old row outside the class of the very last one
@@ -221,19 +224,36 @@ def _structural(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _named(pairs: DataFrame, condition: str) -> Column | None:
+    """Filter for the tables that need a branch, or null if none does.
+
+    A short list is spelled out, so that the scans of all other tables are pruned from the
+    branch; a long one is left to the join with the layout.
+    """
+    found = pairs.where(condition).select(*TABLE_KEY).take(SPELLED_TABLES + 1)
+    if not found:
+        return None
+    if len(found) > SPELLED_TABLES:
+        return F.lit(True)
+    return reduce(
+        Column.__or__,
+        ((F.col("change_request_id") == cr) & (F.col("table_name") == table) for cr, table in found),
+    )
+
+
 def diff_tables(
     before: TableSet, after: TableSet, renames: DataFrame, *, pair_rows: int = DEFAULT_PAIR_ROWS
 ) -> Diff:
     """Compare all tables of two sets, each change request with its own pair of snapshots.
 
-    Two one-row aggregates over written tables decide which branches the plan needs.
+    Two short lists of tables and one flag, read from written tables, decide which branches
+    the plan needs.
     """
     pairs = write_once(pair_tables(before.meta, after.meta, renames), "pairs")
     b, a = _prepare(before.rows, pairs, "b"), _prepare(after.rows, pairs, "a")
     changed = write_once(changed_keys(b, a, pair_rows), "changed-keys")
-    new_tables, fresh = pairs.selectExpr(
-        f"max(kind = '{AFTER_ONLY}')", "max(comparable and size(fresh) > 0)"
-    ).first()
+    new_tables = _named(pairs, f"kind = '{AFTER_ONLY}'")
+    fresh = _named(pairs, "comparable and size(fresh) > 0")
     (crowding,) = changed.selectExpr("max(crowded)").first()
 
     def keep(rows: DataFrame, condition: str) -> DataFrame:
@@ -241,10 +261,10 @@ def diff_tables(
         return rows.join(keys, "key_hash", "left_semi").select(*ROW_KEY, "pos", "cells")
 
     parts = [_structural(pairs), _row_changes(keep(b, "not crowded"), keep(a, "not crowded"), pairs)]
-    if new_tables:
-        parts.append(_new_tables(after, pairs))
-    if fresh:
-        parts.append(_fresh_fills(b, a, pairs))
+    if new_tables is not None:
+        parts.append(_new_tables(after.rows.where(new_tables), pairs))
+    if fresh is not None:
+        parts.append(_fresh_fills(b.where(fresh), a.where(fresh), pairs))
     if crowding:
         b_crowded, a_crowded = keep(b, "crowded"), keep(a, "crowded")
         parts.append(_crowded_rows(b_crowded, a_crowded, pairs))
