@@ -447,9 +447,9 @@ SELECT o_orderkey, word, upper(trim(word)) IN ('Y', 'YES', 'TRUE', '1') AS flag
     "control_tables": REQUEST_SHEET,
     "included_requests": f'SELECT change_request_id, "order", sheet_pos FROM ({REQUEST_SHEET}) WHERE include AND approved',
     "declared_renames": """
-SELECT 'CR_' || c_nationkey AS change_request_id, c_mktsegment AS table_name, CAST(count(*) AS INTEGER) AS n_renames,
- arg_min(c_name, c_custkey) AS first_old, arg_min('n' || c_custkey, c_custkey) AS first_new
-FROM customer WHERE c_acctbal >= 0 GROUP BY 1, 2""",
+SELECT 'CR_' || c_nationkey AS change_request_id, c_name AS table_name,
+ CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS INTEGER) AS n_renames, 'balance' AS first_old,
+ CASE WHEN c_acctbal > 5000 THEN 'latest' ELSE 'b' || c_nationkey END AS first_new FROM customer""",
     "key_count_approved": """
 SELECT 'CR_' || c_nationkey AS change_request_id, c_name AS table_name,
  CASE WHEN c_acctbal > 0 THEN c_acctbal > 5000 WHEN n_nationkey <> 7 THEN n_regionkey < 2 ELSE false END AS approved
@@ -564,8 +564,8 @@ UNION ALL SELECT 'customer', 3, 'end of block'""",
     "encoding_fallback": f"""
 SELECT unnest(['utf', 'latin']) AS table_name, unnest(['utf-8-sig', 'cp1252']) AS encoding, CAST(doc_id AS VARCHAR) AS doc_id,
  {CLEAN_BODY} AS body FROM documents""",
-    "discover_prefer_fac": "SELECT 'r' || n_regionkey || '/' || n_name AS table_name, CASE WHEN n_regionkey < 3 THEN '.FAC' ELSE"
-                           " '.csv' END AS suffix FROM nation",
+    "discover_prefer_fac": "SELECT 'r' || s_nationkey || '/' || s_name AS table_name, CASE WHEN s_nationkey < 15 THEN '.FAC'"
+                           " ELSE '.csv' END AS suffix FROM supplier",
     "changelog_roundtrip": with_log(f"SELECT {LOG} FROM log", "orders"),
     "latest_changelog": "SELECT 'Output/ChangeLog_' || event_id AS path FROM events ORDER BY ts DESC, path DESC LIMIT 1",
 }

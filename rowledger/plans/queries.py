@@ -273,11 +273,17 @@ def included_requests_in_order(spark, sf_dir):
 
 @query
 def declared_renames(spark, sf_dir):
-    """Rename sheet with one row per customer and some unusable rows."""
+    """Rename sheet with a few rows per customer's book: unusable ones, and a repeated old name."""
+    rows = (
+        "array(struct('balance' as old, concat('b', c_nationkey) as new),"
+        " struct(lower(c_mktsegment) as old, if(c_acctbal < 0, ' ', concat('s', c_nationkey)) as new),"
+        " struct('balance' as old, if(c_acctbal > 5000, 'latest', '') as new))"
+    )
     sheet = table(spark, sf_dir, "customer").selectExpr(
-        "concat('CR_', c_nationkey) as change_request_id", "concat(' ', c_mktsegment) as table_name",
-        "if(c_acctbal < 0, '', c_name) as old_column_name", "concat('n', c_custkey) as new_column_name",
-        "cast(c_custkey as bigint) as sheet_pos",
+        "c_custkey", "c_nationkey", "c_name", f"posexplode({rows}) as (nth, r)"
+    ).selectExpr(
+        "concat('CR_', c_nationkey) as change_request_id", "concat(' ', c_name) as table_name",
+        "r.old as old_column_name", "r.new as new_column_name", "c_custkey * 3L + nth as sheet_pos",
     )
     return rename_maps(column_renames(sheet)).selectExpr(
         *TABLE_KEY, "size(renames) as n_renames", "declared[0].old_column_name as first_old",
@@ -692,15 +698,14 @@ def encoding_fallback(spark, sf_dir):
 
 @query
 def discover_prefer_fac(spark, sf_dir):
-    """One file per nation as .csv, and for some also as .fac, which wins."""
+    """One file per supplier as .csv, as .FAC, or as both, of which .FAC wins."""
     path = new_path(spark, "listing")
-    nation = table(spark, sf_dir, "nation")
-    for suffix, chosen in ((".csv", "n_regionkey <> 0"), (".FAC", "n_regionkey < 3")):
-        lines = nation.where(chosen).selectExpr(
-            f"concat('r', n_regionkey, '/', n_name, '{suffix}') as table_file",
-            "explode(array('!2,id,name', concat('*,', n_nationkey, ',', n_name))) as value",
+    supplier = table(spark, sf_dir, "supplier")
+    for suffix, chosen in ((".csv", "s_nationkey > 5"), (".FAC", "s_nationkey < 15")):
+        lines = supplier.where(chosen).selectExpr(
+            f"concat('r', s_nationkey, '/', s_name, '{suffix}') as table_file", "'!2,id,name' as value"
         )
-        lines.repartition(1).write.partitionBy("table_file").mode("append").text(path)
+        lines.repartition("table_file").write.partitionBy("table_file").mode("append").text(path)
     return list_tables(spark, path).select("table_name", "suffix")
 
 

@@ -176,8 +176,7 @@ def generate_change_log(spark: SparkSession, control_folder: str, pair_rows: int
     run_id = _run_id(spark, control)
     scan = scan_tables(spark, f"{root}/ChangeRequests", path_fields=True)
     included = request_steps(control.requests)
-    # files of vanished tables are not parsed, so only tables of the new side can fail
-    paired = scan.after.meta.select(*TABLE_KEY)
+    # vanished tables are not compared, so only tables of the new side can fail
     broken = scan.errors.join(included, ["change_request_id"], "left_semi")
     after_files = scan.files.where("side = 'after'").select(*TABLE_KEY)
     broken = broken.join(after_files, TABLE_KEY, "left_semi").take(1)
@@ -199,7 +198,7 @@ def generate_change_log(spark: SparkSession, control_folder: str, pair_rows: int
         control_hashes=_hashes(spark, control_folder), change_requests=included.select("step", "change_request_id"),
         counts=log.agg(F.count_distinct("table_name").alias("tables_affected"), F.coalesce(F.sum("copies"), F.lit(0)).alias("n_change_rows")),
         conflicts=spark.read.parquet(f"{out}/conflicts").agg(F.count("*").alias("n_conflicts")),
-        warnings=spark.read.parquet(f"{out}/warnings").select("message"),
+        warnings=spark.read.parquet(f"{out}/warnings").agg(F.count("*").alias("n_warnings")),
         change_log=content_hash(log.select("change_request_id", "table_name", "change_type", "key_tuple", "column_name", "old_value", "new_value")),
     )
     _write_audit(facts, output, run_id, "generate_changelog", SUCCESS)
@@ -233,11 +232,11 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
     try:
         conflicts = read_conflicts(spark, change_log if not change_log.endswith(".csv") else os.path.dirname(change_log))
         scan = scan_tables(spark, _path(root, control.setting("production_tables_path")))
-        result = integrate(log, conflicts, scan.tables, control, mode)
-        messages, status = result.messages, FAILED
         broken = scan.errors.take(1)
-        if broken and (mode == "validate_only" or result.tables is not None or result.status != FAILED):
+        if broken:
             raise ValueError(broken[0]["message"])
+        result = integrate(log, conflicts, scan.tables, control, mode)
+        messages = result.messages
         if result.tables is not None:
             target = f"{output}/New_Production_Tables"
             write_tables(result.tables, target)

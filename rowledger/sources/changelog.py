@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowledger.functions.cells import strip, text
-from rowledger.model import LOG_COLUMNS, POSITION
-from rowledger.operators.conflicts import flat_conflicts
+from rowledger.model import LOG_COLUMNS, POSITION, small_frame
+from rowledger.operators.conflicts import CONFLICT_COLUMNS, flat_conflicts
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 SEQUENCE = f"struct<old:{POSITION.simpleString()},new:{POSITION.simpleString()}>"
@@ -83,7 +84,15 @@ def parse_conflicts(df: DataFrame) -> DataFrame:
 
 
 def read_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return parse_conflicts(spark.read.options(**CSV_OPTIONS, multiLine=True).csv(f"{folder}/conflicts_csv"))
+    """Conflicts as people left them; a log without a conflict table has none."""
+    try:
+        df = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(f"{folder}/conflicts_csv")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fields = [T.StructField(c, T.StringType()) for c in CONFLICT_COLUMNS]
+        df = small_frame(spark, [], T.StructType(fields))
+    return parse_conflicts(df)
 
 
 def content_hash(df: DataFrame) -> DataFrame:

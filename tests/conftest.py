@@ -10,6 +10,6 @@ from rowledger.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=8, shuffle_partitions=4, app="rowledger-tests")
+    session = local_session(cores=4, shuffle_partitions=2, app="rowledger-tests")
     session.sparkContext.setLogLevel("ERROR")
     return session
