@@ -30,7 +30,8 @@ UNITS = (
 )
 _NUMBER = r"(?<![\p{L}\p{N}\x01])[0-9]+(?:[.,][0-9]+)*"
 _UNIT = rf"({MARK}n[0-9.,]+) ?[ -]?({UNITS})(?![\p{{L}}\p{{N}}])"
-_NAME = r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}'’-]*"
+# title case only: text in capitals has no names
+_NAME = r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}[\p{L}'’-]*"
 _BREAK = r"(?:[^\p{L}\p{N}\x01.,]|[.,](?![0-9]))+"
 
 

@@ -334,7 +334,7 @@ def _scorer(model: Model):
 def with_score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
     """``columns`` of every row of ``docs``, and its toxicity as ``score``; the text is only read."""
     kept = docs.select(*columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double"])
+    schema = kept.schema.add("score", "double")
     return docs.select(F.col("text").alias("__text"), *columns).mapInArrow(_scorer(model), schema)
 
 
