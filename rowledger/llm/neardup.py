@@ -8,9 +8,9 @@ their similarity as chance. Only darts up to a rank that gives each coordinate s
 so the effort follows the text's length plus the signature's, not their product.
 
 Texts of the same words are merged first. Signatures are cut into bands; texts that share a band meet in a bucket.
-A bucket is not multiplied out: a leader is compared with all others, links are joined to classes, and only
-buckets whose members are still in different classes go on, with more leaders each time. Signatures and lengths
-rule out most pairs, an exact comparison of the texts decides the rest.
+A bucket is not multiplied out: one leader is compared with all others and links are joined to classes. Texts in
+buckets whose members are then still in different classes go through an exact join with prefix and length filter,
+which finds every link left between them. Signatures and lengths rule out most pairs, an exact comparison of the texts decides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowledger.llm import tokens as T
@@ -32,7 +32,7 @@ BANDS, ROWS = 30, 5  # a pair at the threshold shares no band with a chance of 7
 COORDINATES = BANDS * ROWS
 # pairs whose signatures agree less are not compared: 4.3 standard deviations below the threshold
 AGREEMENT = SIMILARITY - 4.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
-MORE_LEADERS = 64
+BROADCAST_IDS = 1_000_000
 
 SIGNED = "id long, key_1 long, key_2 long, n long, bands array<long>, marks binary"
 
@@ -203,8 +203,7 @@ def _linked(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similarity: fl
         .select("a", "b", "left", "right").mapInArrow(_agree, "a long, b long")
     )
     pairs = write_once(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = write_once(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = _wanted(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     return (
         pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
@@ -212,6 +211,43 @@ def _linked(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similarity: fl
     )
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, data, at in T.chunks(batch.column(1)):
+            text, element, _ = shingles(data, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[first:last].take(pa.array(text)), pa.array(units(text, element).view(np.int64))], ["id", "unit"])
+
+
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (id, text) for each of ``ids``, written."""
+    ids = write_once(ids.select("id").distinct(), "needed")
+    # ids of 8 bytes go to all tasks while they are few, so that only their texts are shuffled
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return write_once(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes that can be similar, by prefix and length filter.
+
+    With the units of weight ordered by how many texts have them, similar texts share one of the first
+    n - ceil(similarity * n) + 1 of either, so passages that many texts have make no pairs.
+    """
+    found = write_once(_wanted(texts, rest).select("id", "text").mapInArrow(_units, "id long, unit long"), "units")
+    common = found.groupBy("unit").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    # units of one text alone come first in its order and join nothing
+    own = Window.partitionBy("id")
+    ranked = found.join(common, "unit").withColumn("place", F.row_number().over(own.orderBy("seen", "unit"))).withColumn("of", F.count(F.lit(1)).over(own))
+    ranked = ranked.join(rest, "id")
+    length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    prefix = write_once(ranked.where(F.col("place") <= length - (F.col("n") - F.col("of"))).select("unit", "id", "n", "class"), "prefixes")
+    other = prefix.select("unit", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "class")))
+    return prefix.join(other, "unit").where(
+        (F.col("id") > F.col("other_id")) & (F.col("class") != F.col("other_class"))
+        & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
+    ).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``id``, and ``class_id``, the smallest id of its class.
 
@@ -229,32 +265,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     marks = write_once(texts.select("id", "marks").dropDuplicates(["id"]), "marks")
     rows = texts.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket")
-    members = write_once(rows.join(shared, "bucket", "left_semi"), "buckets")
-    classes, leaders = None, 1
-    while True:
-        # leaders: the smallest id of each of so many parts of a bucket
-        part = F.pmod(F.xxhash64("id", F.lit(leaders)), F.lit(leaders))
-        chosen = members.groupBy("bucket", part.alias("part")).agg(F.min("id").alias("leader"))
-        chosen = chosen.join(members.select("bucket", F.col("id").alias("leader"), F.col("n").alias("leader_n"), *([F.col("class").alias("leader_class")] if classes is not None else [])), ["bucket", "leader"])
-        pairs = members.join(chosen, "bucket").where(
-            (F.col("id") != F.col("leader"))
-            & (F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n"))
-        )
-        if classes is not None:
-            pairs = pairs.where(F.col("class") != F.col("leader_class"))
-        pairs = pairs.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-        found = write_once(_linked(pairs, marks, own.select("id", "text"), similarity), "links")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    members = write_once(rows.join(shared.select("bucket", "size"), "bucket"), "shared-buckets")
+    # who meets many others is likely the text that these are copies of, and leads
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    members = write_once(members.drop("size").join(met, "id"), "buckets")
+    near = (F.col("id") != F.col("leader")) & (F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n"))
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("met", -F.col("id"), "n")).alias("top"))
+    leaders = leaders.select("bucket", (-F.col("top.col2")).alias("leader"), F.col("top.n").alias("leader_n"))
+    pairs = members.join(leaders, "bucket").where(near).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
+    own_texts = own.select("id", "text")
+    links = write_once(_linked(pairs.distinct(), marks, own_texts, similarity), "links")
+    classes = components(links)
+    # buckets within one class are done; the texts of all others are joined exactly
+    rest = members.select("bucket", "id", "n").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    open_ = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    rest = write_once(rest.join(open_, "bucket", "left_semi").select("id", "n", "class").distinct(), "open")
+    if not rest.isEmpty():
+        pairs = _prefix_pairs(rest, own_texts, similarity)
+        links = write_once(_linked(pairs, marks, own_texts, similarity), "links")
         # earlier classes go on as their members' links to the smallest id
-        classes = components(found if classes is None else found.union(classes.select("id", "class")))
-        # leaders have been compared with all others; buckets within one class are done
-        rest = members.select("bucket", "id", "n").join(chosen.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        rest = rest.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        open_ = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-        members = write_once(rest.join(open_, "bucket", "left_semi"), "buckets")
-        if members.isEmpty():
-            break
-        leaders *= MORE_LEADERS
+        classes = components(links.union(classes.select("id", "class")))
     of_text = texts.select("key_1", "key_2", "id").join(classes, "id", "left").select("key_1", "key_2", F.coalesce("class", "id").alias("class_id"))
     with_key = signed.select("id", "n", "key_1", "key_2").join(of_text, ["key_1", "key_2"], "left")
     class_id = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id"))
