@@ -14,7 +14,9 @@ KEY_NUMBER = rf"^[+-]?({DIGITS}(\.({DIGITS})?)?|\.{DIGITS})([eE][+-]?{DIGITS})?$
 CELL_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 NOT_A_NUMBER = r"(?i)^[+-]?nan$"
-MAYBE_NUMBER = r"(?i)^\s*[+-]?(\d|\.\d|inf|nan)"
+# White space of every kind, as a character class.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+MAYBE_NUMBER = rf"(?i)^{WHITE}*[+-]?(\d|\.\d|inf|nan)"
 YES_WORDS = ("Y", "YES", "TRUE", "1")
 
 
@@ -35,7 +37,7 @@ def text(c: str) -> str:
 
 def strip(c: str) -> str:
     """Drop white space of every kind at both ends."""
-    return rf"regexp_replace({c}, r'^\s+|\s+$', '')"
+    return f"regexp_replace({c}, r'^{WHITE}+|{WHITE}+$', '')"
 
 
 def _number(c: str, grammar: str, digits: str) -> str:
@@ -48,7 +50,7 @@ def _number(c: str, grammar: str, digits: str) -> str:
 
 def key_number(c: str) -> str:
     """Number behind a key part, or null: ``1_000`` and surrounding blanks count."""
-    return bind(f"trim({c})", "_txt", _number("_txt", KEY_NUMBER, "replace(_txt, '_', '')"))
+    return bind(strip(c), "_txt", _number("_txt", KEY_NUMBER, "replace(_txt, '_', '')"))
 
 
 def cell_number(c: str) -> str:

@@ -20,7 +20,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-FACTS = ("orders", "lineitem")
 
 # Snapshots: (select, key columns). Names in braces are source tables.
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders}"
@@ -84,12 +83,8 @@ _written: dict[tuple, DataFrame] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A source table; a fact table stored in fewer splits than there are cores is spread out."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in FACTS and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A source table as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def source(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:

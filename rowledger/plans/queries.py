@@ -670,7 +670,7 @@ def dummy_lines(spark, sf_dir):
         "case c_mktsegment when 'BUILDING' then concat('about ', c_name, ',,')"
         " when 'FURNITURE' then concat(if(c_nationkey > 12, '*,', ''), c_name, ' ,') else concat('*,', c_custkey, ',x') end as line",
     )
-    end = table(spark, sf_dir, "region").where("r_regionkey = 0")
+    end = spark.range(1)
     around = end.selectExpr("1000000000L as nth", "'!2,id,v' as line").unionByName(
         end.selectExpr("2999999999L as nth", "'end of block' as line"))
     path = _text_file(lines.unionByName(around), new_path(spark, "dummy-files"), "customer.fac")
@@ -685,7 +685,7 @@ def encoding_fallback(spark, sf_dir):
     plain = r"translate(regexp_replace(text, '[^\\x01-\\x7f\\xa0-\\xff]', '?'), ',\n\r\t\u000b\u000c', '      ')"
     clean = rf"regexp_replace({plain}, r'^\s+|\s+$', '')"
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{clean} as body")
-    head = table(spark, sf_dir, "region").where("r_regionkey = 0").selectExpr("-1L as nth", "'!2,doc_id,body' as line")
+    head = spark.range(1).selectExpr("-1L as nth", "'!2,doc_id,body' as line")
     line = "concat('*,', doc_id, ',', body)"
     path = new_path(spark, "encoded-files")
     for name, raw in (("utf.csv", line), ("latin.csv", f"cast(encode({line}, 'ISO-8859-1') as string)")):

@@ -174,6 +174,21 @@ def generate_change_log(spark: SparkSession, control_folder: str, pair_rows: int
     control = read_control(spark, control_folder)
     root, output = _roots(control, control_folder)
     run_id = _run_id(spark, control)
+    try:
+        return _change_log(spark, control, control_folder, root, output, run_id, pair_rows)
+    except Exception as error:
+        facts = _one_row(
+            spark, control_hashes=_hashes(spark, control_folder),
+            change_requests=request_steps(control.requests).select("step", "change_request_id"),
+            error=spark.range(1).select(F.lit(str(error)).alias("message")),
+        )
+        _write_audit(facts, output, run_id, "generate_changelog", FAILED)
+        raise
+
+
+def _change_log(
+    spark: SparkSession, control: Control, control_folder: str, root: str, output: str, run_id: str, pair_rows: int
+) -> str:
     scan = scan_tables(spark, f"{root}/ChangeRequests", path_fields=True)
     included = request_steps(control.requests)
     # vanished tables are not compared, so only tables of the new side can fail
@@ -228,8 +243,9 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
     run_id = _run_id(spark, control)
     out = f"{output}/IntegrationReport_{run_id}"
     status, messages, n_tables = FAILED, message(spark.range(0), "error", F.lit(""), "FAIL"), 0
-    log = read_log(spark, change_log)
+    log = None
     try:
+        log = read_log(spark, change_log)
         conflicts = read_conflicts(spark, change_log if not change_log.endswith(".csv") else os.path.dirname(change_log))
         scan = scan_tables(spark, _path(root, control.setting("production_tables_path")))
         broken = scan.errors.take(1)
@@ -245,7 +261,7 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
             messages = messages.unionByName(_note(spark, "summary", note))
         status = result.status
     except Exception as error:
-        messages = messages.unionByName(message(spark.range(1), "error", F.lit(str(error)[:2000]), "FAIL"))
+        messages = messages.unionByName(message(spark.range(1), "error", F.lit(str(error)), "FAIL"))
         raise
     finally:
         rows = write_once(report(messages, status, mode), "report")
@@ -253,7 +269,8 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
         report_totals(rows, status, mode).write.mode("overwrite").parquet(f"{out}/totals")
         facts = _one_row(
             spark, control_hashes=_hashes(spark, control_folder),
-            change_log=content_hash(log.select("change_request_id", "table_name", "change_type", "key_tuple", "column_name", "old_value", "new_value")),
+            # a log that cannot be read has no hash
+            **({} if log is None else {"change_log": content_hash(log.select("change_request_id", "table_name", "change_type", "key_tuple", "column_name", "old_value", "new_value"))}),
             change_requests=request_steps(control.requests, True).select("step", "change_request_id"),
             counts=report_totals(rows, status, mode).withColumn("tables_affected", F.lit(n_tables)),
         )

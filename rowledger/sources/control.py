@@ -16,13 +16,13 @@ from rowledger.model import TABLE_KEY, small_frame
 REQUEST_COLUMNS = ["change_request_id", "order", "include", "approved", "description", "notes"]
 RENAME_COLUMNS = ["change_request_id", "table_name", "old_column_name", "new_column_name"]
 APPROVAL_COLUMNS = ["change_request_id", "table_name", "approved"]
-CONFIG_HEADS = ("key", "name", "parameter")
 DEFAULTS = {
     "mode": "generate_changelog",
     "production_tables_path": "Production_Tables",
     "output_path": "Output",
     "run_id": "",
 }
+SETTINGS = ("working_root", *DEFAULTS)
 
 
 @dataclass(frozen=True)
@@ -117,17 +117,20 @@ def read_control(spark: SparkSession, folder: str) -> Control:
     def read(name: str, required: bool = False, header: bool = True) -> DataFrame | None:
         try:
             return spark.read.csv(f"{folder}/{name}.csv", header=header, quote='"', escape='"', multiLine=True)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             if required:
                 raise ValueError(f"Control is missing the required table {name}") from None
             return None
 
     settings = read("config", required=True, header=False)
-    # a few settings, read by the driver because they steer the run
-    pairs = [(str(r[0]).strip(), r[1]) for r in settings.take(1000) if r[0] is not None]
-    if pairs and pairs[0][0].lower() in CONFIG_HEADS:
-        pairs = pairs[1:]
-    config = {k: str(v).strip() for k, v in pairs if v is not None}
+    # the settings that exist, read by the driver because they steer the run; of repeated ones the last counts
+    names = [F.lit(name) for name in SETTINGS]
+    key, value = (F.expr(strip(text(f"`{c}`"))) for c in settings.columns[:2])
+    known = settings.select(key.alias("name"), value.alias("value"), F.col(settings.columns[1]).isNotNull().alias("given"), F.monotonically_increasing_id().alias("nth"))
+    last = known.where("given").where(F.col("name").isin(*names)).groupBy("name").agg(F.max_by("value", "nth").alias("value"))
+    config = {r["name"]: r["value"] for r in last.collect()}
     return make_control(
         spark, read("change_requests", required=True), read("column_renames"), read("key_count_approvals"), config
     )

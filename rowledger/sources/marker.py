@@ -148,15 +148,20 @@ class Scan:
 
 
 def _lines(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Raw lines of the chosen files with their positions."""
+    """Raw lines of the chosen files with their positions, read and numbered once.
+
+    Positions depend on how a scan is cut into splits, which changes with the cluster. They are only
+    comparable within one scan, so all that follows works on the written lines.
+    """
     raw = _reader(spark, "text").load(folder).selectExpr(
         "value", "_metadata.file_path as file_path", "_metadata.file_block_start as block",
         "monotonically_increasing_id() as line",
     )
     place = f"cast(struct(part, block, line) as {POSITION.simpleString()}) as pos"
-    return raw.join(files.select("file_path", "change_request_id", "side", "table_name", "part"), ["file_path"]).selectExpr(
+    placed = raw.join(files.select("file_path", "change_request_id", "side", "table_name", "part"), ["file_path"]).selectExpr(
         "change_request_id", "side", "table_name", place, "value", f"{first_cell('value')} as mark"
     )
+    return write_once(placed, "text-lines")
 
 
 OWNER = ["change_request_id", "side", "table_name"]
@@ -165,7 +170,7 @@ OWNER = ["change_request_id", "side", "table_name"]
 def _layout(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Per table: header, end of the block, encoding.
 
-    One scan keeps the few lines that matter: all that are neither data nor blank, and those
+    One pass over the written lines keeps the few that matter: all that are neither data nor blank, and those
     whose bytes tell the encoding.
     """
     plain = "(is_valid_utf8(value) and length(value) = octet_length(value))"
