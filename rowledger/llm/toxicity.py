@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ WIDTH = 24          # bytes of a string's piece, with its two end marks
 STRIDE = 14         # longer strings are cut into overlapping pieces
 LANDMARKS = 192
 ROUNDS = 3
-FIT_TEXTS = 3000    # bound of the labelled sample, texts per class
+FIT_TEXTS = 2000    # bound of the labelled sample, texts per class
 FIT_STRINGS = 6000  # bound of the strings per class and round
 NOTHING = -3.0      # value of a text without any string
 
@@ -83,13 +84,14 @@ def strings(data: np.ndarray, at: np.ndarray) -> Strings:
     owner = np.repeat(np.arange(len(distinct)), pieces)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     offset = number * STRIDE
-    place = (start[owner] + offset)[:, None] + np.arange(-1, WIDTH - 1)
-    inside = np.arange(-1, WIDTH - 1)[None, :]
-    size = np.minimum(length[owner] - offset, WIDTH - 2)[:, None]
-    codes = np.where((inside >= 0) & (inside < size), lowered[place.clip(0, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8)
-    codes[:, 0] = np.where(number == 0, 1, 0)
+    begin, size = start[owner] + offset, np.minimum(length[owner] - offset, WIDTH - 2)
+    codes = np.zeros((len(owner), WIDTH), np.uint8)
+    for i in range(min(WIDTH - 2, int(size.max(initial=0)))):
+        have = np.flatnonzero(size > i)
+        codes[have, i + 1] = lowered[begin[have] + i]
+    codes[:, 0] = number == 0
     ends = np.flatnonzero(number == pieces[owner] - 1)
-    codes[ends, size[ends, 0] + 1] = 2
+    codes[ends, size[ends] + 1] = 2
     if extra:
         more = np.zeros((len(extra), WIDTH), np.uint8)
         for i, (_, letters) in enumerate(extra):
@@ -231,12 +233,14 @@ def first_values(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.nda
     # pairs of string and run, then of text and run, each once
     of_string = np.unique(owner[piece].astype(np.int64) * len(known) + number)
     begins = np.searchsorted(of_string // len(known), np.arange(owner.max() + 2))
-    size = np.diff(begins)[s.string]
-    taken = np.repeat(begins[s.string] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    pairs = np.unique(np.repeat(s.text, size).astype(np.int64) * len(known) + of_string[taken] % len(known))
-    bad = toxic[pairs // len(known)]
-    in_toxic = np.bincount(pairs[bad] % len(known), minlength=len(known))
-    in_clean = np.bincount(pairs[~bad] % len(known), minlength=len(known))
+    in_toxic, in_clean = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    by_text = np.argsort(s.text, kind="stable")
+    cut = np.searchsorted(s.text[by_text], np.arange(len(toxic) + 1))
+    for i in range(len(toxic)):
+        mine = np.unique(s.string[by_text[cut[i] : cut[i + 1]]])
+        size = begins[mine + 1] - begins[mine]
+        taken = np.repeat(begins[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        (in_toxic if toxic[i] else in_clean)[np.unique(of_string[taken] % len(known))] += 1
     # log odds less two standard errors, so that rare runs don't count
     odds = np.log((in_toxic + 1) / (toxic.sum() + 2)) - np.log((in_clean + 1) / ((~toxic).sum() + 2))
     odds -= 2 * np.sqrt(1 / (in_toxic + 1) + 1 / (in_clean + 1))
@@ -284,7 +288,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             marks = np.concatenate([positive[: LANDMARKS * 2 // 3], plain[: LANDMARKS // 3]])
             rows = matrix(s.codes[marks])
             turned = np.ascontiguousarray(rows.T)
-            value, vector = np.linalg.eigh(rows.astype(float) @ rows.T)
+            value, vector = np.linalg.eigh((rows @ rows.T).astype(float))
+            del rows
             good = value > 1e-6 * value.max()
             root = vector[:, good] / np.sqrt(value[good])
         hidden = disguised(s.codes[positive[: FIT_STRINGS // 4]], rng)
@@ -312,13 +317,22 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
     sample = [marked.where(F.col("toxic") > 0), marked.where(F.col("toxic") <= 0)]
     sample = sample[0].orderBy(*order).limit(FIT_TEXTS).unionByName(sample[1].orderBy(*order).limit(FIT_TEXTS))
-    # twice FIT_TEXTS ids at most
+    # twice FIT_TEXTS ids at most; a single task fits, so that the driver holds no texts
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") > 0)
-        .dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).alias("toxic")).toPandas()
+        .dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).alias("toxic"))
     )
-    rows = rows.drop_duplicates().sort_values(["text", "toxic"], kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(bool))
+    found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit_rows, "weights binary, bias double, slope double, offset double").collect()
+    if not found:
+        return fit([], np.zeros(0, bool))
+    weights, *rest = found[0]
+    return Model(np.frombuffer(bytes(weights), np.float32), *rest)
+
+
+def _fit_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows[["text", "toxic"]].drop_duplicates().sort_values(["text", "toxic"], kind="stable")
+    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy(bool))
+    return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
 
 
 def _scorer(model: Model):
