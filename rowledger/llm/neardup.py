@@ -9,8 +9,8 @@ so the effort follows the text's length plus the signature's, not their product.
 
 Texts of the same words are merged first. Signatures are cut into bands; texts that share a band meet in a bucket.
 A bucket is not multiplied out: one leader is compared with all others and links are joined to classes. Texts in
-buckets whose members are then still in different classes go through an exact join with prefix and length filter,
-which finds every link left between them. Signatures and lengths rule out most pairs, an exact comparison of the texts decides.
+buckets whose members are then still in different classes go through an exact join with prefix, length and positional
+filter, which finds every link left between them. Signatures and lengths rule out most pairs, an exact comparison of the texts decides.
 """
 
 from __future__ import annotations
@@ -228,10 +228,11 @@ def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes that can be similar, by prefix and length filter.
+    """Pairs (a, b) of different classes that can be similar, by prefix, length and positional filter.
 
     With the units of weight ordered by how many texts have them, similar texts share one of the first
-    n - ceil(similarity * n) + 1 of either, so passages that many texts have make no pairs.
+    n - ceil(similarity * n) + 1 of either, so passages that many texts have make no pairs. After the first unit that they
+    share, either has only so many units left, which must do for the overlap that is needed.
     """
     found = write_once(_wanted(texts, rest).select("id", "text").mapInArrow(_units, "id long, unit long"), "units")
     common = found.groupBy("unit").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
@@ -240,11 +241,14 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> DataF
     ranked = found.join(common, "unit").withColumn("place", F.row_number().over(own.orderBy("seen", "unit"))).withColumn("of", F.count(F.lit(1)).over(own))
     ranked = ranked.join(rest, "id")
     length = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    prefix = write_once(ranked.where(F.col("place") <= length - (F.col("n") - F.col("of"))).select("unit", "id", "n", "class"), "prefixes")
-    other = prefix.select("unit", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "class")))
+    left = (F.col("of") - F.col("place")).cast("int").alias("left")
+    prefix = write_once(ranked.where(F.col("place") <= length - (F.col("n") - F.col("of"))).select("unit", "id", "n", "class", left), "prefixes")
+    other = prefix.select("unit", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "class", "left")))
+    overlap = similarity / (1 + similarity) * (F.col("n") + F.col("other_n"))
     return prefix.join(other, "unit").where(
         (F.col("id") > F.col("other_id")) & (F.col("class") != F.col("other_class"))
         & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
+        & (1 + F.least("left", "other_left") >= overlap - 1e-6)
     ).select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
 
 
