@@ -14,7 +14,8 @@ CONFLICT_COLUMNS = [
     "conflict_type", "table_name", "key_tuple", "column_name", "change_request_ids", "change_types",
     "old_values", "new_values", "notes", "resolved",
 ]
-LISTED_VALUES = 10_000
+
+COUNTED_VALUES = " distinct values, see conflict_values"
 
 # Fixed texts.
 OVERLAP_NOTE = "Multiple change requests modify the same cell"
@@ -37,13 +38,13 @@ def _no_values() -> Column:
 def overlapping_cells(log: DataFrame) -> DataFrame:
     """Cells touched by two requests or more, equal values included.
 
-    Comparing the least with the greatest request id keeps the state per cell constant.
+    ``repeated`` tells whether a request names the cell more than once: its key repeats then.
     """
     touched = log.where(F.col("change_type").isin(*CELL_TYPES) & (F.col("column_name") != ""))
     return (
-        touched.groupBy(*CELL)
-        .agg(F.min("change_request_id").alias("first"), F.max("change_request_id").alias("last"))
-        .where("first <> last").select(*CELL)
+        touched.groupBy(*CELL, "change_request_id").agg(F.count("*").alias("n"))
+        .groupBy(*CELL).agg(F.count("*").alias("requests"), (F.max("n") > 1).alias("repeated"))
+        .where("requests > 1").select(*CELL, "repeated")
     )
 
 
@@ -55,8 +56,8 @@ def overlap_values(log: DataFrame) -> DataFrame:
         for kind, c in (("cr", "change_request_id"), ("type", "change_type"), ("old", "old_value"), ("new", "new_value"))
     ))
     return (
-        touched.join(overlapping_cells(log), CELL, "left_semi")
-        .select(*CELL, F.explode(facts).alias("fact")).select(*CELL, "fact.*")
+        touched.join(overlapping_cells(log), CELL)
+        .select(*CELL, "repeated", F.explode(facts).alias("fact")).select(*CELL, "repeated", "fact.*")
         .where("value is not null").distinct()
     )
 
@@ -64,25 +65,23 @@ def overlap_values(log: DataFrame) -> DataFrame:
 def cell_overlaps(values: DataFrame) -> DataFrame:
     """One conflict per overlapping cell, with its values as sorted lists.
 
-    Only a crowded repeated key can have more than ``LISTED_VALUES`` texts in one cell; its
-    texts stay in the long form, and the lists of the conflict row are null.
+    The lists of a unique key are as short as the list of requests. Those of a repeated key
+    have no bound: its texts stay in the long form, and the conflict says how many there are.
     """
-    sizes = values.groupBy(*CELL).agg(F.count("*").alias("n"))
-    long_cells = sizes.where(F.col("n") > LISTED_VALUES).select(*CELL)
-    bounded = values.where(F.col("kind").isin("cr", "type")).unionByName(
-        values.where(F.col("kind").isin("old", "new")).join(long_cells, CELL, "left_anti")
-    )
 
     def listed(kind: str) -> Column:
-        chosen = F.when(F.col("kind") == kind, F.col("value"))
-        return F.array_sort(F.collect_list(chosen))
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
-    def values_or_null(kind: str) -> Column:
-        return F.when(F.size(listed(kind)) > 0, listed(kind))
+    def texts(kind: str) -> Column:
+        number = F.count(F.when(F.col("kind") == kind, True))
+        short = F.collect_list(F.when((F.col("kind") == kind) & ~F.col("repeated"), F.col("value")))
+        return F.when(
+            F.col("repeated"), F.array(F.concat(number.cast("string"), F.lit(COUNTED_VALUES)))
+        ).otherwise(F.array_sort(short))
 
-    return bounded.groupBy(*CELL).agg(
+    return values.groupBy(*CELL, "repeated").agg(
         listed("cr").alias("change_request_ids"), listed("type").alias("change_types"),
-        values_or_null("old").alias("old_values"), values_or_null("new").alias("new_values"),
+        texts("old").alias("old_values"), texts("new").alias("new_values"),
     ).select(
         F.lit("cell_overlap").alias("conflict_type"), *CELL, "change_request_ids", "change_types",
         "old_values", "new_values", F.lit(OVERLAP_NOTE).alias("notes"), F.lit("N").alias("resolved"),

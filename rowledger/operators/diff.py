@@ -8,9 +8,9 @@ The comparison goes in two steps so that unchanged rows are never shuffled whole
    different row contents under one key agree.
 2. Rows of those keys are joined on their real key, and the changed cells are exploded.
 
-Keys are expected to identify a row but need not. Repeated keys pair every old with every
-new row. A key with more than ``pair_rows`` rows on one side is kept out of that join, whose
-output would grow with the product; see ``_crowded_updates``.
+Keys are expected to identify a row but need not. A key that is unique on both sides is paired.
+A key that repeats on a side stands for every old row meeting every new one; these pairs are
+counted and never formed, however few they are, see ``_crowded_updates``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from rowledger.storage import write_once
 
 ROW_KEY = [*TABLE_KEY, "key_tuple"]
 CELL_KEY = [*ROW_KEY, "column_name"]
-DEFAULT_PAIR_ROWS = 100
 SPELLED_TABLES = 100
 
 # Fixed texts.
@@ -71,8 +70,8 @@ def _prepare(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     )
 
 
-def changed_keys(before: DataFrame, after: DataFrame, pair_rows: int) -> DataFrame:
-    """Key hashes whose rows differ between the sides, and whether the key is crowded."""
+def changed_keys(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Key hashes whose rows differ between the sides, and whether the key repeats on one."""
     hashes = ["key_hash", "content_a", "content_b"]
     both = before.selectExpr(*hashes, "1 as b", "0 as a").unionAll(after.selectExpr(*hashes, "0 as b", "1 as a"))
     profile = both.groupBy("key_hash").agg(
@@ -80,7 +79,7 @@ def changed_keys(before: DataFrame, after: DataFrame, pair_rows: int) -> DataFra
         F.expr("min(content_a) = max(content_a) and min(content_b) = max(content_b) as alike"),
     )
     return profile.where("not (b > 0 and a > 0 and alike)").selectExpr(
-        "key_hash", f"b > {pair_rows} or a > {pair_rows} as crowded"
+        "key_hash", "b > 1 or a > 1 as crowded"
     )
 
 
@@ -148,7 +147,7 @@ def _new_tables(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _crowded_rows(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Added and deleted rows of crowded keys: a small list of keys decides, nothing is paired."""
+    """Added and deleted rows of repeated keys: a small list of keys decides, nothing is paired."""
     sides = before.selectExpr(*ROW_KEY, "1 as b", "0 as a").unionAll(after.selectExpr(*ROW_KEY, "0 as b", "1 as a"))
     found = sides.groupBy(*ROW_KEY).agg({"b": "max", "a": "max"}).selectExpr(*ROW_KEY, "`max(b)` as b", "`max(a)` as a")
     layout = pairs.where("comparable").select(*TABLE_KEY, "nb", "na", "a_columns", "kept")
@@ -160,7 +159,7 @@ def _crowded_rows(before: DataFrame, after: DataFrame, pairs: DataFrame) -> Data
 
 
 def _crowded_updates(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Updates of crowded keys without forming the pairs.
+    """Updates of repeated keys without forming the pairs.
 
     A pair differs when the two cells fall into different value classes, so the pairs of one
     cell need only be counted. Each old and each new text that takes part in a differing pair
@@ -241,9 +240,7 @@ def _named(pairs: DataFrame, condition: str) -> Column | None:
     )
 
 
-def diff_tables(
-    before: TableSet, after: TableSet, renames: DataFrame, *, pair_rows: int = DEFAULT_PAIR_ROWS
-) -> Diff:
+def diff_tables(before: TableSet, after: TableSet, renames: DataFrame) -> Diff:
     """Compare all tables of two sets, each change request with its own pair of snapshots.
 
     Two short lists of tables and one flag, read from written tables, decide which branches
@@ -251,7 +248,7 @@ def diff_tables(
     """
     pairs = write_once(pair_tables(before.meta, after.meta, renames), "pairs")
     b, a = _prepare(before.rows, pairs, "b"), _prepare(after.rows, pairs, "a")
-    changed = write_once(changed_keys(b, a, pair_rows), "changed-keys")
+    changed = write_once(changed_keys(b, a), "changed-keys")
     new_tables = _named(pairs, f"kind = '{AFTER_ONLY}'")
     fresh = _named(pairs, "comparable and size(fresh) > 0")
     (crowding,) = changed.selectExpr("max(crowded)").first()

@@ -20,8 +20,6 @@ ROW = ["table_name", "key_tuple"]
 CELL = [*ROW, "column_name"]
 ROW_TYPES = ("row_add", "row_delete", "value_update")
 STRUCTURAL_TYPES = ("column_add", "column_delete", "column_rename", "key_count_change", "table_add")
-# Longest list of updates shown in one cell; the full list stays in the change log.
-SHOWN_UPDATES = 10_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +104,11 @@ def _seeds(before: TableSet, after: TableSet, pairs: DataFrame, steps: DataFrame
 
 
 def _cells(seeds: DataFrame, log: DataFrame) -> DataFrame:
-    """Displayed cells: listed updates, else the last added or deleted value, else the seed."""
+    """Displayed cells: updates, else the last added or deleted value, else the seed.
+
+    A unique key has one update per cell and request, and these are listed. A repeated key may
+    have any number: it shows how many, and the change log lists them.
+    """
     rows = log.where(F.col("change_type").isin("row_add", "row_delete") & (F.col("key_tuple") != "")).selectExpr(
         *CELL, "struct(1 as source, step, if(change_type = 'row_delete', 1, 0) as kind) as place",
         "if(change_type = 'row_delete', old_value, new_value) as value", "seq",
@@ -115,31 +117,26 @@ def _cells(seeds: DataFrame, log: DataFrame) -> DataFrame:
     shown = seeds.unionByName(last).groupBy(*CELL).agg(F.expr("max_by(value, place) as value"))
     updates = (
         log.where("change_type = 'value_update' and key_tuple <> '' and column_name <> ''")
-        .groupBy(*CELL).agg(F.expr("sum(copies) as n_updates"))
-    )
-    listed = (
-        log.where("change_type = 'value_update' and key_tuple <> '' and column_name <> ''")
-        .join(updates.where(f"n_updates <= {SHOWN_UPDATES}"), CELL, "left_semi")
         .selectExpr(
-            *CELL, "change_request_id", "step", "seq",
-            "concat(coalesce(old_value, '*'), ' -> ', coalesce(new_value, '*')) as change", "copies",
+            *CELL, "change_request_id", "step", "copies",
+            "concat(coalesce(old_value, ''), ' -> ', coalesce(new_value, '')) as change",
+        )
+        .groupBy(*CELL, "step", "change_request_id")
+        .agg(F.expr("count(*) as n"), F.expr("sum(copies) as copies"), F.expr("min(change) as change"))
+        .groupBy(*CELL).agg(
+            F.expr("max(n) > 1 as repeated"), F.expr("sum(copies) as n_updates"),
+            F.expr("array_sort(collect_list(struct(step, change, change_request_id))) as updates"),
         )
-        .groupBy(*CELL).agg(F.expr(
-            "array_sort(collect_list(struct(step, seq, change, change_request_id, copies))) as updates"))
-    )
-    return (
-        shown.join(updates, CELL, "full_outer").join(listed, CELL, "left")
-        .selectExpr(*CELL, "value", "updates", "n_updates")
     )
+    return shown.join(updates, CELL, "full_outer").selectExpr(*CELL, "value", "repeated", "updates", "n_updates")
 
 
 def display_cell() -> str:
     """``old -> new`` per update, tagged with the request where several touch the table."""
     one = "if(multi_cr, concat(u.change, ' [', u.change_request_id, ']'), u.change)"
-    texts = f"flatten(transform(updates, u -> array_repeat({one}, cast(greatest(u.copies, 1) as int))))"
     return (
-        f"case when updates is not null then array_join({texts}, ' | ')"
-        " when n_updates is not null then concat(n_updates, ' updates, see change log')"
+        "case when repeated then concat(n_updates, ' updates, see change log')"
+        f" when updates is not null then array_join(transform(updates, u -> {one}), ' | ')"
         " else coalesce(value, '') end"
     )
 

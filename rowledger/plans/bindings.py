@@ -121,10 +121,10 @@ def steps(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t(change_request_id, description, step)")
 
 
-def diff(spark: SparkSession, sf_dir: str, only: str | None = None, **options) -> Diff:
+def diff(spark: SparkSession, sf_dir: str, only: str | None = None) -> Diff:
     renames = control(spark).renames
     return diff_tables(
-        snapshots(spark, sf_dir, BEFORE, only), snapshots(spark, sf_dir, AFTER, only), renames, **options
+        snapshots(spark, sf_dir, BEFORE, only), snapshots(spark, sf_dir, AFTER, only), renames
     )
 
 

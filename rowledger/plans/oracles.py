@@ -345,17 +345,26 @@ TWO_KEYS = ["l_orderkey", "l_linenumber"]
 
 
 def two_key_log(keys: list[str]) -> str:
-    """Lineitem log under a key that repeats: all pairs of old and new cells, with counts."""
+    """Lineitem log under a key that repeats: pairs of unique keys, counted old and new cells of the others."""
     before = long_form("CR_A", "lineitem", B.LINEITEM, keys, "lineitem")
     after = long_form("CR_A", "lineitem", B.LINEITEM_A, keys, "lineitem")
+    cls = "coalesce('n' || TRY_CAST(val AS DOUBLE), 't' || val) AS cls"
+    free = f"col NOT IN ({', '.join(repr(k) for k in keys)})"
     return f"""
 b AS ({before}), a AS ({after}), bk AS (SELECT DISTINCT k FROM b), ak AS (SELECT DISTINCT k FROM a),
-bv AS (SELECT k, col, val, count(*) AS n FROM b GROUP BY ALL), av AS (SELECT k, col, val, count(*) AS n FROM a GROUP BY ALL),
+bv AS (SELECT k, col, val, {cls}, count(*) AS n FROM b GROUP BY ALL),
+av AS (SELECT k, col, val, {cls}, count(*) AS n FROM a GROUP BY ALL),
+bc AS (SELECT k, col, cls, sum(n) AS n FROM bv GROUP BY ALL), ac AS (SELECT k, col, cls, sum(n) AS n FROM av GROUP BY ALL),
+bt AS (SELECT k, col, sum(n) AS n FROM bv GROUP BY ALL), tot AS (SELECT k, col, sum(n) AS n FROM av GROUP BY ALL),
 l AS (SELECT 'row_add' AS change_type, k AS key_tuple, col AS column_name, '' AS old_value, val AS new_value, n AS copies
  FROM av WHERE k NOT IN (SELECT k FROM bk)
 UNION ALL SELECT 'row_delete', k, col, val, '', n FROM bv WHERE k NOT IN (SELECT k FROM ak)
-UNION ALL SELECT 'value_update', k, col, b.val, a.val, b.n * a.n FROM bv b JOIN av a USING (k, col)
- WHERE {DIFFERENT} AND col NOT IN ({", ".join(f"'{k}'" for k in keys)}))"""
+UNION ALL SELECT 'value_update', k, col, b.val, a.val, 1 FROM bv b JOIN av a USING (k, col)
+ JOIN bt USING (k, col) JOIN tot USING (k, col) WHERE bt.n = 1 AND tot.n = 1 AND {DIFFERENT} AND {free}
+UNION ALL SELECT 'value_update', k, col, val, NULL, 0 FROM bv JOIN bt USING (k, col) JOIN tot USING (k, col)
+ LEFT JOIN ac USING (k, col, cls) WHERE (bt.n > 1 OR tot.n > 1) AND tot.n > coalesce(ac.n, 0) AND {free}
+UNION ALL SELECT 'value_update', k, col, NULL, val, av.n * (bt.n - coalesce(bc.n, 0)) FROM av JOIN bt USING (k, col)
+ JOIN tot USING (k, col) LEFT JOIN bc USING (k, col, cls) WHERE (bt.n > 1 OR tot.n > 1) AND bt.n > coalesce(bc.n, 0) AND {free})"""
 
 
 def crowded_log(key: str) -> str:

@@ -100,7 +100,7 @@ def diff_lineitem(spark, sf_dir):
 
 @query
 def diff_repeated_keys(spark, sf_dir):
-    """Lineitem under a two-column key that repeats: every old row meets every new one."""
+    """Lineitem under a two-column key: unique keys are paired, pairs of repeated ones counted."""
     keys = ["l_orderkey", "l_linenumber"]
     before = from_dataframe(B.source(spark, sf_dir, B.LINEITEM), "lineitem", keys, change_request_id="CR_A")
     after = from_dataframe(B.source(spark, sf_dir, B.LINEITEM_A), "lineitem", keys, change_request_id="CR_A")

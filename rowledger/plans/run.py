@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rowledger.model import TABLE_KEY, TableSet
 from rowledger.operators.apply import apply_changes
 from rowledger.operators.conflicts import Conflicts, detect_conflicts
-from rowledger.operators.diff import DEFAULT_PAIR_ROWS, Diff, diff_tables
+from rowledger.operators.diff import Diff, diff_tables
 from rowledger.operators.review import Review, build_review
 from rowledger.operators.summary import summarize
 from rowledger.operators.validate import approved_log, conflict_messages, message, unresolved_conflicts, validate
@@ -48,15 +48,13 @@ class Integration:
     tables: TableSet | None
 
 
-def compare(
-    before: TableSet, after: TableSet, control: Control, pair_rows: int = DEFAULT_PAIR_ROWS
-) -> ChangeLog:
+def compare(before: TableSet, after: TableSet, control: Control) -> ChangeLog:
     """Stage 1 on table sets: change log, conflicts, summary, review, warnings."""
     spark = before.spark
     steps = write_once(request_steps(control.requests), "steps")
     before = _of_requests(before, steps)
     after = _of_requests(after, steps)
-    diff = diff_tables(before, after, control.renames, pair_rows=pair_rows)
+    diff = diff_tables(before, after, control.renames)
     failed = diff.errors.take(1)
     if failed:
         raise ValueError(f"{failed[0]['table_name']}: {failed[0]['message']}")
@@ -165,7 +163,7 @@ def _hashes(spark: SparkSession, control_folder: str) -> DataFrame:
     return file_hashes(spark, control_folder + "/*.csv")
 
 
-def generate_change_log(spark: SparkSession, control_folder: str, pair_rows: int = DEFAULT_PAIR_ROWS) -> str:
+def generate_change_log(spark: SparkSession, control_folder: str) -> str:
     """Stage 1. Compares ``ChangeRequests/<id>/before`` and ``after`` of every included request.
 
     Returns the folder ``ChangeLog_<run id>`` with ``log``, ``detail_csv``, ``summary``,
@@ -175,7 +173,7 @@ def generate_change_log(spark: SparkSession, control_folder: str, pair_rows: int
     root, output = _roots(control, control_folder)
     run_id = _run_id(spark, control)
     try:
-        return _change_log(spark, control, control_folder, root, output, run_id, pair_rows)
+        return _change_log(spark, control, control_folder, root, output, run_id)
     except Exception as error:
         facts = _one_row(
             spark, control_hashes=_hashes(spark, control_folder),
@@ -187,7 +185,7 @@ def generate_change_log(spark: SparkSession, control_folder: str, pair_rows: int
 
 
 def _change_log(
-    spark: SparkSession, control: Control, control_folder: str, root: str, output: str, run_id: str, pair_rows: int
+    spark: SparkSession, control: Control, control_folder: str, root: str, output: str, run_id: str
 ) -> str:
     scan = scan_tables(spark, f"{root}/ChangeRequests", path_fields=True)
     included = request_steps(control.requests)
@@ -198,7 +196,7 @@ def _change_log(
     if broken:
         raise ValueError(broken[0]["message"])
     out = f"{output}/ChangeLog_{run_id}"
-    found = compare(_with_lost_tables(scan, "before"), scan.after, control, pair_rows)
+    found = compare(_with_lost_tables(scan, "before"), scan.after, control)
     write_log(found.log, out)
     write_conflicts(found.conflicts.conflicts, out)
     found.conflicts.values.write.mode("overwrite").parquet(f"{out}/conflict_values")

@@ -7,25 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowledger.functions.cells import strip, text
+from rowledger.functions.cells import literal, strip, text
 from rowledger.model import LOG_COLUMNS, POSITION, small_frame
 from rowledger.operators.conflicts import CONFLICT_COLUMNS, flat_conflicts
+from rowledger.operators.diff import CROWDED_NOTE
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 SEQUENCE = f"struct<old:{POSITION.simpleString()},new:{POSITION.simpleString()}>"
 
 
 def write_log(log: DataFrame, folder: str) -> None:
-    """The log as parquet, which later stages read, and the ten columns as CSV for people."""
+    """The log as parquet, which later stages read, and as CSV for people."""
     log.write.mode("overwrite").parquet(f"{folder}/log")
     export_log(log.sparkSession.read.parquet(f"{folder}/log"), f"{folder}/detail_csv")
 
 
 def export_log(log: DataFrame, path: str) -> None:
-    """Ten-column CSV; unknown key counts are empty."""
+    """The ten columns as CSV, then ``copies`` and the order ``seq``; unknown key counts are empty."""
     counts = {"n_keys_before", "n_keys_after"}
     columns = [F.expr(f"coalesce(cast({c} as string), '')").alias(c) if c in counts else F.col(c) for c in LOG_COLUMNS]
-    log.select(*columns).write.options(**CSV_OPTIONS, emptyValue="").mode("overwrite").csv(path)
+    extra = ["coalesce(cast(copies as string), '') as copies", "coalesce(to_json(seq), '') as seq"]
+    log.select(*columns, *map(F.expr, extra)).write.options(**CSV_OPTIONS, emptyValue="").mode("overwrite").csv(path)
 
 
 def normalize_log(df: DataFrame) -> DataFrame:
@@ -51,13 +53,22 @@ def normalize_log(df: DataFrame) -> DataFrame:
 
 
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A change log kept as quoted CSV with a header; the file position gives the order."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in LOG_COLUMNS])
+    """A change log kept as quoted CSV with a header.
+
+    Without the columns ``copies`` and ``seq`` every row counts once, and the file position gives
+    the order. Of a repeated key, rows that count nothing hold an old value only, others a new one.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*LOG_COLUMNS, "copies", "seq"]])
     raw = spark.read.options(**CSV_OPTIONS, multiLine=True).schema(schema).csv(path)
     position = f"cast(struct(_metadata.file_name, _metadata.file_block_start, monotonically_increasing_id()) as {POSITION.simpleString()})"
-    return normalize_log(
-        raw.selectExpr("*", f"cast(struct(null as old, {position} as new) as {SEQUENCE}) as seq")
-    )
+    apart = f"notes = {literal(CROWDED_NOTE)}"
+    values = {
+        "old_value": f"if({apart} and try_cast(copies as bigint) > 0, null, coalesce(old_value, ''))",
+        "new_value": f"if({apart} and try_cast(copies as bigint) = 0, null, coalesce(new_value, ''))",
+        "copies": "coalesce(try_cast(copies as bigint), 1)",
+        "seq": f"coalesce(from_json(seq, '{SEQUENCE}'), cast(struct(null as old, {position} as new) as {SEQUENCE}))",
+    }
+    return normalize_log(raw.withColumns({c: F.expr(e) for c, e in values.items()}))
 
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:

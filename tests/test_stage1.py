@@ -7,11 +7,14 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from rowledger.model import DUMMIES, LOG, META, ROWS, TableSet, small_frame
+from rowledger.model import DUMMIES, LOG, META, POSITION, ROWS, TableSet, small_frame
 from rowledger.operators.apply import apply_changes
 from rowledger.operators.conflicts import detect_conflicts, flat_conflicts
-from rowledger.operators.diff import diff_tables
+from rowledger.operators.diff import CROWDED_NOTE, diff_tables
+from rowledger.operators.review import build_review
 from rowledger.operators.summary import summarize
+from rowledger.operators.validate import log_groups, missing_keys
+from rowledger.sources.changelog import export_log, read_log_csv
 from rowledger.sources.control import column_renames
 from rowledger.storage import write_once
 
@@ -40,8 +43,8 @@ def expanded(log):
     return out
 
 
-def run(spark, before, after, renames=(), **options):
-    diff = diff_tables(table_set(spark, before), table_set(spark, after), renames_frame(spark, renames), **options)
+def run(spark, before, after, renames=()):
+    diff = diff_tables(table_set(spark, before), table_set(spark, after), renames_frame(spark, renames))
     return replace(diff, log=write_once(diff.log, "test-log"))
 
 
@@ -124,11 +127,68 @@ def test_structural_changes_by_hand(spark):
 
 
 def test_repeated_keys_by_hand(spark):
-    """Every old row of a key meets every new one."""
+    """Every old row of a key meets every new one: the pairs are counted with the new values."""
     before = {("CR1", "T"): (2, ["k", "v"], [["a", "1"], ["a", "2"], ["b", "5"]])}
     after = {("CR1", "T"): (2, ["k", "v"], [["a", "1"], ["a", "3"], ["b", "5.0"]])}
-    assert expanded(run(spark, before, after).log) == Counter(
-        ("CR1", "T", "value_update", 2, 2, "a", "v", old, new, "") for old, new in [("1", "3"), ("2", "1"), ("2", "3")])
+    log = run(spark, before, after).log
+    assert {tuple(r) for r in log.select("key_tuple", "column_name", "old_value", "new_value", "copies", "notes").collect()} == {
+        ("a", "v", old, new, copies, CROWDED_NOTE)
+        for old, new, copies in [("1", None, 0), ("2", None, 0), (None, "1", 1), (None, "3", 2)]}
+
+
+def old_rows(spark, n):
+    """A set of one table, in which one key has ``n`` rows of different values."""
+    rows = spark.range(n).selectExpr(
+        "'CR_A' as change_request_id", "'T' as table_name",
+        f"cast(struct('' as part, 0 as block, id as line) as {POSITION.simpleString()}) as pos",
+        "array('a', cast(id as string)) as cells")
+    other = table_set(spark, {("CR_A", "T"): (2, ["k", "v"], []), ("CR_B", "T"): (2, ["k", "v"], [["a", "old"]])})
+    return TableSet(other.meta, other.rows.unionByName(rows.select(*other.rows.columns)), other.dummies)
+
+
+@pytest.mark.parametrize("n", [1, 2, 100, 101, 20_001])
+def test_one_rule_for_any_number_of_rows(spark, tmp_path, n):
+    """Log, conflicts, review, validation, apply and CSV of a key with n old rows and one new."""
+    before = old_rows(spark, n)
+    after = table_set(spark, {("CR_A", "T"): (2, ["k", "v"], [["a", "z"]]), ("CR_B", "T"): (2, ["k", "v"], [["a", "new"]])})
+    diff = diff_tables(before, after, renames_frame(spark, []))
+    log, steps = write_once(diff.log, "test-log"), steps_frame(spark, ["CR_A", "CR_B"])
+    mine = log.where("change_request_id = 'CR_A'")
+    counted = mine.where("new_value is not null").select("old_value", "new_value", "copies").collect()
+    assert [tuple(r) for r in counted] == [("0" if n == 1 else None, "z", n)]
+    assert mine.where("new_value is null and copies = 0").count() == (0 if n == 1 else n)
+
+    found = detect_conflicts(log, steps)
+    (conflict,) = found.conflicts.collect()
+    texts = (["0", "old"], ["new", "z"]) if n == 1 else (
+        [f"{n + 1} distinct values, see conflict_values"], ["2 distinct values, see conflict_values"])
+    assert (conflict["old_values"], conflict["new_values"]) == texts
+    assert found.values.where("kind = 'old'").count() == n + 1
+
+    grid = build_review(before, after, diff.pairs, log, steps).grid.collect()
+    shown = "0 -> z [CR_A] | old -> new [CR_B]" if n == 1 else f"{n + 1} updates, see change log"
+    assert [r["cells"] for r in grid] == [["a", shown]]
+
+    nothing = table_set(spark, {("", "T"): (2, ["k", "v"], [["b", "1"]])})
+    stepped = mine.join(steps, ["change_request_id"])
+    assert missing_keys(stepped, log_groups(stepped, nothing), nothing).count() == 1
+
+    export_log(log, str(tmp_path / "log"))
+    back = read_log_csv(spark, str(tmp_path / "log"))
+    assert back.exceptAll(log).count() == log.exceptAll(back).count() == 0
+    production = table_set(spark, {("", "T"): (2, ["k", "v"], [["a", "1"], ["a", "2"]])})
+    for form in (mine, back.where("change_request_id = 'CR_A'")):
+        applied = apply_changes(production, form.join(steps, ["change_request_id"]))
+        assert [r["cells"] for r in applied.rows.collect()] == [["a", "z"]] * 2
+
+
+def test_csv_of_ten_columns(spark, tmp_path):
+    """A log from elsewhere has no copies and no order: every row counts once, empty stays empty."""
+    path = tmp_path / "log.csv"
+    path.write_text("change_request_id,table_name,change_type,n_keys_before,n_keys_after,key_tuple,column_name,old_value,new_value,notes\n"
+                    "CR_A,T,value_update,2,2,a,v,1,,\nCR_A,T,value_update,2,2,a,v,1,\"x, y\",\n")
+    rows = read_log_csv(spark, str(path)).orderBy("seq").collect()
+    assert [(r["old_value"], r["new_value"], r["copies"]) for r in rows] == [("1", "", 1), ("1", "x, y", 1)]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -164,27 +224,26 @@ def test_log_of_two_versions_turns_one_into_the_other(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_crowded_keys_give_the_same_totals(spark, seed):
-    """Pairs that are counted instead of formed lead to the same summary, conflicts and last values."""
-    before, after, renames = random_tables(random.Random(100 + seed), with_structure=seed == 2)
-    usual = run(spark, before, after, renames).log
-    apart = run(spark, before, after, renames, pair_rows=1).log
-    keys = ["change_request_id", "table_name", "change_type", "key_tuple", "column_name"]
-
-    def totals(log):
-        return {tuple(r) for r in log.groupBy(*keys).agg(
-            F.sum("copies"), F.sort_array(F.collect_set("old_value")), F.sort_array(F.collect_set("new_value")),
-            F.max_by(F.when(F.col("copies") > 0, F.col("new_value")), F.when(F.col("copies") > 0, F.col("seq"))),
-        ).select(*keys, *[F.col(f"`{c}`").cast("string") for c in (
-            "sum(copies)", "sort_array(collect_set(old_value), true)", "sort_array(collect_set(new_value), true)")],
-            F.col("`max_by(CASE WHEN (copies > 0) THEN new_value END, CASE WHEN (copies > 0) THEN seq END)`"),
-        ).collect()}
-
-    assert totals(usual) == totals(apart)
-    steps = steps_frame(spark, ["CR_A", "CR_B"])
-    flat = [{tuple(r) for r in flat_conflicts(detect_conflicts(log, steps).conflicts).collect()}
-            for log in (usual, apart)]
-    assert flat[0] == flat[1]
+def test_counted_pairs_are_all_pairs(spark, seed):
+    """New values with their counts are what joining every old with every new row gives."""
+    before, after, renames = random_tables(random.Random(100 + seed), with_structure=False)
+    log = run(spark, before, after, renames).log.where("change_type = 'value_update' and copies > 0")
+    got = {tuple(r) for r in log.groupBy("change_request_id", "table_name", "column_name", "new_value").agg(F.sum("copies")).collect()}
+
+    def number(x):
+        return float(x) if x.replace(".", "").isdigit() else x
+
+    want = Counter()
+    for (cr, name), (n_keys, columns, rows) in after.items():
+        n_old, _, olds = before.get((cr, name), (0, [], []))
+        if n_old != n_keys:
+            continue
+        for new in rows:
+            for old in olds:
+                if all(number(x) == number(y) for x, y in zip(old[: n_keys - 1], new[: n_keys - 1])):
+                    for c, x, y in list(zip(columns, old, new))[n_keys - 1 :]:
+                        want[cr, name, c, y] += number(x) != number(y)
+    assert got == {(*k, n) for k, n in want.items() if n}
 
 
 def log_frame(spark, rows):
