@@ -6,7 +6,7 @@ Tables are unpivoted to one row per cell, and everything is stated on that long
 from __future__ import annotations
 
 from rowledger.operators.conflicts import FILL_NOTE, OVERLAP_NOTE, STRUCTURAL_NOTE
-from rowledger.operators.diff import FRESH_NOTE, TABLE_ADD_NOTE
+from rowledger.operators.diff import CROWDED_NOTE, FRESH_NOTE, TABLE_ADD_NOTE
 from rowledger.plans import bindings as B
 
 # Kind of every bound column: s text, i whole number, d double, t timestamp.
@@ -91,16 +91,23 @@ DIFFERENT = "b.val <> a.val AND NOT coalesce(TRY_CAST(b.val AS DOUBLE) = TRY_CAS
 
 
 def log_cte(only: str | None = None) -> str:
-    """CTE ``log`` with the ten columns, from ``b`` and ``a``."""
-    def row(kind, nb, na, key, col, old, new, note="''"):
-        return f"'{kind}', {nb}, {na}, {key}, {col}, {old}, {new}, {note}"
+    """CTE ``log`` with the ten columns and ``copies``, from ``b`` and ``a``.
+
+    ``met`` holds all pairs of differing cells; those of repeated keys are listed apart.
+    """
+    def row(kind, nb, na, key, col, old, new, note="''", copies="1"):
+        return f"'{kind}', {nb}, {na}, {key}, {col}, {old}, {new}, {note}, {copies}"
 
     return f"""
 {long_forms(only)},
 bt AS (SELECT DISTINCT cr, tbl, nk FROM b), atb AS (SELECT DISTINCT cr, tbl, nk FROM a),
 bk AS (SELECT DISTINCT cr, tbl, k FROM b), ak AS (SELECT DISTINCT cr, tbl, k FROM a),
 bc AS (SELECT DISTINCT cr, tbl, col FROM b), ac AS (SELECT DISTINCT cr, tbl, col FROM a),
-log0(cr, tbl, ct, nb, na, k, col, old, new, note) AS (
+rep AS (SELECT cr, tbl, k FROM b WHERE ord = 0 GROUP BY ALL HAVING count(*) > 1
+ UNION SELECT cr, tbl, k FROM a WHERE ord = 0 GROUP BY ALL HAVING count(*) > 1),
+met AS (SELECT b.cr, b.tbl, b.k, b.col, b.nk AS nb, a.nk AS na, b.val AS old, a.val AS new, rep.k IS NOT NULL AS apart
+ FROM b JOIN a USING (cr, tbl, k, col) LEFT JOIN rep USING (cr, tbl, k) WHERE {DIFFERENT}),
+log0(cr, tbl, ct, nb, na, k, col, old, new, note, copies) AS (
 SELECT cr, tbl, {row('table_add', 'NULL', 'nk', "''", "''", "''", "''", "'Table only present in after/'")}
 FROM atb WHERE (cr, tbl) NOT IN (SELECT (cr, tbl) FROM bt)
 UNION ALL SELECT cr, tbl, {row('row_add', 'NULL', 'nk', 'k', 'col', "''", 'val', f"'{TABLE_ADD_NOTE}'")}
@@ -118,14 +125,17 @@ FROM a JOIN bt USING (cr, tbl) WHERE NOT EXISTS (SELECT 1 FROM bk WHERE (bk.cr,
 UNION ALL SELECT b.cr, b.tbl, {row('row_delete', 'b.nk', 'atb.nk', 'b.k', 'b.col', 'b.val', "''")}
 FROM b JOIN atb USING (cr, tbl) JOIN ac USING (cr, tbl, col)
 WHERE NOT EXISTS (SELECT 1 FROM ak WHERE (ak.cr, ak.tbl, ak.k) = (b.cr, b.tbl, b.k))
-UNION ALL SELECT b.cr, b.tbl, {row('value_update', 'b.nk', 'a.nk', 'b.k', 'b.col', 'b.val', 'a.val')}
-FROM b JOIN a USING (cr, tbl, k, col) WHERE {DIFFERENT}
+UNION ALL SELECT cr, tbl, {row('value_update', 'nb', 'na', 'k', 'col', 'old', 'new')} FROM met WHERE NOT apart
+UNION ALL SELECT DISTINCT cr, tbl, {row('value_update', 'nb', 'na', 'k', 'col', 'old', 'NULL', f"'{CROWDED_NOTE}'", '0')}
+FROM met WHERE apart
+UNION ALL SELECT cr, tbl, {row('value_update', 'nb', 'na', 'k', 'col', 'NULL', 'new', f"'{CROWDED_NOTE}'", 'count(*)')}
+FROM met WHERE apart GROUP BY cr, tbl, nb, na, k, col, new
 UNION ALL SELECT a.cr, a.tbl, {row('value_update', 'bt.nk', 'a.nk', 'a.k', 'a.col', "''", 'a.val', f"'{FRESH_NOTE}'")}
 FROM a JOIN bt USING (cr, tbl) JOIN bk USING (cr, tbl, k)
 WHERE NOT EXISTS (SELECT 1 FROM bc WHERE (bc.cr, bc.tbl, bc.col) = (a.cr, a.tbl, a.col))),
 log AS (SELECT cr AS change_request_id, tbl AS table_name, ct AS change_type, CAST(nb AS INTEGER) AS n_keys_before,
  CAST(na AS INTEGER) AS n_keys_after, k AS key_tuple, col AS column_name, old AS old_value, new AS new_value,
- note AS notes FROM log0)"""
+ note AS notes, copies FROM log0)"""
 
 
 def with_log(select: str, only: str | None = None) -> str:
@@ -213,7 +223,7 @@ SELECT r.change_request_id, r.description, coalesce(t.touched, '') AS tables_tou
  coalesce(n_row_deletes, 0) AS n_row_deletes, coalesce(n_column_changes, 0) AS n_column_changes,
  coalesce(n_key_count_changes, 0) AS n_key_count_changes
 FROM (VALUES ('CR_A', 'prices and deletions'), ('CR_B', 'bands and reviews')) r(change_request_id, description)
-LEFT JOIN (SELECT change_request_id, count(*) FILTER (change_type = 'value_update') AS n_value_changes,
+LEFT JOIN (SELECT change_request_id, CAST(sum(copies) FILTER (change_type = 'value_update') AS BIGINT) AS n_value_changes,
   count(*) FILTER (change_type = 'row_add') AS n_row_adds, count(*) FILTER (change_type = 'row_delete') AS n_row_deletes,
   count(*) FILTER (change_type IN ('column_add', 'column_delete', 'column_rename')) AS n_column_changes,
   count(*) FILTER (change_type = 'key_count_change') AS n_key_count_changes FROM log GROUP BY 1) n USING (change_request_id)
@@ -304,8 +314,9 @@ ext AS (SELECT table_name, key_tuple, column_name,
    {STEP} * 10 + CASE WHEN change_type = 'row_delete' THEN 1 ELSE 0 END) AS val
  FROM log WHERE change_type IN ('row_add', 'row_delete') GROUP BY ALL),
 multi AS (SELECT tbl AS table_name, count(DISTINCT cr) > 1 AS many FROM atb GROUP BY 1),
-upd AS (SELECT table_name, key_tuple, column_name, string_agg(old_value || ' -> ' || new_value ||
- CASE WHEN many THEN ' [' || change_request_id || ']' ELSE '' END, ' | ' ORDER BY change_request_id) AS shown
+upd AS (SELECT table_name, key_tuple, column_name, CASE WHEN count(*) > count(DISTINCT change_request_id)
+ THEN CAST(sum(copies) AS BIGINT) || ' updates, see change log' ELSE string_agg(old_value || ' -> ' || new_value ||
+ CASE WHEN many THEN ' [' || change_request_id || ']' ELSE '' END, ' | ' ORDER BY change_request_id) END AS shown
  FROM log JOIN multi USING (table_name) WHERE change_type = 'value_update' GROUP BY ALL),
 grid AS (SELECT w.table_name, w.key_tuple, s.status, r.column_name, r.ord,
  coalesce(upd.shown, ext.val, seed.val, '') AS cell
