@@ -6,11 +6,12 @@ are hashed; landmark strings span a low-dimensional subspace (Nystroem), in whic
 loss is trained. Because kernel, projection and machine are all linear in the features, they fold into one weight per
 feature, which is all that scoring needs.
 
-The strings are the words of a sentence (and runs of single letters, joined); a sentence, and a text, is as toxic
-as its worst string. The labels mark whole texts only, so training alternates: take the worst strings of each
-toxic text and strings of clean texts, train, and choose again (multiple-instance training). Some chosen strings are added in disguise, with
-characters put in. A logistic curve turns
-a text's worst value into a score.
+The strings are the words of a sentence (and runs of single letters, joined). The labels mark whole texts only, so
+training alternates: take the worst strings of each toxic text and strings of clean texts, train, and choose again
+(multiple-instance training). It begins with runs of characters that are commoner in toxic texts. Some chosen
+strings are added in disguise, with characters put in. A second machine in the same subspace, trained on whole texts,
+weighs the strings that the first one blames: one strong string is enough, moderate ones add up. A logistic curve
+turns the sum into a score.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ LANDMARKS = 192
 ROUNDS = 3
 FIT_TEXTS = 2000    # bound of the labelled sample, texts per class
 FIT_STRINGS = 6000  # bound of the strings per class and round
-NOTHING = -3.0      # value of a text without any string
+RUNS = (5, 6, 8)    # bytes of the runs that training begins with; the mark of a word's beginning counts as one
+SURE = 4.0          # standard errors that a run's log odds must be above zero
+CLEAR = 0.9         # of the texts with a seed, so many are toxic if it alone is enough
 
 _PATTERNS = [((0, *rest), DECAY ** (rest[-1] + 1 - size)) for size, reach in ((3, 4), (4, 5))
              for rest in itertools.combinations(range(1, reach + 1), size - 1)]
@@ -50,13 +53,15 @@ class Strings:
     text: np.ndarray    # text of each occurrence
     string: np.ndarray  # string of each occurrence
 
-    def worst(self, values: np.ndarray, n_texts: int) -> np.ndarray:
-        """Largest value of each text, from values of pieces."""
-        of_string = np.full(self.owner.max(initial=-1) + 1, NOTHING)
-        np.maximum.at(of_string, self.owner, values)
-        result = np.full(n_texts, NOTHING)
-        np.maximum.at(result, self.text, of_string[self.string])
-        return result
+    def blamed(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The worst piece of each string above zero; of each of their occurrences, its place there and its text."""
+        order = np.lexsort((-values, self.owner))
+        first = np.flatnonzero(np.diff(self.owner[order], prepend=-1))
+        pieces = order[first][values[order[first]] > 0]
+        place = np.full(self.owner.max(initial=-1) + 1, -1)
+        place[self.owner[pieces]] = np.arange(len(pieces))
+        there = place[self.string] >= 0
+        return pieces, place[self.string[there]], self.text[there]
 
 
 def strings(data: np.ndarray, at: np.ndarray) -> Strings:
@@ -192,13 +197,19 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-
 
 @dataclass
 class Model:
-    weights: np.ndarray  # of each feature
+    weights: np.ndarray  # of each feature, for strings
     bias: float
     slope: float         # of the logistic curve
     offset: float
+    sums: np.ndarray     # of each feature, for whole texts
+    start: float         # value of a text without blamed strings
 
     def values(self, s: Strings, n_texts: int) -> np.ndarray:
-        return s.worst(evaluate(s.codes, self.weights) + self.bias, n_texts)
+        """Value of each text: its blamed strings add up, so no string makes a text better; beyond the margin all are alike."""
+        values = evaluate(s.codes, self.weights) + self.bias
+        pieces, string, text = s.blamed(values)
+        worth = np.maximum(evaluate(s.codes[pieces], self.sums), 0) * np.minimum(values[pieces], 1)
+        return np.minimum(self.start + np.bincount(text, worth[string], minlength=n_texts), 1)
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.offset, -60, 60)))
@@ -220,37 +231,97 @@ def curve(values: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def first_values(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray) -> np.ndarray:
-    """To begin with: how much oftener a piece's best four-character run stands in toxic than in clean texts."""
-    wide = codes.astype(np.uint32)
-    run = wide[:, :-3] << 24 | wide[:, 1:-2] << 16 | wide[:, 2:-1] << 8 | wide[:, 3:]
-    present = (wide[:, :-3] > 0) & (wide[:, 3:] > 0) & (wide[:, 1:-2] > 0) & (wide[:, 2:-1] > 0)
-    known, number = np.unique(run[present], return_inverse=True)
-    value = np.full(len(codes), NOTHING)
-    if not len(known):
-        return value
-    piece = np.broadcast_to(np.arange(len(codes))[:, None], run.shape)[present]
+def gather(begins: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places of all entries of the groups ``of``; group g has the entries from begins[g] to begins[g + 1]."""
+    size = begins[of + 1] - begins[of]
+    return np.repeat(begins[of] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def seeded(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """To begin with: log odds of each piece's best seed (zero without), which strings hold a seed, and a clear one.
+
+    Seeds are runs that stand in more toxic than clean texts, beyond chance. They are taken one by one; strings with
+    a seed are then left out of the counts, until no run is left that is beyond chance in the others. A seed is clear
+    if nearly all its texts are toxic.
+    """
+    wide = codes.astype(np.uint64)
+    runs, pieces = [], []
+    for n in RUNS:
+        run, present = np.zeros((len(codes), codes.shape[1] - n + 1), np.uint64), wide[:, n - 1 :] > 0
+        for k in range(n):
+            column = wide[:, k : k + run.shape[1]]
+            run, present = run << np.uint64(8) | column, present & (column > 0)
+        line, at = np.nonzero(present)
+        runs.append(T.mix(run[line, at] + np.uint64(n)))
+        pieces.append(line)
+    n_strings = owner.max() + 1
+    piece, run = np.concatenate(pieces), np.concatenate(runs)
+    # only runs of strings in toxic texts can be seeds
+    suspect = np.zeros(n_strings, bool)
+    suspect[s.string[toxic[s.text]]] = True
+    run_of_suspect = np.unique(run[suspect[owner[piece]]])
+    value, holds = np.zeros(len(codes)), np.zeros(n_strings, bool)
+    if not len(run_of_suspect):
+        return value, holds, holds
+    number = np.minimum(np.searchsorted(run_of_suspect, run), len(run_of_suspect) - 1)
+    same = run_of_suspect[number] == run
+    piece, number, known = piece[same], number[same], len(run_of_suspect)
     # pairs of string and run, then of text and run, each once
-    of_string = np.unique(owner[piece].astype(np.int64) * len(known) + number)
-    begins = np.searchsorted(of_string // len(known), np.arange(owner.max() + 2))
-    in_toxic, in_clean = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    of_string = np.unique(owner[piece].astype(np.int64) * known + number)
+    begins = np.searchsorted(of_string // known, np.arange(n_strings + 1))
+    of_pair, of_string = of_string // known, of_string % known
+    in_toxic, in_clean = np.zeros(known, np.int64), np.zeros(known, np.int64)
     by_text = np.argsort(s.text, kind="stable")
     cut = np.searchsorted(s.text[by_text], np.arange(len(toxic) + 1))
+
+    def runs_in(i: int) -> np.ndarray:
+        return np.unique(of_string[gather(begins, np.unique(s.string[by_text[cut[i] : cut[i + 1]]]))])
+
     for i in range(len(toxic)):
-        mine = np.unique(s.string[by_text[cut[i] : cut[i + 1]]])
-        size = begins[mine + 1] - begins[mine]
-        taken = np.repeat(begins[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        (in_toxic if toxic[i] else in_clean)[np.unique(of_string[taken] % len(known))] += 1
-    # log odds less two standard errors, so that rare runs don't count
-    odds = np.log((in_toxic + 1) / (toxic.sum() + 2)) - np.log((in_clean + 1) / ((~toxic).sum() + 2))
-    odds -= 2 * np.sqrt(1 / (in_toxic + 1) + 1 / (in_clean + 1))
-    np.maximum.at(value, piece, odds[number])
-    return value
+        (in_toxic if toxic[i] else in_clean)[runs_in(i)] += 1
+    many, few = toxic.sum(), (~toxic).sum()
+
+    def odds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.log((a + 1) / (many + 2)) - np.log((b + 1) / (few + 2))
+        return found - SURE * np.sqrt(1 / (a + 1) + 1 / (b + 1))
+
+    likely = odds(in_toxic, in_clean) > 0
+    few_texts = not likely.any()
+    if few_texts:  # too few for that: the commonest of those that no clean text has
+        likely = (in_clean == 0) & (in_toxic == in_toxic[in_clean == 0].max(initial=1))
+    held, which = np.unique(of_pair[likely[of_string]]), of_string[likely[of_string]]
+    begins = np.searchsorted(of_pair[likely[of_string]], np.arange(n_strings + 1))
+    with_any = np.zeros(n_strings, bool)
+    with_any[held] = True
+    seen = np.unique(s.text[with_any[s.string]].astype(np.int64) * n_strings + s.string[with_any[s.string]])
+    size = np.diff(begins)[seen % n_strings]
+    text, string, run = np.repeat(seen // n_strings, size), np.repeat(seen % n_strings, size), which[gather(begins, seen % n_strings)]
+    seeds = np.zeros(known, bool)
+    while len(run):
+        once = np.unique(text * known + run)
+        a, b = (np.bincount(once[x] % known, minlength=known) for x in (toxic[once // known], ~toxic[once // known]))
+        gain = a * (1.0 if few_texts else np.maximum(odds(a, b), 0))
+        best = gain.argmax()
+        if gain[best] <= 0:
+            break
+        seeds[best] = True
+        done = np.zeros(n_strings, bool)
+        done[string[run == best]] = True
+        left = ~done[string]
+        text, string, run = text[left], string[left], run[left]
+    strength = np.ones(known) if few_texts else np.maximum(odds(in_toxic, in_clean), 1e-3)
+    chosen = seeds[number]
+    np.maximum.at(value, piece[chosen], strength[number[chosen]])
+    holds[owner[piece[chosen]]] = True
+    clear = seeds & ((in_toxic + 1) >= CLEAR * (in_toxic + in_clean + 1))
+    strong = np.zeros(n_strings, bool)
+    strong[owner[piece[clear[number]]]] = True
+    return value, holds, strong
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Train on whole texts and their labels."""
-    nothing = Model(np.zeros(SIZE, np.float32), 0.0, 0.0, 2.0 if len(toxic) and toxic.all() else -2.0)
+    nothing = Model(np.zeros(SIZE, np.float32), 0.0, 0.0, 2.0 if len(toxic) and toxic.all() else -2.0, np.zeros(SIZE, np.float32), 0.0)
     if not toxic.any() or toxic.all():
         return nothing
     data, at = T.utf8(pa.array(texts, pa.string()))
@@ -260,19 +331,20 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     rng = np.random.default_rng(7)
     clean_strings = np.zeros(s.owner.max() + 1, bool)
     clean_strings[s.string[~toxic[s.text]]] = True
-    negatives = np.flatnonzero(clean_strings[s.owner])
-    values = first_values(s.codes, s.owner, s, toxic)
+    values, holds, strong = seeded(s.codes, s.owner, s, toxic)
+    # a string of clean texts can be to blame only if it holds a seed; then it is no example of a clean one
+    barred = clean_strings & ~holds
+    negatives = np.flatnonzero(barred[s.owner])
     turned = root = None
     model = nothing
     for turn in range(ROUNDS):
-        # the worst pieces of each toxic text: the worst one, and those not far behind, unless clean texts have them
+        # the worst pieces of each toxic text: at first all with a seed, then the worst one, and those not far behind
         by_string = np.full(s.owner.max() + 1, -np.inf)
-        np.maximum.at(by_string, s.owner, np.where(clean_strings[s.owner], -np.inf, values))
+        np.maximum.at(by_string, s.owner, np.where(barred[s.owner], -np.inf, values))
         bags = toxic[s.text]
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, s.text[bags], by_string[s.string[bags]])
-        floor = min(np.log(8.0), 0.5 * by_string.max()) if turn == 0 else 0.0
-        near = by_string[s.string] >= np.maximum(worst[s.text] - (1.0 if turn == 0 else 0.5), floor)
+        near = by_string[s.string] > 0 if turn == 0 else by_string[s.string] >= np.maximum(worst[s.text] - 0.5, 0.0)
         pairs = np.unique(s.text[bags & near].astype(np.int64) * len(by_string) + s.string[bags & near])
         texts_of = np.bincount(pairs % len(by_string), minlength=len(by_string))  # toxic texts a string was chosen in
         positive = np.flatnonzero((texts_of[s.owner] > 0) & (values >= by_string[s.owner]))
@@ -300,14 +372,39 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             np.full(len(negative), 0.5 / len(negative)),
         ])
         w = machine(x, y, share)
-        model = Model((turned @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        model = Model((turned @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0, nothing.sums, 0.0)
         values = evaluate(s.codes, model.weights) + model.bias
     if turned is None:
         return nothing
-    model.slope, model.offset = curve(s.worst(values, len(texts)), toxic)
+    model.sums, model.start = _sums(s, model, strong, toxic, turned, root, rng)
+    model.slope, model.offset = curve(model.values(s, len(texts)), toxic)
     return model
 
 
+def _sums(s: Strings, model: Model, strong: np.ndarray, toxic: np.ndarray, turned: np.ndarray, root: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Weights and bias of the machine for whole texts; a text is the sum of its blamed strings, each by its value.
+
+    Each strong string is learned as a toxic text of its own too, as it is and in disguise.
+    """
+
+    def valued(codes: np.ndarray) -> np.ndarray:
+        return kernel(codes, turned) @ root * np.clip(evaluate(codes, model.weights) + model.bias, 0, 1)[:, None]
+
+    blamed, string, text = s.blamed(evaluate(s.codes, model.weights) + model.bias)
+    each = valued(s.codes[blamed])
+    x = np.zeros((len(toxic), each.shape[1]))
+    np.add.at(x, text, each[string])
+    pairs = np.unique(text[toxic[text]] * len(blamed) + string[toxic[text]])
+    often = np.bincount(pairs % len(blamed), minlength=len(blamed)) * strong[s.owner[blamed]] if len(blamed) else np.zeros(0)
+    own = np.flatnonzero(often)
+    often = often[own] / max(1, often.sum())
+    x = np.concatenate([x, each[own], valued(disguised(s.codes[blamed[own]], rng))])
+    y = np.concatenate([np.where(toxic, 1.0, -1.0), np.ones(3 * len(own))])
+    weight = np.concatenate([np.where(toxic, 0.4 / toxic.sum(), 0.5 / (~toxic).sum()), 0.04 * often, 0.03 * np.repeat(often, 2)])
+    w = machine(x, y, weight, 1e-4)
+    return (turned @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
     """Train on at most ``FIT_TEXTS`` labelled texts of each class, those of lowest hash; held-out rows are left out.
 
@@ -322,17 +419,17 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") > 0)
         .dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).alias("toxic"))
     )
-    found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit_rows, "weights binary, bias double, slope double, offset double").collect()
+    found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit_rows, "weights binary, bias double, slope double, offset double, sums binary, start double").collect()
     if not found:
         return fit([], np.zeros(0, bool))
-    weights, *rest = found[0]
-    return Model(np.frombuffer(bytes(weights), np.float32), *rest)
+    weights, bias, slope, offset, sums, start = found[0]
+    return Model(np.frombuffer(bytes(weights), np.float32), bias, slope, offset, np.frombuffer(bytes(sums), np.float32), start)
 
 
 def _fit_rows(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows[["text", "toxic"]].drop_duplicates().sort_values(["text", "toxic"], kind="stable")
     model = fit(rows["text"].tolist(), rows["toxic"].to_numpy(bool))
-    return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
+    return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset], "sums": [model.sums.tobytes()], "start": [model.start]})
 
 
 def _scorer(model: Model):

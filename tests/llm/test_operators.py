@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,33 @@ def test_toxicity(docs, spark):
     assert {r.predicted for r in toxicity.score_toxicity(table, labels.where("false"), fold()).collect()} == {0}
 
 
+
+def toxic_scores(model, texts):
+    data, at = T.utf8(pa.array(texts, pa.string()))
+    return model.scores(model.values(toxicity.strings(data, at), len(texts)))
+
+
+def test_repeated_moderate_strings_add_up():
+    """A stem that clean texts have now and then marks the toxic texts without an insult, where it is repeated."""
+    rng = np.random.default_rng(5)
+    parts = ["la", "mor", "tin", "ou", "ré", "ent", "vi", "sel", "pa", "chu"]
+
+    def text(*more):
+        return " ".join(rng.permutation(["".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(60)] + list(more)))
+
+    def stems(n):
+        return ["réeux" + "".join(rng.choice(parts, 2)) for _ in range(n)]
+
+    insult = [text("gromblax") for _ in range(200)]
+    many, once, clean = [text(*stems(rng.integers(3, 7))) for _ in range(200)], [text(*stems(1)) for _ in range(120)], [text() for _ in range(1000)]
+    parted = [(x[: len(x) * 3 // 4], x[len(x) * 3 // 4 :]) for x in (insult, many, once, clean)]
+    learned = [t for a, _ in parted for t in a]
+    n_toxic = len(parted[0][0]) + len(parted[1][0])
+    model = toxicity.fit(learned, np.arange(len(learned)) < n_toxic)
+    found = [float((toxic_scores(model, b) >= 0.5).mean()) for _, b in parted]
+    assert found[0] >= 0.9 and found[1] >= 0.8 and found[2] <= 0.2 and found[3] == 0
+
+
 def test_language(docs):
     got = language.identify_language(docs, held_out(F.col("doc_id"), 4, 2)).join(docs.select("doc_id", "lang", "text").distinct(), "doc_id").collect()
     out = [r for r in got if r.held_out and r.lang]
