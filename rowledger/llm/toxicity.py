@@ -32,7 +32,7 @@ from rowledger.llm import tokens as T
 SIZE = 1 << 16
 DECAY = 0.6
 WIDTH = 24          # bytes of a string's piece, with its two end marks
-STRIDE = 14         # longer strings are cut into overlapping pieces
+STRIDE = 1          # longer strings are cut at every byte: what fits in a piece stands whole in one
 LANDMARKS = 192
 ROUNDS = 3
 FIT_TEXTS = 2000    # bound of the labelled sample, texts per class
@@ -72,14 +72,17 @@ def strings(data: np.ndarray, at: np.ndarray) -> Strings:
     first, last = np.searchsorted(plain, w.start), np.searchsorted(plain, w.end)
     full = last > first
     start, end, text = plain[first[full]], plain[last[full] - 1] + 1, text[full]
-    single = np.concatenate([[False], end - start == 1, [False]])
-    runs_from = np.flatnonzero(single[1:-1] & ~single[:-2])
-    runs_to = np.flatnonzero(single[1:-1] & ~single[2:])
-    extra = []
+    single = end - start == 1
+    joins = single[1:] & single[:-1] & (text[1:] == text[:-1])
+    runs_from = np.flatnonzero(single & ~np.concatenate([[False], joins])[: len(single)])
+    runs_to = np.flatnonzero(single & ~np.concatenate([joins, [False]])[: len(single)])
     lowered = T.LOWER[data]
-    for a, b in zip(runs_from.tolist(), runs_to.tolist()):
-        if b - a >= 3 and text[a] == text[b]:
-            extra.append((text[a], lowered[start[a : b + 1]]))
+    long = runs_to - runs_from >= 3
+    # the letters of the runs are appended as further words
+    size = (runs_to - runs_from + 1)[long]
+    letters = np.repeat(runs_from[long] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    lowered, joined = np.concatenate([lowered, lowered[start[letters]]]), len(lowered) + np.cumsum(size)
+    text, start, end = np.concatenate([text, text[runs_from[long]]]), np.concatenate([start, joined - size]), np.concatenate([end, joined])
     hashes = T.span_hashes(lowered, start, end)
     distinct, sample, string = np.unique(hashes, return_index=True, return_inverse=True)
     start, end = start[sample], end[sample]
@@ -97,15 +100,6 @@ def strings(data: np.ndarray, at: np.ndarray) -> Strings:
     codes[:, 0] = number == 0
     ends = np.flatnonzero(number == pieces[owner] - 1)
     codes[ends, size[ends] + 1] = 2
-    if extra:
-        more = np.zeros((len(extra), WIDTH), np.uint8)
-        for i, (_, letters) in enumerate(extra):
-            letters = letters[: WIDTH - 2]
-            more[i, 0], more[i, 1 : 1 + len(letters)], more[i, 1 + len(letters)] = 1, letters, 2
-        codes = np.concatenate([codes, more])
-        ids = np.arange(len(distinct), len(distinct) + len(extra))
-        owner, string = np.concatenate([owner, ids]), np.concatenate([string, ids])
-        text = np.concatenate([text, [t for t, _ in extra]])
     return Strings(codes, owner, text, string)
 
 
@@ -237,6 +231,27 @@ def gather(begins: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.repeat(begins[of] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def runs_of(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(piece, hash) of every run of the lengths ``RUNS``, some pieces at a time."""
+    for first in range(0, len(codes), 1 << 16):
+        wide = codes[first : first + (1 << 16)].astype(np.uint64)
+        for n in RUNS:
+            run, present = np.zeros((len(wide), wide.shape[1] - n + 1), np.uint64), np.ones((len(wide), wide.shape[1] - n + 1), bool)
+            for k in range(n):
+                column = wide[:, k : k + run.shape[1]]
+                run, present = run << np.uint64(8) | column, present & (column > 0)
+            line, at = np.nonzero(present)
+            yield first + line, T.mix(run[line, at] + np.uint64(n))
+
+
 def seeded(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """To begin with: log odds of each piece's best seed (zero without), which strings hold a seed, and a clear one.
 
@@ -244,30 +259,21 @@ def seeded(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray)
     a seed are then left out of the counts, until no run is left that is beyond chance in the others. A seed is clear
     if nearly all its texts are toxic.
     """
-    wide = codes.astype(np.uint64)
-    runs, pieces = [], []
-    for n in RUNS:
-        run, present = np.zeros((len(codes), codes.shape[1] - n + 1), np.uint64), wide[:, n - 1 :] > 0
-        for k in range(n):
-            column = wide[:, k : k + run.shape[1]]
-            run, present = run << np.uint64(8) | column, present & (column > 0)
-        line, at = np.nonzero(present)
-        runs.append(T.mix(run[line, at] + np.uint64(n)))
-        pieces.append(line)
     n_strings = owner.max() + 1
-    piece, run = np.concatenate(pieces), np.concatenate(runs)
+    found = [distinct_pairs(owner[piece], run) for piece, run in runs_of(codes)]
+    holder, run = (np.concatenate(x) for x in zip(*found))
     # only runs of strings in toxic texts can be seeds
     suspect = np.zeros(n_strings, bool)
     suspect[s.string[toxic[s.text]]] = True
-    run_of_suspect = np.unique(run[suspect[owner[piece]]])
-    value, holds = np.zeros(len(codes)), np.zeros(n_strings, bool)
+    run_of_suspect = np.unique(run[suspect[holder]])
+    value, holds, strong = np.zeros(len(codes)), np.zeros(n_strings, bool), np.zeros(n_strings, bool)
     if not len(run_of_suspect):
-        return value, holds, holds
+        return value, holds, strong
     number = np.minimum(np.searchsorted(run_of_suspect, run), len(run_of_suspect) - 1)
     same = run_of_suspect[number] == run
-    piece, number, known = piece[same], number[same], len(run_of_suspect)
+    known = len(run_of_suspect)
     # pairs of string and run, then of text and run, each once
-    of_string = np.unique(owner[piece].astype(np.int64) * known + number)
+    of_string = np.unique(holder[same] * known + number[same])
     begins = np.searchsorted(of_string // known, np.arange(n_strings + 1))
     of_pair, of_string = of_string // known, of_string % known
     in_toxic, in_clean = np.zeros(known, np.int64), np.zeros(known, np.int64)
@@ -310,12 +316,15 @@ def seeded(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray)
         left = ~done[string]
         text, string, run = text[left], string[left], run[left]
     strength = np.ones(known) if few_texts else np.maximum(odds(in_toxic, in_clean), 1e-3)
-    chosen = seeds[number]
-    np.maximum.at(value, piece[chosen], strength[number[chosen]])
-    holds[owner[piece[chosen]]] = True
     clear = seeds & ((in_toxic + 1) >= CLEAR * (in_toxic + in_clean + 1))
-    strong = np.zeros(n_strings, bool)
-    strong[owner[piece[clear[number]]]] = True
+    chosen = np.flatnonzero(seeds)
+    for piece, run in runs_of(codes):
+        at = np.minimum(np.searchsorted(run_of_suspect[chosen], run), len(chosen) - 1) if len(chosen) else np.zeros(0, np.int64)
+        same = run_of_suspect[chosen[at]] == run if len(chosen) else np.zeros(len(run), bool)
+        piece, seed = piece[same], chosen[at[same]] if len(chosen) else chosen
+        np.maximum.at(value, piece, strength[seed])
+        holds[owner[piece]] = True
+        strong[owner[piece[clear[seed]]]] = True
     return value, holds, strong
 
 

@@ -211,6 +211,25 @@ def test_repeated_moderate_strings_add_up():
     assert found[0] >= 0.9 and found[1] >= 0.8 and found[2] <= 0.2 and found[3] == 0
 
 
+
+def test_letter_runs_are_scored_to_their_end():
+    base = [f"the {a} and {b} went to {c} today" for a in ("river", "stone", "cloud", "ember") for b in ("maple", "birch", "cedar", "aspen") for c in ("town", "sea", "hill", "farm", "lake")]
+    learned = base + [f"{t} gromblax" for t in base]
+    model = toxicity.fit(learned, np.arange(len(learned)) >= len(base))
+    plain, insult = " ".join("thestonewenttothetowntodayandtheriverwenttothelake"), " ".join("gromblax")
+    glued = "thestonewenttothetowntodayandtheriver"
+    # texts end and begin with single letters
+    scores = toxic_scores(model, [plain, f"{plain} {insult}", f"{insult} {plain}", f"{plain} {insult} {plain}"])
+    assert scores[0] < 0.5 and min(scores[1:]) > 0.5
+    for n in range(30):
+        data, at = T.utf8(pa.array([f"{glued[:n]}g-r-o-m-b-l-a-x{glued}"]))
+        assert any(b"g-r-o-m-b-l-a-x" in x.tobytes() for x in toxicity.strings(data, at).codes)
+    data, at = T.utf8(pa.array(["y o u a r e s u c h a b i g o l d s t u p i d i d i o t"]))
+    s = toxicity.strings(data, at)
+    last = s.string[-1]
+    assert any(b"stupididiot" in x.tobytes() for x in s.codes[s.owner == last])
+
+
 def test_language(docs):
     got = language.identify_language(docs, held_out(F.col("doc_id"), 4, 2)).join(docs.select("doc_id", "lang", "text").distinct(), "doc_id").collect()
     out = [r for r in got if r.held_out and r.lang]
