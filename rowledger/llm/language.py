@@ -98,14 +98,19 @@ def _fitter(idf: np.ndarray):
 def fit_centroids(train: DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language and vector of each centroid, and each centroid's rejection distance.
 
-    The sample of a language is its ``FIT_TEXTS`` training texts of lowest hash, at most.
+    The sample of a language is at most ``FIT_TEXTS`` of its different training texts, drawn by hash.
     """
-    # a hash threshold per language, from its number of rows, keeps the sampled texts few before the shuffle
-    marked = train.withColumn("rank", F.xxhash64("text", F.lit(11)))
-    sizes = train.groupBy(F.col("lang").alias("of")).count()
-    share = F.lit(1.5 * FIT_TEXTS + 200) / F.col("count")
+    key = F.xxhash64("text", F.lit(11))
+    # copies are merged before anything is counted or dealt out by language
+    different = train.select("lang", key.alias("rank")).distinct()
+    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # a hash threshold per language, from its number of different texts, keeps the sampled texts few before the shuffle;
+    # it is so far above FIT_TEXTS that fewer texts fall below it only if the language has no more
+    share = F.lit(1.5 * FIT_TEXTS + 200) / F.col("n")
     low = F.pmod(F.col("rank"), F.lit(1 << 30)) < share * (1 << 30)
-    sample = marked.join(sizes, F.col("lang") == F.col("of")).where(low).select("lang", "text", "rank")
+    few = F.broadcast(sizes.withColumnRenamed("lang", "of"))
+    sample = train.withColumn("rank", key).join(few, F.col("lang") == F.col("of")).where(low)
+    sample = sample.groupBy("lang", "rank").agg(F.min("text").alias("text"))
     rows = sample.groupBy("lang").applyInPandas(_fitter(idf), "lang string, centers binary, reach double").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["centers"])))
     if not rows:

@@ -238,6 +238,18 @@ def test_language(docs):
     assert language.identify_language(empty(docs), fold()).count() == 0
 
 
+def test_language_with_many_copies(spark):
+    """A language of few texts with many copies each is learned, from its different texts."""
+    few = spark.range(8000).crossJoin(spark.createDataFrame([("aa", f"{w} zorblat kvex {w}um pliff") for w in ("mon", "tir", "pel")], "lang string, text string"))
+    other = spark.createDataFrame([("bb", f"the {a} and the {b} went home") for a in ("river", "stone", "cloud") for b in ("maple", "birch", "cedar")], "lang string, text string")
+    hot = other.where("text like '%stone%maple%'").crossJoin(spark.range(700)).select("lang", "text")
+    train = few.select("lang", "text").unionByName(other).unionByName(hot)
+    langs, centers, _ = language.fit_centroids(train, language.inverse_frequencies(train))
+    plain = few.select("lang", "text").distinct().unionByName(other)
+    once = language.fit_centroids(plain, language.inverse_frequencies(train))
+    assert langs == ["aa"] * 3 + ["bb"] * 4 == once[0] and np.array_equal(centers, once[1])
+
+
 def shingled(text):
     w = (text or "").translate(LOW).encode().split()
     return Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
