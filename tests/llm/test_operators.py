@@ -336,6 +336,20 @@ def test_changed_numbers_and_names_are_found(spark):
     assert set(got) == {(1, 7), (2, 7), (6, 9)} and got[1, 7] == 1 > got[2, 7]
 
 
+def test_exact_copies_of_short_items_are_found(spark):
+    items = [(1, "What is 12 * 7?"), (2, "What is the capital city of France?"), (3, "12 7"), (4, "Then Alice Brown met Bob Green near Paris Texas before Carol White left Rome")]
+    rows = [
+        (1, "today: What is 12 * 7? nobody knows", {1}), (2, "today: What is 13 * 7? nobody knows", set()), (3, "12 7", set()),
+        (4, "quiz: What is the capital city of France? nobody knows", {2}), (5, "they ask what is the capital city of france or so", {2}),
+        (6, "What is the capital city of Spain?", {2}), (7, "once then alice brown met bob green near paris texas before carol white left rome", {4}),
+        (8, "they like the capital city of many lands", set()),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, _, found in rows for i in found}
+    assert all(0.5 <= r.coverage <= 1 and 0.7 <= r.consistency <= 1 for r in got)
+
+
 def luhn(d):
     return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
