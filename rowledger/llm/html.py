@@ -2,14 +2,13 @@
 
 The page is read as a stream of parser events and cut into lines, one per block element. Each line has a
 text-to-tag ratio. The ratios are smoothed with a Gaussian and clustered by a threshold; the clusters
-point to the content regions. A region is then widened to its whole container (the innermost element that
-holds blocks of a cluster and is not boilerplate), so that short paragraphs between long ones stay.
+point to the content. It is then widened to the innermost element that holds all clusters, and to an article or main
+element around that, so that short paragraphs and sections between long ones stay. Boilerplate inside is left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -139,25 +138,21 @@ def content_lines(lines: list[tuple[str, int, int, bool]], parent: list[int], ki
     if not seeds:
         return []
 
-    def region(container: int) -> int:
-        """The enclosing article or main element, else the container itself."""
-        at = found = container
-        while at:
-            if kind[at] in ("article", "main"):
-                found = at
-            at = parent[at]
-        return found
-
-    weight: dict[int, float] = defaultdict(float)
-    for i in seeds:
-        weight[region(lines[i][2])] += len(lines[i][0])
-    named = {c for c in weight if kind[c] in ("article", "main")}
-    # without such an element: every region with a fair share of the largest one's text
-    regions = named or {c for c, w in weight.items() if w >= 0.2 * max(weight.values())}
+    # the element around all clusters; a parent's number is below its children's
+    around = lines[seeds[0]][2]
+    for i in seeds[1:]:
+        other = lines[i][2]
+        while around != other:
+            around, other = (parent[around], other) if around > other else (around, parent[other])
+    at = around
+    while at:
+        if kind[at] in ("article", "main"):
+            around = at
+        at = parent[at]
 
     def inside(container: int) -> bool:
         while True:
-            if container in regions:
+            if container == around:
                 return True
             if not container:
                 return False

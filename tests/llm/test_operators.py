@@ -85,6 +85,15 @@ def test_main_text():
     assert html.main_text(None) == ("", 0) and html.main_text("")[0] == "" and html.main_text("<nav>x</nav>")[0] == ""
 
 
+def test_main_text_loses_no_section():
+    """Neither a teaser in an article element nor a long section makes the others go."""
+    long = "A long paragraph of the text that the page is about, without any tags. " * 6
+    teaser = f"<body><nav>Home</nav><article><p>A teaser that is long enough to be taken for content.</p></article><div><p>{long}</p><p>{long}</p><p>Short.</p></div></body>"
+    assert html.main_text(teaser)[0] == "\n".join(["A teaser that is long enough to be taken for content.", long.strip(), long.strip(), "Short."])
+    sections = f"<body><nav>Home</nav><div><section><p>{long}</p><p>{long}</p></section><section><p>A short section of the same text, which also counts.</p></section></div></body>"
+    assert html.main_text(sections)[0] == "\n".join([long.strip(), long.strip(), "A short section of the same text, which also counts."])
+
+
 def test_main_text_of_pages(spark):
     for r in queries.op5_main_text(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").drop("url"), "page_id").collect():
         inner = re.search("<article>(.*)</article>", r.html, re.S).group(1)
