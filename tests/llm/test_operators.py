@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +200,11 @@ def toxic_scores(model, texts):
     return model.scores(model.values(toxicity.strings(data, at), len(texts)))
 
 
+def test_toxicity_sample_is_as_stated():
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    assert re.search(r"fitted on at most ([\d,]+) labelled texts per class", readme)[1] == f"{toxicity.FIT_TEXTS:,}" == "3,000"
+
+
 def test_repeated_moderate_strings_add_up():
     """A stem that clean texts have now and then marks the toxic texts without an insult, where it is repeated."""
     rng = np.random.default_rng(5)
