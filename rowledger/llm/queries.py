@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowledger.llm import decontaminate, html, language, licenses, lm, mixing, neardup, pii, quality, toxicity
+from rowledger.llm import decontaminate, html, language, licenses, lm, mixing, neardup, pii, quality, resampling, sharding, toxicity, whitening
 from rowledger.llm.common import documents, held_out, table
 
 
@@ -61,13 +61,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every sound vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark's texts, and the place of those drawn."""
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_personal_data, op2_decontaminate, op3_quality_rules, op4_mix_sources, op5_main_text, op6_lm_score,
         op7_license_scan, op8_toxicity, op9_near_duplicates, op10_language,
+        op11_whitening, op12_importance_resampling, op13_sharding,
     )
 }
 
 # the others have models, parsers or regular expressions that SQL doesn't; they are tested against brute force
-ORACLES: dict[str, str] = {"op4_mix_sources": mixing.oracle()}
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.oracle(), "op12_importance_resampling": resampling.oracle(), "op13_sharding": sharding.oracle()}
