@@ -36,6 +36,7 @@ STRIDE = 1          # longer strings are cut at every byte: what fits in a piece
 LANDMARKS = 192
 ROUNDS = 3
 FIT_TEXTS = 3000    # bound of the labelled sample, texts per class
+FIT_BYTES = 1 << 19  # of texts taken apart at a time
 FIT_STRINGS = 6000  # bound of the strings per class and round
 RUNS = (5, 6, 8)    # bytes of the runs that training begins with; the mark of a word's beginning counts as one
 SURE = 4.0          # standard errors that a run's log odds must be above zero
@@ -52,6 +53,7 @@ class Strings:
     owner: np.ndarray   # string of each piece
     text: np.ndarray    # text of each occurrence
     string: np.ndarray  # string of each occurrence
+    hashes: np.ndarray  # of each string, ascending
 
     def blamed(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The worst piece of each string above zero; of each of their occurrences, its place there and its text."""
@@ -100,7 +102,36 @@ def strings(data: np.ndarray, at: np.ndarray) -> Strings:
     codes[:, 0] = number == 0
     ends = np.flatnonzero(number == pieces[owner] - 1)
     codes[ends, size[ends] + 1] = 2
-    return Strings(codes, owner, text, string)
+    return Strings(codes, owner, text, string, distinct)
+
+
+def all_strings(texts: list[str]) -> Strings:
+    """The same of many texts, taken some at a time."""
+    parts = [(first, strings(data, at)) for first, _, data, at in T.chunks(pa.array(texts, pa.string()), FIT_BYTES)]
+    if not parts:
+        return strings(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    hashes = np.unique(np.concatenate([s.hashes for _, s in parts]))
+    known = np.zeros(len(hashes), bool)
+    codes, owner, text, string = [], [], [], []
+    while parts:
+        first, s = parts.pop(0)
+        place = np.searchsorted(hashes, s.hashes)
+        new = ~known[place]
+        known[place] = True
+        pieces = new[s.owner]
+        codes.append(s.codes[pieces])
+        owner.append(place[s.owner[pieces]].astype(np.int32))
+        text.append((s.text + first).astype(np.int32))
+        string.append(place[s.string].astype(np.int32))
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    laid, first = np.empty((len(order), WIDTH), np.uint8), 0
+    for part in codes:
+        laid[place[first : first + len(part)]] = part
+        first += len(part)
+    return Strings(laid, owner[order], np.concatenate(text), np.concatenate(string), hashes)
 
 
 def features(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -131,14 +162,15 @@ def evaluate(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def matrix(codes: np.ndarray) -> np.ndarray:
-    """Dense, normalised feature rows of a few strings."""
-    rows = np.zeros((len(codes), SIZE), np.float32)
+    """Dense, normalised features of a few strings, a column each."""
+    columns = np.zeros((SIZE, len(codes)), np.float32)
     norm = np.full(len(codes), 1e-9)
     line = np.arange(len(codes))[:, None]
     for bucket, present, weight in features(codes):
-        np.add.at(rows, (np.broadcast_to(line, bucket.shape)[present], bucket[present]), np.float32(weight))
+        np.add.at(columns, (bucket[present], np.broadcast_to(line, bucket.shape)[present]), np.float32(weight))
         norm += weight * weight * present.sum(axis=1)
-    return rows / np.sqrt(norm)[:, None].astype(np.float32)
+    columns /= np.sqrt(norm).astype(np.float32)
+    return columns
 
 
 def kernel(codes: np.ndarray, turned: np.ndarray) -> np.ndarray:
@@ -239,11 +271,11 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[new], b[new]
 
 
-def runs_of(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(piece, hash) of every run of the lengths ``RUNS``, some pieces at a time."""
-    for first in range(0, len(codes), 1 << 16):
-        wide = codes[first : first + (1 << 16)].astype(np.uint64)
-        for n in RUNS:
+def runs_of(codes: np.ndarray, lengths: tuple[int, ...] = RUNS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(piece, hash) of every run of these lengths, some pieces at a time."""
+    for first in range(0, len(codes), 1 << 15):
+        wide = codes[first : first + (1 << 15)].astype(np.uint64)
+        for n in lengths:
             run, present = np.zeros((len(wide), wide.shape[1] - n + 1), np.uint64), np.ones((len(wide), wide.shape[1] - n + 1), bool)
             for k in range(n):
                 column = wide[:, k : k + run.shape[1]]
@@ -252,61 +284,100 @@ def runs_of(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield first + line, T.mix(run[line, at] + np.uint64(n))
 
 
+def odds(a: np.ndarray, b: np.ndarray, many: int, few: int) -> np.ndarray:
+    """Log odds, less ``SURE`` standard errors, of what stands in ``a`` of ``many`` toxic and ``b`` of ``few`` clean texts."""
+    found = np.log((a + 1) / (many + 2)) - np.log((b + 1) / (few + 2))
+    return found - SURE * np.sqrt(1 / (a + 1) + 1 / (b + 1))
+
+
+def _held(codes: np.ndarray, owner: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, number of the run) for every string and run of ``kept`` in it, each once, by string."""
+    strings, numbers = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for piece, run in runs_of(codes):
+        number = np.minimum(np.searchsorted(kept, run), max(len(kept) - 1, 0))
+        same = kept[number] == run if len(kept) else np.zeros(len(run), bool)
+        string, number = distinct_pairs(owner[piece[same]].astype(np.uint32), number[same].astype(np.uint32))
+        strings.append(string)
+        numbers.append(number)
+    # the pieces of a string may fall into two blocks
+    return distinct_pairs(np.concatenate(strings), np.concatenate(numbers))
+
+
+def _candidates(codes: np.ndarray, owner: np.ndarray, texts_of: np.ndarray, least: int, barred: np.ndarray | None = None) -> np.ndarray:
+    """Runs, ascending, of strings in toxic texts that can stand in ``least`` of these; without those of barred strings.
+
+    ``texts_of`` counts the toxic texts of each string. Their sum over the strings with a run is at least its number of
+    texts. One length at a time, so that only the runs of one are held together.
+    """
+    out = [np.zeros(0, np.uint64)]
+    suspect = np.flatnonzero(texts_of[owner] > 0)
+    bad = codes[barred[owner]] if barred is not None else codes[:0]
+    for n in RUNS:
+        runs, most = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for piece, run in runs_of(codes[suspect], (n,)):
+            string, run = distinct_pairs(owner[suspect[piece]], run)
+            both, place = np.unique(np.concatenate([runs, run]), return_inverse=True)
+            most = np.bincount(place, np.concatenate([most, texts_of[string]]), len(both)).astype(np.int64)
+            runs = both
+        runs = runs[most >= least]
+        for _, run in runs_of(bad, (n,)):
+            runs = runs[~np.isin(runs, run)]
+        out.append(runs)
+    return np.unique(np.concatenate(out))
+
+
 def seeded(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """To begin with: log odds of each piece's best seed (zero without), which strings hold a seed, and a clear one.
 
     Seeds are runs that stand in more toxic than clean texts, beyond chance. They are taken one by one; strings with
     a seed are then left out of the counts, until no run is left that is beyond chance in the others. A seed is clear
-    if nearly all its texts are toxic.
+    if nearly all its texts are toxic. Runs that stand in too few toxic texts to be beyond chance are never held.
     """
-    n_strings = owner.max() + 1
-    found = [distinct_pairs(owner[piece], run) for piece, run in runs_of(codes)]
-    holder, run = (np.concatenate(x) for x in zip(*found))
-    # only runs of strings in toxic texts can be seeds
-    suspect = np.zeros(n_strings, bool)
-    suspect[s.string[toxic[s.text]]] = True
-    run_of_suspect = np.unique(run[suspect[holder]])
-    value, holds, strong = np.zeros(len(codes)), np.zeros(n_strings, bool), np.zeros(n_strings, bool)
-    if not len(run_of_suspect):
-        return value, holds, strong
-    number = np.minimum(np.searchsorted(run_of_suspect, run), len(run_of_suspect) - 1)
-    same = run_of_suspect[number] == run
-    known = len(run_of_suspect)
-    # pairs of string and run, then of text and run, each once
-    of_string = np.unique(holder[same] * known + number[same])
-    begins = np.searchsorted(of_string // known, np.arange(n_strings + 1))
-    of_pair, of_string = of_string // known, of_string % known
-    in_toxic, in_clean = np.zeros(known, np.int64), np.zeros(known, np.int64)
-    by_text = np.argsort(s.text, kind="stable")
-    cut = np.searchsorted(s.text[by_text], np.arange(len(toxic) + 1))
-
-    def runs_in(i: int) -> np.ndarray:
-        return np.unique(of_string[gather(begins, np.unique(s.string[by_text[cut[i] : cut[i + 1]]]))])
-
-    for i in range(len(toxic)):
-        (in_toxic if toxic[i] else in_clean)[runs_in(i)] += 1
-    many, few = toxic.sum(), (~toxic).sum()
+    n_strings, many, few = int(owner.max()) + 1, int(toxic.sum()), int((~toxic).sum())
+    pairs = np.unique(s.text.astype(np.int64) * n_strings + s.string)
+    in_text, string_of = pairs // n_strings, pairs % n_strings
+    del pairs
+    texts_of = np.bincount(string_of[toxic[in_text]], minlength=n_strings)
+    cut = np.searchsorted(in_text, np.arange(len(toxic) + 1))
+    clean_texts = np.arange(few + 1)
+    least = next((a for a in range(1, many + 1) if (odds(np.float64(a), clean_texts, many, few) > 0).any()), many + 1)
+
+    def counted(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        of_pair, of_string = _held(codes, owner, kept)
+        begins = np.searchsorted(of_pair, np.arange(n_strings + 1))
+        in_toxic, in_clean = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+        for i in range(len(toxic)):
+            runs = np.unique(of_string[gather(begins, string_of[cut[i] : cut[i + 1]])])
+            (in_toxic if toxic[i] else in_clean)[runs] += 1
+        return of_pair, of_string, begins, in_toxic, in_clean
 
-    def odds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        found = np.log((a + 1) / (many + 2)) - np.log((b + 1) / (few + 2))
-        return found - SURE * np.sqrt(1 / (a + 1) + 1 / (b + 1))
-
-    likely = odds(in_toxic, in_clean) > 0
+    value, holds, strong = np.zeros(len(codes)), np.zeros(n_strings, bool), np.zeros(n_strings, bool)
+    kept = _candidates(codes, owner, texts_of, least)
+    of_pair, of_string, begins, in_toxic, in_clean = counted(kept)
+    likely = odds(in_toxic, in_clean, many, few) > 0
     few_texts = not likely.any()
     if few_texts:  # too few for that: the commonest of those that no clean text has
-        likely = (in_clean == 0) & (in_toxic == in_toxic[in_clean == 0].max(initial=1))
+        clean = np.zeros(n_strings, bool)
+        clean[string_of[~toxic[in_text]]] = True
+        kept = _candidates(codes, owner, texts_of, 1, clean)
+        of_pair, of_string, begins, in_toxic, in_clean = counted(kept)
+        likely = in_toxic == in_toxic.max(initial=1)
+    known = len(kept)
+    if not known:
+        return value, holds, strong
     held, which = np.unique(of_pair[likely[of_string]]), of_string[likely[of_string]]
     begins = np.searchsorted(of_pair[likely[of_string]], np.arange(n_strings + 1))
     with_any = np.zeros(n_strings, bool)
     with_any[held] = True
-    seen = np.unique(s.text[with_any[s.string]].astype(np.int64) * n_strings + s.string[with_any[s.string]])
-    size = np.diff(begins)[seen % n_strings]
-    text, string, run = np.repeat(seen // n_strings, size), np.repeat(seen % n_strings, size), which[gather(begins, seen % n_strings)]
+    seen = with_any[string_of]
+    text, string = in_text[seen], string_of[seen]
+    size = np.diff(begins)[string]
+    text, string, run = np.repeat(text, size), np.repeat(string, size), which[gather(begins, string)].astype(np.int64)
     seeds = np.zeros(known, bool)
     while len(run):
         once = np.unique(text * known + run)
         a, b = (np.bincount(once[x] % known, minlength=known) for x in (toxic[once // known], ~toxic[once // known]))
-        gain = a * (1.0 if few_texts else np.maximum(odds(a, b), 0))
+        gain = a * (1.0 if few_texts else np.maximum(odds(a, b, many, few), 0))
         best = gain.argmax()
         if gain[best] <= 0:
             break
@@ -315,12 +386,12 @@ def seeded(codes: np.ndarray, owner: np.ndarray, s: Strings, toxic: np.ndarray)
         done[string[run == best]] = True
         left = ~done[string]
         text, string, run = text[left], string[left], run[left]
-    strength = np.ones(known) if few_texts else np.maximum(odds(in_toxic, in_clean), 1e-3)
+    strength = np.ones(known) if few_texts else np.maximum(odds(in_toxic, in_clean, many, few), 1e-3)
     clear = seeds & ((in_toxic + 1) >= CLEAR * (in_toxic + in_clean + 1))
     chosen = np.flatnonzero(seeds)
     for piece, run in runs_of(codes):
-        at = np.minimum(np.searchsorted(run_of_suspect[chosen], run), len(chosen) - 1) if len(chosen) else np.zeros(0, np.int64)
-        same = run_of_suspect[chosen[at]] == run if len(chosen) else np.zeros(len(run), bool)
+        at = np.minimum(np.searchsorted(kept[chosen], run), len(chosen) - 1) if len(chosen) else np.zeros(0, np.int64)
+        same = kept[chosen[at]] == run if len(chosen) else np.zeros(len(run), bool)
         piece, seed = piece[same], chosen[at[same]] if len(chosen) else chosen
         np.maximum.at(value, piece, strength[seed])
         holds[owner[piece]] = True
@@ -333,8 +404,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     nothing = Model(np.zeros(SIZE, np.float32), 0.0, 0.0, 2.0 if len(toxic) and toxic.all() else -2.0, np.zeros(SIZE, np.float32), 0.0)
     if not toxic.any() or toxic.all():
         return nothing
-    data, at = T.utf8(pa.array(texts, pa.string()))
-    s = strings(data, at)
+    s = all_strings(texts)
     if not len(s.codes):
         return nothing
     rng = np.random.default_rng(7)
@@ -367,10 +437,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         negative = np.unique(np.concatenate([hard, plain]))
         if turned is None:
             marks = np.concatenate([positive[: LANDMARKS * 2 // 3], plain[: LANDMARKS // 3]])
-            rows = matrix(s.codes[marks])
-            turned = np.ascontiguousarray(rows.T)
-            value, vector = np.linalg.eigh((rows @ rows.T).astype(float))
-            del rows
+            turned = matrix(s.codes[marks])
+            value, vector = np.linalg.eigh((turned.T @ turned).astype(float))
             good = value > 1e-6 * value.max()
             root = vector[:, good] / np.sqrt(value[good])
         hidden = disguised(s.codes[positive[: FIT_STRINGS // 4]], rng)
