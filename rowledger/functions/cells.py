@@ -17,6 +17,8 @@ NOT_A_NUMBER = r"(?i)^[+-]?nan$"
 # White space of every kind, as a character class.
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 MAYBE_NUMBER = rf"(?i)^{WHITE}*[+-]?(\d|\.\d|inf|nan)"
+# Fixed value: whole numbers that are their own key. Asked before any cast, because a failing cast is an exception inside.
+PLAIN_WHOLE = r"^(0|-?[1-9]\d*)$"
 YES_WORDS = ("Y", "YES", "TRUE", "1")
 
 
@@ -117,7 +119,7 @@ def normalize_key_part(c: str) -> str:
     number = bind(key_number(c), "_num", number_text("_num"))
     return (
         f"case when {c} is null then ''"
-        f" when length({c}) <= 15 and cast(try_cast({c} as bigint) as string) = {c} then {c}"
+        f" when length({c}) <= 15 and {c} rlike r'{PLAIN_WHOLE}' then {c}"
         f" when not {c} rlike r'{MAYBE_NUMBER}' then {c} else coalesce({number}, {c}) end"
     )
 

@@ -158,6 +158,32 @@ def _crowded_rows(before: DataFrame, after: DataFrame, pairs: DataFrame) -> Data
     )
 
 
+# A position as one number, whose maximum a hash aggregation can keep: file, byte offset, line.
+FILE_DIGITS, BLOCK_DIGITS, LINE_DIGITS = 6, 13, 19
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their position as one number, and the table's files by number."""
+    ranked = F.expr(f"row_number() over (partition by {', '.join(TABLE_KEY)} order by part) - 1")
+    files = write_once(
+        rows.selectExpr(*TABLE_KEY, "pos.part as part").distinct().select(*TABLE_KEY, "part", ranked.alias("file")), "files-of-rows"
+    )
+    digits = f"concat(file, lpad(pos.block, {BLOCK_DIGITS}, '0'), lpad(pos.line, {LINE_DIGITS}, '0'))"
+    fits = f"file < 1e{FILE_DIGITS} and pos.block < 1e{BLOCK_DIGITS}"
+    number = f"if({fits}, cast({digits} as decimal(38,0)), raise_error('position too large to be numbered')) as place"
+    same_file = [*TABLE_KEY, "part"]
+    return rows.withColumn("part", F.col("pos.part")).join(files, same_file).selectExpr(*ROW_KEY, "cells", number), files
+
+
+def _position_of(place: str, part: str) -> str:
+    digits = f"lpad(cast({place} as string), 38, '0')"
+    block, line = FILE_DIGITS + 1, FILE_DIGITS + BLOCK_DIGITS + 1
+    return (
+        f"cast(if({place} is null, null, struct({part} as part, cast(substr({digits}, {block}, {BLOCK_DIGITS}) as bigint) as block,"
+        f" cast(substr({digits}, {line}) as bigint) as line)) as {POSITION.simpleString()})"
+    )
+
+
 def _crowded_updates(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
     """Updates of repeated keys without forming the pairs.
 
@@ -165,50 +191,62 @@ def _crowded_updates(before: DataFrame, after: DataFrame, pairs: DataFrame) -> D
     cell need only be counted. Each old and each new text that takes part in a differing pair
     becomes one log row with the other side null; the new ones carry the number of pairs as
     ``copies`` and, as ``seq``, the last pair they belong to. The work is linear in the rows.
+
+    All rows may share one key: cells are counted by their text first, which spreads a key over all tasks, and
+    what is then joined by the key alone is one row per cell and written, so that it can be sent to all tasks.
     """
     layout = pairs.where("comparable").select(*TABLE_KEY, "nb", "na", "common")
+    b_rows, b_files = _numbered(before)
+    a_rows, a_files = _numbered(after)
 
     def cells(rows: DataFrame, side: str) -> DataFrame:
         entry = f"transform(common, c -> struct(c.name as column_name, {_cell('cells', 'c.' + side)} as value))"
         return (
-            rows.join(layout, TABLE_KEY).selectExpr(*ROW_KEY, "pos", f"explode({entry}) as cell")
-            .select(*ROW_KEY, "cell.*", "pos")
-            .groupBy(*CELL_KEY, "value").agg(F.expr("count(*) as n"), F.expr("max(pos) as pos"))
+            rows.join(layout, TABLE_KEY).selectExpr(*ROW_KEY, "place", f"explode({entry}) as cell")
+            .select(*ROW_KEY, "cell.*", "place")
+            .groupBy(*CELL_KEY, "value").agg(F.expr("count(*) as n"), F.expr("max(place) as place"))
             .selectExpr("*", f"{value_class('value')} as class")
         )
 
     def classes(values: DataFrame) -> DataFrame:
-        return values.groupBy(*CELL_KEY, "class").agg(F.expr("sum(n) as alike"), F.expr("max(pos) as pos"))
+        return values.groupBy(*CELL_KEY, "class").agg(F.expr("sum(n) as alike"), F.expr("max(place) as place"))
 
-    def totals(by_class: DataFrame) -> DataFrame:
-        return by_class.groupBy(*CELL_KEY).agg(
-            F.expr("sum(alike) as total"), F.expr("max(struct(pos, class)) as last")
-        )
+    def totals(by_class: DataFrame, name: str) -> DataFrame:
+        """Rows of a cell and its last place."""
+        return write_once(by_class.groupBy(*CELL_KEY).agg(F.expr("sum(alike) as total"), F.expr("max(place) as last")), name)
 
-    olds, news = write_once(cells(before, "b"), "old-cells"), write_once(cells(after, "a"), "new-cells")
-    old_classes, new_classes = classes(olds), classes(news)
-    old_totals, new_totals = totals(old_classes), totals(new_classes)
-    # the last old row outside the class of the very last one
-    runner_up = old_classes.join(old_totals, CELL_KEY).where("class <> last.class").groupBy(*CELL_KEY).agg(
-        F.expr("max(pos) as second")
-    )
+    olds, news = write_once(cells(b_rows, "b"), "old-cells"), write_once(cells(a_rows, "a"), "new-cells")
+    old_classes, new_classes = write_once(classes(olds), "old-classes"), write_once(classes(news), "new-classes")
+    old_totals, new_totals = totals(old_classes, "old-totals"), totals(new_classes, "new-totals")
+    # the class of the last old row, the greatest if rows share a place, and the last old row outside it
+    last_class = old_classes.join(old_totals, CELL_KEY).where("place = last").groupBy(*CELL_KEY).agg(F.expr("max(class) as last_class"))
+    last_class = write_once(last_class, "last-classes")
+    runner_up = old_classes.join(last_class, CELL_KEY).where("class <> last_class").groupBy(*CELL_KEY).agg(F.expr("max(place) as second"))
+    old_ends = write_once(old_totals.join(last_class, CELL_KEY).join(runner_up, CELL_KEY, "left"), "old-ends")
 
     def with_partners(values: DataFrame, other_totals: DataFrame, other_classes: DataFrame) -> DataFrame:
         return (
             values.join(other_totals, CELL_KEY)
-            .join(other_classes.drop("pos"), [*CELL_KEY, "class"], "left")
+            .join(other_classes.drop("place"), [*CELL_KEY, "class"], "left")
             .selectExpr("*", "total - coalesce(alike, 0) as partners")
             .where("partners > 0")
         )
 
-    old_rows = with_partners(olds, new_totals, new_classes).selectExpr(
+    def placed(rows: DataFrame, place: str, files: DataFrame) -> DataFrame:
+        """Positions, as ``pos``, of the numbers ``place``."""
+        file = f"cast(substr(lpad(cast({place} as string), 38, '0'), 1, {FILE_DIGITS}) as int) as file"
+        return rows.selectExpr("*", file).join(files, [*TABLE_KEY, "file"], "left").selectExpr(
+            *rows.columns, f"{_position_of(place, 'part')} as {place}_pos"
+        )
+
+    old_rows = placed(with_partners(olds, new_totals, new_classes), "place", b_files).selectExpr(
         *CELL_KEY, "value as old_value", "cast(null as string) as new_value",
-        f"{_sequence('pos', NO_POSITION)} as seq", "0L as copies",
+        f"{_sequence('place_pos', NO_POSITION)} as seq", "0L as copies",
     )
-    last_old = "if(last.class = class, second, last.pos)"
-    new_rows = with_partners(news, old_totals, old_classes).join(runner_up, CELL_KEY, "left").selectExpr(
+    met = with_partners(news, old_ends, old_classes).selectExpr("*", "if(last_class = class, second, last) as last_old")
+    new_rows = placed(placed(met, "place", a_files), "last_old", b_files).selectExpr(
         *CELL_KEY, "cast(null as string) as old_value", "value as new_value",
-        f"{_sequence(last_old, 'pos')} as seq", "n * partners as copies",
+        f"{_sequence('last_old_pos', 'place_pos')} as seq", "n * partners as copies",
     )
     return old_rows.unionAll(new_rows).join(layout, TABLE_KEY).selectExpr(
         *TABLE_KEY, "'value_update' as change_type", "nb as n_keys_before", "na as n_keys_after", "key_tuple",
@@ -263,7 +301,8 @@ def diff_tables(before: TableSet, after: TableSet, renames: DataFrame) -> Diff:
     if fresh is not None:
         parts.append(_fresh_fills(b.where(fresh), a.where(fresh), pairs))
     if crowding:
-        b_crowded, a_crowded = keep(b, "crowded"), keep(a, "crowded")
+        # several branches read these rows
+        b_crowded, a_crowded = (write_once(keep(rows, "crowded"), "crowded-rows") for rows in (b, a))
         parts.append(_crowded_rows(b_crowded, a_crowded, pairs))
         parts.append(_crowded_updates(b_crowded, a_crowded, pairs))
     errors = pairs.where("comparable and size(lost_keys) > 0").selectExpr(

@@ -83,8 +83,10 @@ _written: dict[tuple, DataFrame] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A source table as it is stored."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A source table as it is stored; one in fewer files than cores is dealt out, because a file's rows may be one block."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def source(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
@@ -162,8 +164,8 @@ def books(spark: SparkSession, sf_dir: str, request: str = "CR_1") -> tuple[Data
     ``balance``; nations under 5 get a second key; nations from 20 on get a column; MACHINERY
     loses its segment column; every supplier opens a new book.
     """
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    customer = read(spark, sf_dir, "customer")
+    supplier = read(spark, sf_dir, "supplier")
     rest = "'.csv' as suffix", "cast(null as string) as encoding", "cast(null as string) as source_path"
     head = f"'{request}' as change_request_id"
     before = customer.selectExpr(
@@ -186,8 +188,8 @@ def books(spark: SparkSession, sf_dir: str, request: str = "CR_1") -> tuple[Data
 def books_set(spark: SparkSession, sf_dir: str) -> TableSet:
     """The books as production: every order is a row of its customer's book."""
     before, _, _ = books(spark, sf_dir)
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = read(spark, sf_dir, "orders")
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "'' as change_request_id", "c_name as table_name",
         "named_struct('part', '', 'block', 0L, 'line', o_orderkey) as pos",

@@ -142,6 +142,13 @@ def with_log(select: str, only: str | None = None) -> str:
     return f"WITH {log_cte(only)} {select}"
 
 
+def hash_of_log() -> str:
+    """Four sums over all rows: parts of the MD5 sum of a row's cells, each led by its length."""
+    cells = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in LOG.split(", "))
+    parts = (f"coalesce(sum(CAST('0x' || substr(md5({cells}), {8 * i + 1}, 8) AS BIGINT)), 0)" for i in range(4))
+    return f"concat_ws('-', {', '.join(parts)})"
+
+
 def of_type(kind: str, extra: str = "") -> str:
     return with_log(f"SELECT {LOG} FROM log WHERE change_type = '{kind}' {extra}", "orders")
 
@@ -587,5 +594,9 @@ SELECT unnest(['utf', 'latin']) AS table_name, unnest(['utf-8-sig', 'cp1252']) A
     "discover_prefer_fac": "SELECT 'r' || s_nationkey || '/' || s_name AS table_name, CASE WHEN s_nationkey < 15 THEN '.FAC'"
                            " ELSE '.csv' END AS suffix FROM supplier",
     "changelog_roundtrip": with_log(f"SELECT {LOG} FROM log", "orders"),
+    "content_hash": with_log(f"SELECT count(*) AS n_rows, {hash_of_log()} AS content_hash FROM log"),
+    "audit_record": with_log(
+        "SELECT 'RUN' AS run_id, 'generate_changelog' AS mode, 'SUCCESS' AS final_status, count(*) AS n_rows,"
+        f" CAST(sum(copies) AS BIGINT) AS n_change_rows, count(DISTINCT table_name) AS tables_affected, {hash_of_log()} AS content_hash FROM log"),
     "latest_changelog": "SELECT 'Output/ChangeLog_' || event_id AS path FROM events ORDER BY ts DESC, path DESC LIMIT 1",
 }

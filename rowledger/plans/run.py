@@ -19,11 +19,11 @@ from rowledger.operators.review import Review, build_review
 from rowledger.operators.summary import summarize
 from rowledger.operators.validate import approved_log, conflict_messages, message, unresolved_conflicts, validate
 from rowledger.sources.changelog import (
-    content_hash, file_hashes, read_conflicts, read_log, write_conflicts, write_log,
+    file_hashes, log_facts, read_conflicts, read_log, write_conflicts, write_log,
 )
 from rowledger.sources.control import Control, read_control, request_steps
 from rowledger.sources.marker import scan_tables, write_tables
-from rowledger.storage import write_once
+from rowledger.storage import write_observed, write_once, write_once_observed
 
 MODES = ("validate_only", "apply")
 SUCCESS, FAILED, DRY_RUN = "SUCCESS", "FAILED", "DRY_RUN_SUCCESS"
@@ -43,9 +43,12 @@ class ChangeLog:
 
 @dataclass(frozen=True)
 class Integration:
+    """``approved`` is what is on record of the approved log."""
+
     status: str
     messages: DataFrame
     tables: TableSet | None
+    approved: dict
 
 
 def compare(before: TableSet, after: TableSet, control: Control) -> ChangeLog:
@@ -87,22 +90,22 @@ def integrate(
     if mode not in MODES:
         raise ValueError(f"mode must be 'validate_only' or 'apply', got {mode!r}")
     steps = write_once(request_steps(control.requests, require_approved=True), "approved-steps")
-    approved = write_once(approved_log(log, steps), "approved-log")
+    approved, facts = write_once_observed(approved_log(log, steps), "approved-log", **log_facts())
     open_conflicts = write_once(conflict_messages(unresolved_conflicts(conflicts, steps)), "open-conflicts")
     if mode == "apply" and not open_conflicts.isEmpty():
-        return Integration(FAILED, open_conflicts, None)
+        return Integration(FAILED, open_conflicts, None, facts)
     checks = write_once(validate(approved, production, control), "checks")
     messages = open_conflicts.unionByName(checks)
     if not checks.where("severity = 'FAIL'").isEmpty():
-        return Integration(FAILED, messages, None)
+        return Integration(FAILED, messages, None, facts)
     if mode == "validate_only":
         note = F.lit("Validation passed (dry-run); no tables written.")
-        return Integration(DRY_RUN, messages.unionByName(_note(log.sparkSession, "summary", note)), None)
+        return Integration(DRY_RUN, messages.unionByName(_note(log.sparkSession, "summary", note)), None, facts)
     applied = approved.groupBy(*TABLE_KEY).agg(F.sum("copies").alias("n"))
     notes = message(
         applied, "apply", F.format_string("Applied %d change row(s).", "n"), "INFO", **{c: c for c in TABLE_KEY}
     )
-    return Integration(SUCCESS, messages.unionByName(notes), apply_changes(production, approved))
+    return Integration(SUCCESS, messages.unionByName(notes), apply_changes(production, approved), facts)
 
 
 def _note(spark: SparkSession, section: str, text) -> DataFrame:
@@ -121,6 +124,11 @@ def report_totals(report_rows: DataFrame, status: str, mode: str) -> DataFrame:
     )
 
 
+def facts_frame(spark: SparkSession, facts: dict) -> DataFrame:
+    """One row of facts that a write observed."""
+    return spark.range(1).select(*(F.lit(value).alias(name) for name, value in facts.items()))
+
+
 def audit_record(run_id: str, mode: str, status: str, facts: DataFrame) -> DataFrame:
     """One audit row; ``facts`` holds one row of run-specific values."""
     return facts.select(
@@ -197,22 +205,17 @@ def _change_log(
         raise ValueError(broken[0]["message"])
     out = f"{output}/ChangeLog_{run_id}"
     found = compare(_with_lost_tables(scan, "before"), scan.after, control)
-    write_log(found.log, out)
-    write_conflicts(found.conflicts.conflicts, out)
+    log = write_log(found.log, out)
+    conflicts = write_conflicts(found.conflicts.conflicts, out)
     found.conflicts.values.write.mode("overwrite").parquet(f"{out}/conflict_values")
     found.summary.write.mode("overwrite").parquet(f"{out}/summary")
-    found.warnings.write.mode("overwrite").parquet(f"{out}/warnings")
+    warnings = write_observed(found.warnings, f"{out}/warnings", n_warnings=F.count("*"))
     found.review.columns.write.mode("overwrite").parquet(f"{out}/review_columns")
     found.review.notes.write.mode("overwrite").parquet(f"{out}/review_notes")
     found.review.grid.write.mode("overwrite").parquet(f"{out}/review_grid")
-    log = spark.read.parquet(f"{out}/log")
     facts = _one_row(
-        spark,
-        control_hashes=_hashes(spark, control_folder), change_requests=included.select("step", "change_request_id"),
-        counts=log.agg(F.count_distinct("table_name").alias("tables_affected"), F.coalesce(F.sum("copies"), F.lit(0)).alias("n_change_rows")),
-        conflicts=spark.read.parquet(f"{out}/conflicts").agg(F.count("*").alias("n_conflicts")),
-        warnings=spark.read.parquet(f"{out}/warnings").agg(F.count("*").alias("n_warnings")),
-        change_log=content_hash(log.select("change_request_id", "table_name", "change_type", "key_tuple", "column_name", "old_value", "new_value")),
+        spark, control_hashes=_hashes(spark, control_folder), change_requests=included.select("step", "change_request_id"),
+        change_log=facts_frame(spark, log), conflicts=facts_frame(spark, conflicts), warnings=facts_frame(spark, warnings),
     )
     _write_audit(facts, output, run_id, "generate_changelog", SUCCESS)
     return out
@@ -241,7 +244,7 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
     run_id = _run_id(spark, control)
     out = f"{output}/IntegrationReport_{run_id}"
     status, messages, n_tables = FAILED, message(spark.range(0), "error", F.lit(""), "FAIL"), 0
-    log = None
+    approved = None
     try:
         log = read_log(spark, change_log)
         conflicts = read_conflicts(spark, change_log if not change_log.endswith(".csv") else os.path.dirname(change_log))
@@ -250,7 +253,7 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
         if broken:
             raise ValueError(broken[0]["message"])
         result = integrate(log, conflicts, scan.tables, control, mode)
-        messages = result.messages
+        messages, approved = result.messages, result.approved
         if result.tables is not None:
             target = f"{output}/New_Production_Tables"
             write_tables(result.tables, target)
@@ -267,8 +270,8 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
         report_totals(rows, status, mode).write.mode("overwrite").parquet(f"{out}/totals")
         facts = _one_row(
             spark, control_hashes=_hashes(spark, control_folder),
-            # a log that cannot be read has no hash
-            **({} if log is None else {"change_log": content_hash(log.select("change_request_id", "table_name", "change_type", "key_tuple", "column_name", "old_value", "new_value"))}),
+            # a log that cannot be read has no facts
+            **({} if approved is None else {"change_log": facts_frame(spark, approved)}),
             change_requests=request_steps(control.requests, True).select("step", "change_request_id"),
             counts=report_totals(rows, status, mode).withColumn("tables_affected", F.lit(n_tables)),
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,15 +11,17 @@ from rowledger.functions.cells import literal, strip, text
 from rowledger.model import LOG_COLUMNS, POSITION, small_frame
 from rowledger.operators.conflicts import CONFLICT_COLUMNS, flat_conflicts
 from rowledger.operators.diff import CROWDED_NOTE
+from rowledger.storage import write_observed
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 SEQUENCE = f"struct<old:{POSITION.simpleString()},new:{POSITION.simpleString()}>"
 
 
-def write_log(log: DataFrame, folder: str) -> None:
-    """The log as parquet, which later stages read, and as CSV for people."""
-    log.write.mode("overwrite").parquet(f"{folder}/log")
+def write_log(log: DataFrame, folder: str) -> dict:
+    """The log as parquet, which later stages read, and as CSV for people. Returns what is on record of it."""
+    facts = write_observed(log, f"{folder}/log", **log_facts())
     export_log(log.sparkSession.read.parquet(f"{folder}/log"), f"{folder}/detail_csv")
+    return facts
 
 
 def export_log(log: DataFrame, path: str) -> None:
@@ -78,11 +80,12 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return normalize_log(spark.read.parquet(f"{folder}/log"))
 
 
-def write_conflicts(conflicts: DataFrame, folder: str) -> None:
-    """Conflicts as parquet, and as a CSV in which people mark them resolved."""
-    conflicts.write.mode("overwrite").parquet(f"{folder}/conflicts")
+def write_conflicts(conflicts: DataFrame, folder: str) -> dict:
+    """Conflicts as parquet, and as a CSV in which people mark them resolved. Returns their number."""
+    facts = write_observed(conflicts, f"{folder}/conflicts", n_conflicts=F.count("*"))
     written = conflicts.sparkSession.read.parquet(f"{folder}/conflicts")
     flat_conflicts(written).write.options(**CSV_OPTIONS, emptyValue="").mode("overwrite").csv(f"{folder}/conflicts_csv")
+    return facts
 
 
 def parse_conflicts(df: DataFrame) -> DataFrame:
@@ -106,12 +109,32 @@ def read_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return parse_conflicts(df)
 
 
+def hash_of_rows(columns: list[str]) -> Column:
+    """Aggregate: hash of a table's rows with their numbers, whatever their order.
+
+    Every row becomes one text, each cell led by its length, so that no two rows share it. The four parts of its
+    MD5 sum are added up over all rows, each apart.
+    """
+    cells = [F.coalesce(F.concat(F.length(text_of).cast("string"), F.lit(":"), text_of), F.lit("-")) for text_of in (F.col(c).cast("string") for c in columns)]
+    digest = F.md5(F.concat(*cells))
+    parts = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint").cast("decimal(20,0)") for i in range(4)]
+    return F.concat_ws("-", *(F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts))
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and an order-insensitive hash of all rows."""
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content_hash"),
-    )
+    return df.agg(F.count("*").alias("n_rows"), hash_of_rows(df.columns).alias("content_hash"))
+
+
+def log_facts() -> dict[str, Column]:
+    """What is on record of a change log: rows, rows with their copies, tables named in it, and its hash.
+
+    The set of table names is as large as the list of tables.
+    """
+    return {
+        "n_rows": F.count("*"), "n_change_rows": F.coalesce(F.sum("copies"), F.lit(0)),
+        "tables_affected": F.size(F.collect_set("table_name")), "content_hash": hash_of_rows(LOG_COLUMNS),
+    }
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

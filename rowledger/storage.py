@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_folder: str | None = None
 
@@ -33,7 +33,23 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage in a way that outlives executors, runs shared work once, and gives
     the optimizer the true size, so it alone decides whether a join side may be broadcast.
     """
+    return write_once_observed(df, name)[0]
+
+
+def write_once_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates taken on the way as in ``write_observed``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    facts = write_observed(df, path, **metrics) if metrics else df.write.parquet(path) or {}
+    return spark.read.schema(df.schema).parquet(path), facts
+
+
+def write_observed(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write ``df`` to ``path`` and return aggregates over it, taken while its rows pass on their way to the files.
+
+    The aggregates sit right under the write, in tasks whose results count once however often they run.
+    """
+    seen = Observation()
+    df.observe(seen, *(m.alias(name) for name, m in metrics.items())).write.mode("overwrite").parquet(path)
+    found = seen.get
+    return {name: found.get(name) for name in metrics}
