@@ -313,11 +313,12 @@ def fit_model(spark: SparkSession, train: DataFrame) -> Model:
     """Count ``train.text`` and write the sorted arrays. Nothing that grows with the corpus comes to the driver."""
     train = train.select("text")
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # as many tasks as shards, so that no task grows with the input
     shards = partitions_for(spark, size, SHARD_BYTES)
     folder = opened_by_workers(new_path(spark, "bigrams"))
     os.makedirs(folder)
     words = write_once(
-        train.mapInArrow(_word_counts(shards), "shard int, data binary").groupBy("shard")
+        train.mapInArrow(_word_counts(shards), "shard int, data binary").repartition(shards, "shard").groupBy("shard")
         .applyInPandas(_merge_words, "shard int, data binary, tokens long, types long"),
         "word-counts",
     )
@@ -335,7 +336,7 @@ def fit_model(spark: SparkSession, train: DataFrame) -> Model:
         np.array([min(shards, 1 + 2 * n // least) for _, n in spread], np.int64),
     )
     merged_pairs = write_once(
-        train.mapInArrow(_pair_counts(deal), "shard int, data binary").groupBy("shard")
+        train.mapInArrow(_pair_counts(deal), "shard int, data binary").repartition(shards, "shard").groupBy("shard")
         .applyInPandas(_merge_pairs(folder, deal), "shard int, data binary, coc array<long>, hot binary"),
         "pair-counts",
     )
@@ -347,7 +348,8 @@ def fit_model(spark: SparkSession, train: DataFrame) -> Model:
     parts = [np.concatenate(x) for x in zip(*hot)]
     whole = [added_up(parts[0], x)[2] for x in parts[1:]]
     saved = write_once(
-        words.groupBy("shard").cogroup(merged_pairs.where("shard >= 0").select("shard", "data").groupBy("shard"))
+        words.repartition(shards, "shard").groupBy("shard")
+        .cogroup(merged_pairs.where("shard >= 0").select("shard", "data").repartition(shards, "shard").groupBy("shard"))
         .applyInPandas(_save_words(folder), "coc array<long>, types long"),
         "word-types",
     )

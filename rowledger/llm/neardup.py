@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rowledger.llm import tokens as T
 from rowledger.llm.common import write_once
@@ -34,7 +35,7 @@ COORDINATES = BANDS * ROWS
 AGREEMENT = SIMILARITY - 4.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 BROADCAST_IDS = 1_000_000
 
-SIGNED = "id long, key_1 long, key_2 long, n long, bands array<long>, marks binary"
+SIGNED = "row_id long, key_1 long, key_2 long, n long, bands array<long>, marks binary"
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, T.Words]:
@@ -114,7 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
                     pa.array([m.tobytes() for m in marks], pa.binary()),
                 ],
-                ["id", "key_1", "key_2", "n", "bands", "marks"],
+                ["row_id", "key_1", "key_2", "n", "bands", "marks"],
             )
 
 
@@ -195,22 +196,29 @@ def row_id(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), -1 - F.pmod(F.xxhash64(text), F.lit(1 << 62)))
 
 
-def _linked(pairs: DataFrame, marks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of ids that are similar."""
+def _linked(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of texts that are similar."""
     pairs = (
-        pairs.join(marks.select(F.col("id").alias("a"), F.col("marks").alias("left")), "a")
-        .join(marks.select(F.col("id").alias("b"), F.col("marks").alias("right")), "b")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("marks").alias("left")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("marks").alias("right")), "b")
         .select("a", "b", "left", "right").mapInArrow(_agree, "a long, b long")
     )
     pairs = write_once(pairs, "pairs")
-    texts = _wanted(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    wanted = _wanted(docs, texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     return (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+        pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+        .join(wanted.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
         .select("a", "b", "left", "right").mapInArrow(_compare(similarity), "a long, b long")
     )
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, data, at in T.chunks(batch.column(1)):
+            key_1, key_2 = word_keys(T.words(data, at))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(key_1), pa.array(key_2), batch.column(1)[first:last]], ["row_id", "key_1", "key_2", "text"])
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, at in T.chunks(batch.column(1)):
@@ -218,23 +226,28 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[first:last].take(pa.array(text)), pa.array(units(text, element).view(np.int64))], ["id", "unit"])
 
 
-def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row (id, text) for each of ``ids``, written."""
-    ids = write_once(ids.select("id").distinct(), "needed")
+def _wanted(docs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (id, text) for each text of ``ids``, written.
+
+    A text is fetched from the rows of its smallest row id. Rows may share that id, so their words decide.
+    """
+    wanted = write_once(texts.join(ids.select("id").distinct(), "id", "left_semi").select("id", "row_id", "key_1", "key_2"), "needed")
+    rows = wanted.select("row_id").distinct()
     # ids of 8 bytes go to all tasks while they are few, so that only their texts are shuffled
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return write_once(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    if wanted.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    found = docs.select("row_id", "text").join(rows, "row_id", "left_semi").mapInArrow(_keyed, "row_id long, key_1 long, key_2 long, text string")
+    return write_once(found.join(wanted, ["row_id", "key_1", "key_2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different classes that can be similar, by prefix, length and positional filter.
 
     With the units of weight ordered by how many texts have them, similar texts share one of the first
     n - ceil(similarity * n) + 1 of either, so passages that many texts have make no pairs. After the first unit that they
     share, either has only so many units left, which must do for the overlap that is needed.
     """
-    found = write_once(_wanted(texts, rest).select("id", "text").mapInArrow(_units, "id long, unit long"), "units")
+    found = write_once(_wanted(docs, texts, rest).mapInArrow(_units, "id long, unit long"), "units")
     common = found.groupBy("unit").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     # units of one text alone come first in its order and join nothing
     own = Window.partitionBy("id")
@@ -255,19 +268,20 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> DataF
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``id``, and ``class_id``, the smallest id of its class.
 
+    Also ``class``, a number that no other class has (null without words), and two keys of the words.
+
     Texts of the same words (after lower-casing A-Z) are copies; texts at or above ``similarity`` are linked, and linked
     texts form classes. A text without words is a class of its own. A text of one to four words is a single shingle.
-    Rows without doc_id get a negative id from their text. Rows that share a doc_id are judged by their texts. Further
-    columns of ``docs`` are not looked at.
+    Rows without doc_id get a negative id from their text. Rows that share a doc_id are judged each by its own text, so
+    they may stand in several classes; classes with the same smallest id differ in ``class``. Long texts are taken
+    whole, one at a time if need be. Further columns of ``docs`` are not looked at.
     """
-    own = docs.select("doc_id", row_id(F.col("doc_id"), F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = write_once(own.select("id", "text").mapInArrow(_sign, SIGNED), "signed")
+    own = docs.select("doc_id", row_id(F.col("doc_id"), F.col("text")).alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = write_once(own.select("row_id", "text").mapInArrow(_sign, SIGNED), "signed")
     full = signed.where("n > 0")
-    texts = write_once(
-        full.groupBy("key_1", "key_2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")),
-        "distinct-texts",
-    )
-    marks = write_once(texts.select("id", "marks").dropDuplicates(["id"]), "marks")
+    # each different text is a node with a number of its own, given once and written
+    texts = full.groupBy("key_1", "key_2").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    texts = write_once(texts.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
     rows = texts.select("id", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     members = write_once(rows.join(shared.select("bucket", "size"), "bucket"), "shared-buckets")
@@ -278,27 +292,52 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     leaders = members.groupBy("bucket").agg(F.max(F.struct("met", -F.col("id"), "n")).alias("top"))
     leaders = leaders.select("bucket", (-F.col("top.col2")).alias("leader"), F.col("top.n").alias("leader_n"))
     pairs = members.join(leaders, "bucket").where(near).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-    own_texts = own.select("id", "text")
-    links = write_once(_linked(pairs.distinct(), marks, own_texts, similarity), "links")
+    links = write_once(_linked(pairs.distinct(), texts, own, similarity), "links")
     classes = components(links)
     # buckets within one class are done; the texts of all others are joined exactly
     rest = members.select("bucket", "id", "n").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     open_ = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
     rest = write_once(rest.join(open_, "bucket", "left_semi").select("id", "n", "class").distinct(), "open")
     if not rest.isEmpty():
-        pairs = _prefix_pairs(rest, own_texts, similarity)
-        links = write_once(_linked(pairs, marks, own_texts, similarity), "links")
+        pairs = _prefix_pairs(rest, texts, own, similarity)
+        links = write_once(_linked(pairs, texts, own, similarity), "links")
         # earlier classes go on as their members' links to the smallest id
         classes = components(links.union(classes.select("id", "class")))
-    of_text = texts.select("key_1", "key_2", "id").join(classes, "id", "left").select("key_1", "key_2", F.coalesce("class", "id").alias("class_id"))
-    with_key = signed.select("id", "n", "key_1", "key_2").join(of_text, ["key_1", "key_2"], "left")
-    class_id = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id"))
-    return with_key.select(F.when(F.col("id") >= 0, F.col("id")).alias("doc_id"), "id", class_id.alias("class_id"))
+    # a class is named after the smallest row id of its texts
+    of_text = write_once(
+        texts.select("key_1", "key_2", "id", "row_id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")), "classes-of-texts"
+    )
+    names = of_text.groupBy("class").agg(F.min("row_id").alias("class_id"))
+    with_key = signed.select("row_id", "n", "key_1", "key_2").join(of_text.join(names, "class").select("key_1", "key_2", "class", "class_id"), ["key_1", "key_2"], "left")
+    class_id = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("row_id"))
+    return with_key.select(
+        F.when(F.col("row_id") >= 0, F.col("row_id")).alias("doc_id"), F.col("row_id").alias("id"), class_id.alias("class_id"), "class", "key_1", "key_2"
+    )
+
+
+def _keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, data, at in T.chunks(batch.column(1)):
+            key_1, key_2 = word_keys(T.words(data, at))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(key_1), pa.array(key_2), batch.column(2)[first:last]], ["id", "key_1", "key_2", "row"])
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose id is their class's; of rows repeated with id and text, one stays."""
-    found = near_duplicates(docs, similarity)
-    kept = write_once(found.where("id = class_id").select(F.col("id").alias("__id")).distinct(), "kept")
-    marked = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text"))).withColumn("__text", F.xxhash64("text"))
-    return marked.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    """One row of ``docs`` per class: the one of its smallest id, and if that has several texts in the class, of one of them.
+
+    Rows without words stay, once per id.
+    """
+    found = write_once(near_duplicates(docs, similarity), "classes-of-rows")
+    kept = found.groupBy("class", F.when(F.col("class").isNull(), F.col("id")).alias("own")).agg(F.min(F.struct("id", "key_1", "key_2")).alias("k")).select("k.*")
+    per_id = found.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = write_once(kept.join(per_id, "id"), "kept")
+    marked = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = marked.join(kept.where("rows = 1").select("id"), "id", "left_semi").select("row.*")
+    # only rows of repeated ids are told apart by their words
+    schema = StructType([StructField(n, LongType()) for n in ("id", "key_1", "key_2")] + [marked.schema["row"]])
+    keyed = marked.join(kept.where("rows > 1").select("id").distinct(), "id", "left_semi").mapInArrow(
+        _keyed_rows, schema
+    )
+    names = ["id", "key_1", "key_2"]
+    repeated = keyed.join(kept.select(*names), names, "left_semi").dropDuplicates(names).select("row.*")
+    return single.unionByName(repeated)
