@@ -90,11 +90,10 @@ def _apply_era(rows: DataFrame, edits: DataFrame, steps: DataFrame) -> DataFrame
     )
 
 
-def apply_changes(production: TableSet, log: DataFrame) -> TableSet:
-    """The production set after the approved log; ``log`` carries ``step``.
+def changed_tables(production: TableSet, log: DataFrame) -> TableSet:
+    """The tables that the approved log names, after it; ``log`` carries ``step``.
 
-    Tables the log does not name pass through untouched. Order of rows: existing rows in
-    place, then added rows by step and key.
+    Order of rows: existing rows in place, then added rows by step and key.
     """
     final, steps = evolution(production.meta, log)
     edits = write_once(row_edits(log, steps), "edits")
@@ -117,12 +116,25 @@ def apply_changes(production: TableSet, log: DataFrame) -> TableSet:
     changed = rows.join(final.select("table_name", "final_slots"), ["table_name"]).selectExpr(
         "'' as change_request_id", "table_name", "pos", f"{cells_at('cells', 'final_slots')} as cells"
     )
-    untouched = production.rows.join(final.select("table_name"), ["table_name"], "left_anti")
-    return TableSet(
-        _final_meta(production.meta, final),
-        untouched.select(*changed.columns).unionByName(changed),
-        production.dummies.join(final.where("reset_step > 0").select("table_name"), ["table_name"], "left_anti"),
-    )
+    of_old = production.meta.join(final.select("table_name"), ["table_name"], "left_semi")
+    kept_around = final.where("reset_step = 0").select("table_name")
+    return TableSet(_final_meta(of_old, final), changed, production.dummies.join(kept_around, ["table_name"], "left_semi"))
+
+
+def with_untouched(production: TableSet, changed: TableSet) -> TableSet:
+    """All tables: changed ones, and those of production that the log doesn't name, as they are."""
+    names = changed.meta.select("table_name")
+
+    def both(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(names, ["table_name"], "left_anti").select(*new.columns).unionByName(new)
+
+    meta = production.meta.withColumn("change_request_id", F.lit(""))
+    return TableSet(both(meta, changed.meta), both(production.rows, changed.rows), both(production.dummies, changed.dummies))
+
+
+def apply_changes(production: TableSet, log: DataFrame) -> TableSet:
+    """The production set after the approved log; tables that it does not name pass through untouched."""
+    return with_untouched(production, changed_tables(production, log))
 
 
 def _final_meta(meta: DataFrame, final: DataFrame) -> DataFrame:

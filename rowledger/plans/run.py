@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowledger.model import TABLE_KEY, TableSet
-from rowledger.operators.apply import apply_changes
+from rowledger.operators.apply import changed_tables, with_untouched
 from rowledger.operators.conflicts import Conflicts, detect_conflicts
 from rowledger.operators.diff import Diff, diff_tables
 from rowledger.operators.review import Review, build_review
@@ -23,6 +23,7 @@ from rowledger.sources.changelog import (
 )
 from rowledger.sources.control import Control, read_control, request_steps
 from rowledger.sources.marker import scan_tables, write_tables
+from rowledger.sources.published import kept_tables, publish
 from rowledger.storage import write_observed, write_once, write_once_observed
 
 MODES = ("validate_only", "apply")
@@ -43,12 +44,13 @@ class ChangeLog:
 
 @dataclass(frozen=True)
 class Integration:
-    """``approved`` is what is on record of the approved log."""
+    """``tables`` is the whole set and ``changed`` what of it the log names; ``approved`` is what is on record of the log."""
 
     status: str
     messages: DataFrame
     tables: TableSet | None
     approved: dict
+    changed: TableSet | None = None
 
 
 def compare(before: TableSet, after: TableSet, control: Control) -> ChangeLog:
@@ -105,7 +107,8 @@ def integrate(
     notes = message(
         applied, "apply", F.format_string("Applied %d change row(s).", "n"), "INFO", **{c: c for c in TABLE_KEY}
     )
-    return Integration(SUCCESS, messages.unionByName(notes), apply_changes(production, approved), facts)
+    changed = changed_tables(production, approved)
+    return Integration(SUCCESS, messages.unionByName(notes), with_untouched(production, changed), facts, changed)
 
 
 def _note(spark: SparkSession, section: str, text) -> DataFrame:
@@ -195,8 +198,10 @@ def generate_change_log(spark: SparkSession, control_folder: str) -> str:
 def _change_log(
     spark: SparkSession, control: Control, control_folder: str, root: str, output: str, run_id: str
 ) -> str:
-    scan = scan_tables(spark, f"{root}/ChangeRequests", path_fields=True)
     included = request_steps(control.requests)
+    # a row per change request
+    ids = [r["change_request_id"] for r in included.select("change_request_id").collect()]
+    scan = scan_tables(spark, f"{root}/ChangeRequests", path_fields=True, requests=ids)
     # vanished tables are not compared, so only tables of the new side can fail
     broken = scan.errors.join(included, ["change_request_id"], "left_semi")
     after_files = scan.files.where("side = 'after'").select(*TABLE_KEY)
@@ -232,10 +237,16 @@ def _with_lost_tables(scan, side: str) -> TableSet:
     return tables.with_tables(meta=tables.meta.unionByName(lost))
 
 
+def export_tables(spark: SparkSession, published: str, folder: str) -> None:
+    """Write every table of a set as plain text files, whichever run wrote it."""
+    write_tables(scan_tables(spark, published).tables, folder)
+
+
 def integrate_changes(spark: SparkSession, control_folder: str, change_log: str, mode: str) -> str:
     """Stage 2. Returns the folder ``IntegrationReport_<run id>`` with ``report`` and ``totals``.
 
-    In mode ``apply``, and only if nothing failed, ``New_Production_Tables`` is written.
+    In mode ``apply``, and only if nothing failed, ``New_Production_Tables`` gets a new version (see ``published``), which
+    ``export_tables`` copies to plain files.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be 'validate_only' or 'apply', got {mode!r}")
@@ -254,10 +265,9 @@ def integrate_changes(spark: SparkSession, control_folder: str, change_log: str,
             raise ValueError(broken[0]["message"])
         result = integrate(log, conflicts, scan.tables, control, mode)
         messages, approved = result.messages, result.approved
-        if result.tables is not None:
+        if result.changed is not None:
             target = f"{output}/New_Production_Tables"
-            write_tables(result.tables, target)
-            n_tables = result.tables.meta.count()
+            n_tables = publish(write_tables, result.changed, kept_tables(scan.files), target)
             note = F.lit(f"Wrote {n_tables} table(s) to {target}")
             messages = messages.unionByName(_note(spark, "summary", note))
         status = result.status

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from rowledger.functions.cells import literal, strip
 from rowledger.model import BODY, HEADER, LEADING, META, POSITION, TRAILING, TableSet, empty_set, small_frame
+from rowledger.sources.published import roots_of
 from rowledger.storage import write_once
 
 # File suffixes of tables, and of the parts of a written table.
@@ -37,10 +39,12 @@ UNDEFINED_CHARS = b"".join(UNDEFINED).decode(LATIN1)
 
 FILE_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("file_path", "change_request_id", "side", "table_name", "suffix", "part")]
-    + [T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())]
+    + [T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType()), T.StructField("root", T.StringType())]
 )
 
 
+# Signs with a meaning in path patterns.
+GLOB_SIGNS = re.compile(r"[\\*?\[\]{},]")
 NAME_SCHEMA = T.StructType([T.StructField("file_path", T.StringType())])
 
 
@@ -85,15 +89,30 @@ def _reader(spark: SparkSession, kind: str):
     return spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", NAME_GLOB)
 
 
-def list_tables(spark: SparkSession, folder: str, path_fields: bool = False) -> DataFrame:
+def _below(folder: str, requests: list[str] | None) -> str:
+    """The folder, or the folders of some change requests in it, as a pattern."""
+    if requests is None:
+        return folder
+    return f"{folder}/{{{','.join(GLOB_SIGNS.sub(lambda m: chr(92) + m.group(), r) for r in requests)}}}"
+
+
+def list_tables(spark: SparkSession, folder: str, path_fields: bool = False, requests: list[str] | None = None) -> DataFrame:
     """Table files under a folder; identity is the relative path without suffix.
 
-    With ``path_fields`` the first two path components are the change request and the side.
-    A table written in parts is the folder ``table_file=<name>``. ``.fac`` beats ``.csv``,
-    otherwise the first path in order wins. A missing folder has no tables.
+    With ``path_fields`` the first two path components are the change request and the side; ``requests`` are those
+    to look at. A table written in parts is the folder ``table_file=<name>``. ``.fac`` beats ``.csv``, otherwise the first
+    path in order wins. A missing folder has no tables. Of a published set, the tables of its newest version are listed.
     """
+    if path_fields:
+        return _list_folder(spark, folder, True, requests)
+    roots, published = roots_of(spark, folder)
+    found = reduce(DataFrame.unionByName, (_list_folder(spark, root) for root in roots))
+    return found if published is None else found.join(published, ["table_name", "suffix", "root"], "left_semi").select(*found.columns)
+
+
+def _list_folder(spark: SparkSession, folder: str, path_fields: bool = False, requests: list[str] | None = None) -> DataFrame:
     try:
-        files = _reader(spark, "binaryFile").load(folder)
+        files = _reader(spark, "binaryFile").load(_below(folder, requests))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -129,7 +148,8 @@ def list_tables(spark: SparkSession, folder: str, path_fields: bool = False) ->
         F.expr("min_by(name, struct(kind <> '.fac', name)) as name")
     )
     return listed.join(best, [*owner, "name"]).selectExpr(
-        "file_path", *owner, r"regexp_extract(name, r'(\.[^./]+)$', 1) as suffix", "part", "length", "modified"
+        "file_path", *owner, r"regexp_extract(name, r'(\.[^./]+)$', 1) as suffix", "part", "length", "modified",
+        f"{literal(folder)} as root",
     )
 
 
@@ -147,13 +167,13 @@ class Scan:
         return self.before
 
 
-def _lines(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+def _lines(spark: SparkSession, folders: list[str], files: DataFrame) -> DataFrame:
     """Raw lines of the chosen files with their positions, read and numbered once.
 
     Positions depend on how a scan is cut into splits, which changes with the cluster. They are only
     comparable within one scan, so all that follows works on the written lines.
     """
-    raw = _reader(spark, "text").load(folder).selectExpr(
+    raw = _reader(spark, "text").load(folders).selectExpr(
         "value", "_metadata.file_path as file_path", "_metadata.file_block_start as block",
         "monotonically_increasing_id() as line",
     )
@@ -224,16 +244,18 @@ def _problems(layout: DataFrame) -> DataFrame:
     )
 
 
-def scan_tables(spark: SparkSession, folder: str, path_fields: bool = False) -> Scan:
-    """Read all table files under a folder in one plan."""
-    files = write_once(list_tables(spark, folder, path_fields), "files")
+def scan_tables(spark: SparkSession, folder: str, path_fields: bool = False, requests: list[str] | None = None) -> Scan:
+    """Read all table files under a folder, or of the change requests ``requests`` in it, in one plan."""
+    files = write_once(list_tables(spark, folder, path_fields, requests), "files")
     if files.isEmpty():
         blank = empty_set(spark)
         errors = small_frame(
             spark, [], T.StructType([T.StructField(n, T.StringType()) for n in (*OWNER, "message")])
         )
         return Scan(files, blank, blank, errors)
-    lines = _lines(spark, folder, files)
+    # one folder, or one per run that still has a table of a published set
+    roots = [_below(folder, requests)] if path_fields else [r["root"] for r in files.select("root").distinct().collect()]
+    lines = _lines(spark, roots, files)
     layout = _layout(files, lines)
     errors = _problems(layout)
     good = layout.join(errors.select(*OWNER), OWNER, "left_anti")
