@@ -441,11 +441,11 @@ ORACLES: dict[str, str] = {
     "diff_key_count": keyed_orders_log(),
     "full_changelog": with_log(f"SELECT {LOG} FROM log"),
     "key_set_ops": f"""
-WITH b AS (SELECT CAST(o_orderkey AS VARCHAR) AS key_tuple FROM ({sql(B.ORDERS)})),
-a AS (SELECT CAST(o_orderkey AS VARCHAR) AS key_tuple FROM ({sql(B.ORDERS_A)}))
-SELECT key_tuple, 'added' AS part FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
-UNION ALL SELECT key_tuple, 'deleted' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
-UNION ALL SELECT key_tuple, 'common' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",
+WITH {long_forms()}, bk AS (SELECT DISTINCT cr AS change_request_id, tbl AS table_name, k AS key_tuple FROM b),
+ak AS (SELECT DISTINCT cr AS change_request_id, tbl AS table_name, k AS key_tuple FROM a)
+SELECT *, 'added' AS part FROM (SELECT * FROM ak EXCEPT SELECT * FROM bk)
+UNION ALL SELECT *, 'deleted' FROM (SELECT * FROM bk EXCEPT SELECT * FROM ak)
+UNION ALL SELECT *, 'common' FROM (SELECT * FROM ak INTERSECT SELECT * FROM bk)""",
     "table_pairing": f"""
 WITH {BOOK_ROWS} SELECT 'CR_1' AS change_request_id, tbl AS table_name,
 CASE WHEN ba.nk IS NULL THEN 'before_only' WHEN bb.nk IS NULL THEN 'after_only' ELSE 'both' END AS kind,
@@ -485,7 +485,7 @@ FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
     "conflict_missing_fill": with_log(FILLS),
     "conflict_structural": f"""
 WITH {BOOK_LOG}, both_logs AS (SELECT * FROM blog UNION ALL
- SELECT 'CR_2' AS change_request_id, * EXCLUDE (change_request_id) FROM blog WHERE n_keys_after = 3)
+ SELECT 'CR_2' AS change_request_id, * EXCLUDE (change_request_id) FROM blog)
 {collisions('both_logs')}""",
     "conflicts_flat": with_log(f", {CONFLICTS} SELECT * FROM conflicts"),
     "conflict_roundtrip": with_log(
@@ -498,7 +498,7 @@ WITH {BOOK_LOG}, both_logs AS (SELECT * FROM blog UNION ALL
         " CROSS JOIN LATERAL (SELECT count(*) AS n FROM conflicts c WHERE contains(c.change_request_ids, r.cr)) x"),
     "ordered_log": with_log(
         f"SELECT {STEP}::INTEGER AS step, table_name, change_type, key_tuple, column_name, concat_ws('/', lpad(({STEP})::VARCHAR, 4, '0'),"
-        " table_name, change_type, key_tuple, column_name) AS place FROM log", "orders"),
+        " table_name, change_type, key_tuple, column_name) AS place FROM log"),
     "changed_keys": with_log(
         "SELECT DISTINCT table_name, key_tuple FROM log WHERE change_type IN ('row_add', 'row_delete', 'value_update')"
         " AND key_tuple <> ''"),
@@ -542,7 +542,9 @@ SELECT 'FAILED' AS status, 'validate_only' AS mode, (SELECT count(*) FROM confli
     "apply_row_add": f"SELECT 'orders' AS table_name, {row_text('orders', ['o_orderkey'])} AS cells FROM orders UNION ALL"
                      f" SELECT 'orders', {row_text('orders', ['o_orderkey'], replace=ADDED_KEY)} FROM orders WHERE {ADDED_A}",
     "apply_table_add": "SELECT 'supplier' AS table_name, concat_ws(',', %s) AS cells FROM supplier" % ", ".join(
-        cell(c, k) for c, k in sorted(columns("supplier"))),
+        cell(c, k) for c, k in sorted(columns("supplier"))) + "".join(
+        " UNION ALL " + _row_select(table, select, keys, table)
+        for table, select, keys in (b[1:] for b in B.BEFORE if b[0] == "CR_A" or b[1] == "part")),
     "apply_key_count": "SELECT c_name AS table_name, CAST(CASE WHEN c_nationkey < 5 AND c_acctbal >= 0 THEN 3 ELSE 2 END AS INTEGER)"
                        " AS n_keys, 'id,balance,' || lower(c_mktsegment) AS columns FROM customer",
     "apply_rename": "SELECT c_name AS table_name, 2::INTEGER AS n_keys, 'id,' || CASE WHEN c_mktsegment = 'BUILDING' AND"
@@ -558,7 +560,7 @@ SELECT 'FAILED' AS status, 'validate_only' AS mode, (SELECT count(*) FROM confli
         f", {REVIEW} SELECT table_name, key_tuple, status, string_agg(cell, ';' ORDER BY ord) AS cells FROM grid"
         " GROUP BY table_name, key_tuple, status"),
     "review_display": with_log(
-        f", {REVIEW} SELECT key_tuple, column_name, cell AS shown FROM grid WHERE table_name = 'orders' AND cell LIKE '% -> %'"),
+        f", {REVIEW} SELECT table_name, key_tuple, column_name, cell AS shown FROM grid WHERE cell LIKE '% -> %'"),
     "review_order": with_log(
         f", {REVIEW} SELECT table_name, CAST(CASE status WHEN 'ADD' THEN 0 WHEN 'DELETE' THEN 2 ELSE 1 END AS INTEGER) AS status_rank,"
         " key_tuple FROM stat JOIN wanted USING (table_name, key_tuple)"),
@@ -593,7 +595,7 @@ SELECT unnest(['utf', 'latin']) AS table_name, unnest(['utf-8-sig', 'cp1252']) A
  {CLEAN_BODY} AS body FROM documents""",
     "discover_prefer_fac": "SELECT 'r' || s_nationkey || '/' || s_name AS table_name, CASE WHEN s_nationkey < 15 THEN '.FAC'"
                            " ELSE '.csv' END AS suffix FROM supplier",
-    "changelog_roundtrip": with_log(f"SELECT {LOG} FROM log", "orders"),
+    "changelog_roundtrip": with_log(f"SELECT {LOG} FROM log"),
     "content_hash": with_log(f"SELECT count(*) AS n_rows, {hash_of_log()} AS content_hash FROM log"),
     "audit_record": with_log(
         "SELECT 'RUN' AS run_id, 'generate_changelog' AS mode, 'SUCCESS' AS final_status, count(*) AS n_rows,"

@@ -144,13 +144,14 @@ def full_changelog(spark, sf_dir):
 
 @query
 def key_set_ops(spark, sf_dir):
-    """Keys of orders that request CR_A adds, deletes and keeps."""
-    before = B.snapshots(spark, sf_dir, B.BEFORE[:1]).keyed_rows().select("key_tuple").distinct()
-    after = B.snapshots(spark, sf_dir, B.AFTER[:1]).keyed_rows().select("key_tuple").distinct()
+    """Keys that each request adds to, deletes from and keeps in each table."""
+    key = [*TABLE_KEY, "key_tuple"]
+    before = B.snapshots(spark, sf_dir, B.BEFORE).keyed_rows().select(*key).distinct()
+    after = B.snapshots(spark, sf_dir, B.AFTER).keyed_rows().select(*key).distinct()
     parts = [
-        after.join(before, "key_tuple", "left_anti").withColumn("part", F.lit("added")),
-        before.join(after, "key_tuple", "left_anti").withColumn("part", F.lit("deleted")),
-        before.join(after, "key_tuple", "left_semi").withColumn("part", F.lit("common")),
+        after.join(before, key, "left_anti").withColumn("part", F.lit("added")),
+        before.join(after, key, "left_anti").withColumn("part", F.lit("deleted")),
+        before.join(after, key, "left_semi").withColumn("part", F.lit("common")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -334,7 +335,7 @@ def conflict_structural(spark, sf_dir):
     """Books changed by two requests at once."""
     first = structural_changes(_book_pairs(spark, sf_dir))
     before, after, renames = B.books(spark, sf_dir, "CR_2")
-    second = structural_changes(pair_tables(before, after.where("n_keys = 3"), renames))
+    second = structural_changes(pair_tables(before, after, renames))
     return flat_conflicts(structural_collisions(first.unionByName(second)))
 
 
@@ -374,8 +375,8 @@ def summary_conflict_flag(spark, sf_dir):
 
 @query
 def ordered_log(spark, sf_dir):
-    """Approved log of orders with its application order inside request, table and type."""
-    approved = approved_log(B.orders_log(spark, sf_dir), B.steps(spark))
+    """Approved log with its application order inside request, table and type."""
+    approved = approved_log(B.change_log(spark, sf_dir), B.steps(spark))
     return approved.selectExpr(
         "step", "table_name", "change_type", "key_tuple", "column_name",
         "concat_ws('/', lpad(step, 4, '0'), table_name, change_type, key_tuple, column_name) as place",
@@ -472,10 +473,9 @@ def integration_report(spark, sf_dir):
 # --- apply ----------------------------------------------------------------------------------
 
 
-def _cells_of(applied: TableSet, names: list[str] | None = None) -> DataFrame:
+def _cells_of(applied: TableSet) -> DataFrame:
     """Applied rows as (table, cells) text."""
-    rows = applied.rows if names is None else applied.rows.where(F.col("table_name").isin(*names))
-    return rows.select("table_name", F.array_join("cells", ",").alias("cells"))
+    return applied.rows.select("table_name", F.array_join("cells", ",").alias("cells"))
 
 
 def _apply_orders(spark, sf_dir, *kinds):
@@ -503,7 +503,7 @@ def apply_row_add(spark, sf_dir):
 @query
 def apply_table_add(spark, sf_dir):
     log = approved_log(B.change_log(spark, sf_dir).where("table_name = 'supplier'"), B.steps(spark))
-    return _cells_of(apply_changes(B.production(spark, sf_dir), log), ["supplier"])
+    return _cells_of(apply_changes(B.production(spark, sf_dir), log))
 
 
 def _apply_books(spark, sf_dir, kind):
@@ -572,11 +572,11 @@ def review_grid(spark, sf_dir):
 
 @query
 def review_display(spark, sf_dir):
-    """Cells of orders that show updates."""
+    """Cells that show updates."""
     review = _review(spark, sf_dir)
-    cells = review.grid.where("table_name = 'orders'").join(review.columns.select("table_name", "columns"), "table_name")
-    return cells.selectExpr("key_tuple", "inline(arrays_zip(columns, cells))").selectExpr(
-        "key_tuple", "columns as column_name", "cells as shown"
+    cells = review.grid.join(review.columns.select("table_name", "columns"), "table_name")
+    return cells.selectExpr("table_name", "key_tuple", "inline(arrays_zip(columns, cells))").selectExpr(
+        "table_name", "key_tuple", "columns as column_name", "cells as shown"
     ).where("shown like '% -> %'")
 
 
@@ -711,9 +711,9 @@ def discover_prefer_fac(spark, sf_dir):
 
 @query
 def changelog_roundtrip(spark, sf_dir):
-    """The orders log as quoted CSV, read back."""
+    """The log as quoted CSV, read back."""
     path = new_path(spark, "log") + ".csv"
-    export_log(B.orders_log(spark, sf_dir), path)
+    export_log(B.change_log(spark, sf_dir), path)
     return logged(read_log_csv(spark, path))
 
 
