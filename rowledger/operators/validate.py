@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from rowledger.functions.cells import yes
 from rowledger.model import TABLE_KEY, TableSet
+from rowledger.operators.diff import FRESH_NOTE
 from rowledger.sources.control import Control, key_count_approved
 from rowledger.storage import write_once
 
 REPORT_COLUMNS = [
     "section", "change_request_id", "table_name", "change_type", "key_tuple", "column_name", "message", "severity",
 ]
+REPEATED_ROW = "Key exists in production; row_add appends a second row."
+SHARED_FILL = "Several rows share this key under the wider key; the last value wins."
 KEYED_TYPES = ("value_update", "row_delete")
 
 
@@ -98,27 +101,49 @@ def undeclared_renames(log: DataFrame, groups: DataFrame, control: Control) -> D
     )
 
 
-def missing_keys(log: DataFrame, groups: DataFrame, production: TableSet) -> DataFrame:
-    """Updates and deletes whose key production lacks.
+def key_findings(log: DataFrame, groups: DataFrame, production: TableSet) -> tuple[DataFrame, DataFrame]:
+    """Updates and deletes whose key production lacks; (request, table, key) of added rows whose key it has.
 
     The distinct log keys are written first: production is then filtered by them, so it is
-    never shuffled whole when they are few.
+    never shuffled whole when they are few. One pass over it serves both.
     """
-    keyed = log.where(F.col("change_type").isin(*KEYED_TYPES) & (F.col("copies") > 0)).join(
+    keyed = log.where(F.col("change_type").isin(*KEYED_TYPES, "row_add") & (F.col("copies") > 0)).join(
         groups.where("known and not adds"), TABLE_KEY, "left_semi"
     )
-    wanted = write_once(keyed.select("table_name", "key_tuple").distinct(), "log-keys")
-    found = (
-        production.keyed_rows().select("table_name", "key_tuple")
-        .join(wanted, ["table_name", "key_tuple"], "left_semi").distinct()
+    key = ["table_name", "key_tuple"]
+    wanted = write_once(keyed.select(*key).distinct(), "log-keys")
+    found = write_once(production.keyed_rows().select(*key).join(wanted, key, "left_semi").distinct(), "known-keys")
+    absent = wanted.join(found, key, "left_anti")
+    missing = keyed.where(F.col("change_type").isin(*KEYED_TYPES)).join(absent, key, "left_semi")
+    added = keyed.where("change_type = 'row_add' and key_tuple <> ''").select(*TABLE_KEY, "key_tuple").distinct()
+    return missing, added.join(found, key, "left_semi")
+
+
+def missing_keys(log: DataFrame, groups: DataFrame, production: TableSet) -> DataFrame:
+    """Updates and deletes whose key production lacks."""
+    return key_findings(log, groups, production)[0]
+
+
+def shared_fills(log: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cells that a request with a wider key fills more than once, because several new rows share the old key."""
+    widened = log.where("change_type = 'key_count_change' and n_keys_after > n_keys_before").join(
+        groups.where("known and not adds"), TABLE_KEY, "left_semi"
+    )
+    cell = [*TABLE_KEY, "key_tuple", "column_name"]
+    fills = log.where((F.col("change_type") == "value_update") & (F.col("notes") == FRESH_NOTE))
+    return (
+        fills.join(widened.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_semi")
+        .groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1").select(*cell)
     )
-    absent = wanted.join(found, ["table_name", "key_tuple"], "left_anti")
-    return keyed.join(absent, ["table_name", "key_tuple"], "left_semi")
 
 
 def validate(log: DataFrame, production: TableSet, control: Control) -> DataFrame:
-    """Messages for the approved log (with ``step``) against the original production set."""
+    """Messages for the approved log (with ``step``) against the original production set.
+
+    A failure stops the run; a warning (WARN) says what will be applied in a way that may not be meant.
+    """
     groups = write_once(log_groups(log, production), "log-groups")
+    missing, repeated = key_findings(log, groups, production)
     by_table = {c: c for c in TABLE_KEY}
     fails = [
         message(
@@ -138,11 +163,22 @@ def validate(log: DataFrame, production: TableSet, control: Control) -> DataFram
             "FAIL", change_type="change_type", column_name="column_name", **by_table,
         ),
         message(
-            missing_keys(log, groups, production), "validation",
+            missing, "validation",
             F.concat(F.lit("Key not found in production for "), "change_type", F.lit(".")), "FAIL",
             change_type="change_type", key_tuple="key_tuple", column_name="column_name", **by_table,
         ),
     ]
     failed = write_once(reduce(DataFrame.unionAll, fails), "failures")
     passed = groups.where("known and not adds").join(failed.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti")
-    return failed.unionAll(message(passed, "validation", F.lit("Validation passed."), "INFO", **by_table))
+    warnings = [
+        message(
+            repeated.withColumn("change_type", F.lit("row_add")), "validation", F.lit(REPEATED_ROW), "WARN",
+            change_type="change_type", key_tuple="key_tuple", **by_table,
+        ),
+        message(
+            shared_fills(log, groups).withColumn("change_type", F.lit("value_update")), "validation", F.lit(SHARED_FILL), "WARN",
+            change_type="change_type", key_tuple="key_tuple", column_name="column_name", **by_table,
+        ),
+    ]
+    passing = message(passed, "validation", F.lit("Validation passed."), "INFO", **by_table)
+    return reduce(DataFrame.unionAll, [failed, passing, *warnings])

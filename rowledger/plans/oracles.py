@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from rowledger.operators.conflicts import FILL_NOTE, OVERLAP_NOTE, STRUCTURAL_NOTE
 from rowledger.operators.diff import CROWDED_NOTE, FRESH_NOTE, TABLE_ADD_NOTE
+from rowledger.operators.validate import REPEATED_ROW, SHARED_FILL
 from rowledger.plans import bindings as B
 
 # Kind of every bound column: s text, i whole number, d double, t timestamp.
@@ -519,17 +520,25 @@ WITH {BOOK_LOG}, both_logs AS (SELECT * FROM blog UNION ALL
     "validate_renames": book_log(
         "SELECT change_request_id, table_name, old_value, new_value FROM blog JOIN customer ON c_name = table_name"
         " WHERE change_type = 'column_rename' AND c_nationkey = 0"),
-    "validate_messages": book_log("""
-, fails AS (
+    "validate_messages": book_log(f"""
+, dear AS (SELECT c_name, c_nationkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000),
+vlog AS (SELECT change_request_id, table_name, change_type FROM blog
+ UNION ALL SELECT 'CR_1', c_name, unnest(['row_add', 'value_update']) FROM dear),
+widened AS (SELECT table_name FROM blog WHERE change_type = 'key_count_change' AND n_keys_after > n_keys_before),
+fails AS (
 SELECT DISTINCT 'validation' AS section, change_request_id, table_name, '' AS change_type, '' AS key_tuple, '' AS column_name,
  'Table ''' || table_name || ''' not found in production (and not a table_add).' AS message, 'FAIL' AS severity
-FROM blog WHERE change_type <> 'table_add' AND table_name IN (SELECT c_name FROM customer WHERE c_nationkey = 0)
+FROM vlog WHERE change_type <> 'table_add' AND table_name IN (SELECT c_name FROM customer WHERE c_nationkey = 0)
 UNION ALL SELECT 'validation', change_request_id, table_name, change_type, '', '',
  'Key-count change blocked: not approved in Control.', 'FAIL' FROM blog JOIN customer ON c_name = table_name
 WHERE change_type = 'key_count_change' AND c_nationkey >= 3)
 SELECT * FROM fails UNION ALL
-SELECT DISTINCT 'validation', change_request_id, table_name, '', '', '', 'Validation passed.', 'INFO' FROM blog
-WHERE change_type <> 'table_add' AND table_name NOT IN (SELECT table_name FROM fails)"""),
+SELECT DISTINCT 'validation', change_request_id, table_name, '', '', '', 'Validation passed.', 'INFO' FROM vlog
+WHERE change_type <> 'table_add' AND table_name NOT IN (SELECT table_name FROM fails)
+UNION ALL SELECT 'validation', 'CR_1', c_name, 'row_add', CAST(o_orderkey AS VARCHAR), '',
+ '{REPEATED_ROW}', 'WARN' FROM dear WHERE c_nationkey > 0
+UNION ALL SELECT 'validation', 'CR_1', c_name, 'value_update', CAST(o_orderkey AS VARCHAR), 'extra',
+ '{SHARED_FILL}', 'WARN' FROM dear WHERE c_nationkey > 0 AND c_name IN (SELECT table_name FROM widened)"""),
     "integration_report": with_log(f"""
 , {CONFLICTS}, missing AS (SELECT * FROM log WHERE change_type IN ('value_update', 'row_delete') AND table_name = 'orders'
  AND key_tuple IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_totalprice >= 480000)),

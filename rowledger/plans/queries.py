@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowledger.functions.cells import bind, cells_differ, key_text, normalize_key_part, value_class, yes
+from rowledger.functions.cells import bind, cells_differ, key_text, literal, normalize_key_part, value_class, yes
 from rowledger.model import LOG_COLUMNS, TABLE_KEY, TableSet, from_dataframe
 from rowledger.operators.apply import apply_changes
 from rowledger.operators.conflicts import (
     cell_overlaps, detect_conflicts, flat_conflicts, missing_fills, overlap_values, structural_collisions,
 )
-from rowledger.operators.diff import diff_tables
+from rowledger.operators.diff import FRESH_NOTE, diff_tables
 from rowledger.operators.pairs import aligned, before_only_warnings, pair_tables, rename_maps, structural_changes
 from rowledger.operators.review import build_review, changed_keys, review_columns, review_notes
 from rowledger.operators.summary import summarize
@@ -455,9 +455,30 @@ def validate_renames(spark, sf_dir):
     return undeclared_renames(log, groups, _book_control(spark, sf_dir)).select(*TABLE_KEY, "old_value", "new_value")
 
 
+def _book_rows_log(spark, sf_dir):
+    """The structural book log with rows of every dear order: two fills under one key, and rows added anew and again."""
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 300000").join(
+        table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    again, anew = "cast(o_orderkey as string)", "cast(o_orderkey + 10000000 as string)"
+    entries = [
+        ("row_add", again, "id", again, ""), ("row_add", anew, "id", anew, ""),
+        ("value_update", again, "extra", "'x'", FRESH_NOTE), ("value_update", again, "extra", "'y'", FRESH_NOTE),
+    ]
+    structs = (
+        f"struct('{kind}' as change_type, {key} as key_tuple, '{column}' as column_name, {value} as new_value, {literal(note)} as notes)"
+        for kind, key, column, value, note in entries
+    )
+    rows = dear.selectExpr("c_name", f"inline(array({', '.join(structs)}))").selectExpr(
+        "'CR_1' as change_request_id", "c_name as table_name", "change_type", "2 as n_keys_before", "2 as n_keys_after", "key_tuple",
+        "column_name", "'' as old_value", "new_value", "notes", "1 as step", "1L as copies",
+    )
+    return _book_log(spark, sf_dir).drop("seq").unionByName(rows)
+
+
 @query
 def validate_messages(spark, sf_dir):
-    return validate(_book_log(spark, sf_dir), _book_production(spark, sf_dir), _book_control(spark, sf_dir))
+    return validate(_book_rows_log(spark, sf_dir), _book_production(spark, sf_dir), _book_control(spark, sf_dir))
 
 
 @query
