@@ -40,11 +40,15 @@ _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def marked(attributes: list[tuple[str, str | None]]) -> bool:
+# of these, names that an article's own head has as well
+HEADS = frozenset("header masthead".split())
+
+
+def marked(attributes: list[tuple[str, str | None]], in_article: bool = False) -> bool:
     """Whether class, id or role name something other than content, or the element is hidden."""
     for name, value in attributes:
         if name in ("class", "id", "role"):
-            if any(part in MARKS for part in _PART.findall((value or "").lower())):
+            if any(part in MARKS and not (in_article and part in HEADS) for part in _PART.findall((value or "").lower())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -82,9 +86,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
+        in_article = any(x[0] == "article" for x in self.open)
         dropped = self.open[-1][1] or tag in HIDDEN or tag in BOILERPLATE and not (
             tag == "header" and any(x[0] in ("article", "main") for x in self.open)
-        ) or tag not in ("html", "body", "article", "main") and marked(attrs)
+        ) or tag not in ("html", "body", "article", "main", "h1") and marked(attrs, in_article)
         container = self.open[-1][2]
         if tag in BLOCKS and tag not in ("p", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd", "pre"):
             self.parent.append(container)

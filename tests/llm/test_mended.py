@@ -129,3 +129,27 @@ def test_many_candidates_take_time_in_proportion(spark, n):
 def test_words_of_templates_hash_apart():
     every = {w for parts in licenses.TEMPLATES.values() for t in parts for w in t.split()}
     assert len({int(T.word_hash(w)) for w in every}) == len(every)
+
+
+def test_an_article_keeps_its_own_head():
+    from rowledger.llm import html
+
+    body = "<p>" + "a long paragraph of the text " * 20 + "</p>"
+    for head in ("<div class='post-header'><h1>The title</h1></div>", "<div class='entry-header'><h1>The title</h1></div>", "<h1 class='page-header'>The title</h1>", "<header><h1>The title</h1></header>"):
+        page = f"<body><div class='site-header'>Home</div><nav>Menu</nav><article>{head}{body}<div class='comment-list'>first!</div></article><footer>2024</footer></body>"
+        text = html.main_text(page)[0]
+        assert text.split("\n")[0] == "The title" and text.count("\n") == 1
+    # without an article the clusters alone decide
+    page = f"<body><div class='top-header'>Home</div><ul><li><a href=/>One</a></li><li><a href=/>Two</a></li></ul><div>{body}{body}</div></body>"
+    assert html.main_text(page)[0].count("a long paragraph") == 40 and "Home" not in html.main_text(page)[0]
+
+
+def test_pages_odd_rows(spark):
+    from rowledger.llm import html
+
+    long = "<article>" + "<p>word</p>" * 30_000 + "</article>"
+    rows = [(1, None), (2, ""), (3, "no markup"), (4, long), (5, "<article><p>same</p></article>"), (5, "<article><p>same</p></article>"), (None, "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'u' as url", "'clash' as text", "1 as n_chars", "2 as n_lines")
+    got = sorted((r.page_id or 0, r.text[:9], r.n_chars) for r in html.extract_main_text(pages).collect())
+    assert got == [(0, "x", 1), (1, "", 0), (2, "", 0), (3, "no markup", 9), (4, "word\nword", 30_000 * 5 - 1), (5, "same", 4), (5, "same", 4)]
+    assert html.extract_main_text(pages.where("false")).count() == 0
