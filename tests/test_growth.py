@@ -5,7 +5,10 @@ from __future__ import annotations
 from rowledger.model import LOG_COLUMNS, from_dataframe
 from rowledger.operators import diff as D
 from rowledger.operators.diff import diff_tables, key_bitmap, maybe_listed
+from rowledger.operators import review as R
+from rowledger.operators.review import build_review
 from rowledger.plans import bindings as B
+from rowledger.storage import write_once
 
 
 def test_bitmap_keeps_listed_keys_and_few_others(spark):
@@ -44,3 +47,23 @@ def test_table_of_many_blocks_is_not_dealt_out(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     assert "Repartition" not in cut
+
+
+def _review(spark):
+    old = spark.range(400).selectExpr("id as k", "id % 7 as v", "'x' as w")
+    new = old.selectExpr("k", "if(k % 3 = 0, v + 1, v) as v", "w").where("k % 10 <> 9")
+    sides = [from_dataframe(df, "t", ["k"], change_request_id="CR_A", order_by="k") for df in (old, new)]
+    found = diff_tables(*sides, B.control(spark).renames)
+    return build_review(*sides, found.pairs, write_once(found.log, "log"), B.steps(spark))
+
+
+def test_order_of_review_needs_no_snapshot(spark):
+    plan = _review(spark).grid.select("table_name", "status_rank", "key_tuple")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
+
+
+def test_review_of_a_long_list_of_keys(spark, monkeypatch):
+    listed = sorted(map(str, _review(spark).grid.collect()))
+    assert len(listed) == 40 + 134 - 14
+    monkeypatch.setattr(R, "LISTED_KEYS", 0)
+    assert sorted(map(str, _review(spark).grid.collect())) == listed
