@@ -5,10 +5,11 @@ generators propose overlapping spans that the strict ones miss: addresses spelle
 alphabet, telephone numbers without a plus sign, card numbers with other separators, version 6 addresses. Boosted trees
 judge them by format and context. They learn from the corpus itself: candidates of the strict patterns that pass or
 fail the checks, and passing ones with a part of their format hidden (no plus, no at sign, other separators), so that
-trees must rely on the rest. The threshold is the lowest that keeps precision on a held-out part of the sample.
+trees must rely on the rest. The threshold is the lowest that keeps precision on a held-out part of them. All candidates are
+learned from: those with the same features are one row with their number as its weight.
 
 All of it is DataFrame expressions; the trees are unfolded into one. A text's spans stay arrays inside its row, so
-nothing is shuffled but the sample. Patterns use possessive quantifiers: no backtracking, no deep recursion.
+nothing is shuffled but the strict candidates' features. Patterns use possessive quantifiers: no backtracking, no deep recursion.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from rowledger.llm.common import write_once
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000        # bound of the candidates that the trees are fitted on
 ITERATIONS, DEPTH = 6, 3
 PRECISION = 0.95
 BLOCK, PIECE = 256, 2048  # items, and code points, that are gone through at a time
@@ -233,27 +233,31 @@ class Trees:
 
 
 def fit_trees(docs: DataFrame) -> Trees | None:
-    """Fit on at most ``SAMPLE`` strict candidates of lowest hash; None if all of them pass, or all fail."""
+    """Fit on all strict candidates, counted by their features; None if all of them pass, or all fail."""
     text = F.col("text")
     strict = F.filter(candidates(text), lambda c: c["strict"])
     described = bound(F.when(F.size(strict) > 0, cut(text)), lambda pieces: F.transform(strict, lambda c: F.struct(c.alias("c"), F.array(*features(pieces, c)).alias("f"))))
     found = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("of"), F.explode(described).alias("x"))
     rows = found.select(F.col("x.c.base").cast("double").alias("label"), "x.f", F.xxhash64("x.c.value", "x.c.start", "of").alias("rank"))
     # equal candidates of copied texts count once
-    sample = write_once(rows.groupBy("rank").agg(F.first("label").alias("label"), F.first("f").alias("f")).orderBy("rank").limit(SAMPLE), "pii-sample")
-    # an expanded row keeps its fold
-    varied = sample.withColumn("f", F.explode(F.when(F.col("label") > 0, hidden(F.col("f"))).otherwise(F.array("f")))).withColumn("fold", F.pmod("rank", F.lit(5)))
-    train = varied.where("fold > 0")
-    n, passed = train.agg(F.count(F.lit(1)), F.sum("label")).first()
+    distinct = rows.groupBy("rank").agg(F.first("label").alias("label"), F.first("f").alias("f"))
+    # an expanded row keeps its fold; from here on a row stands for all that look alike to the trees
+    varied = distinct.withColumn("f", F.explode(F.when(F.col("label") > 0, hidden(F.col("f"))).otherwise(F.array("f"))))
+    held_out = (F.pmod("rank", F.lit(5)) == 0).alias("held_out")
+    counted = write_once(varied.groupBy("label", "f", held_out).agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-candidates")
+    train = counted.where("not held_out")
+    n, passed = train.agg(F.sum("weight"), F.sum(F.col("label") * F.col("weight"))).first()
     if not n or passed in (0, n):
         return None
-    # few rows: one partition, so that every round of boosting is a small job
-    data = train.select("label", array_to_vector("f").alias("features")).coalesce(1)
-    model = GBTClassifier(maxIter=ITERATIONS, maxDepth=DEPTH, seed=5, stepSize=0.3, maxBins=32).fit(data)
+    data = train.select("label", "weight", array_to_vector("f").alias("features"))
+    model = GBTClassifier(maxIter=ITERATIONS, maxDepth=DEPTH, seed=5, stepSize=0.3, maxBins=32, weightCol="weight").fit(data)
     trees = Trees([(w, t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees)], 0.5)
-    scored = varied.where("fold = 0").select("label", trees.probability(F.col("f")).alias("p"))
+    scored = counted.where("held_out").select("label", "weight", trees.probability(F.col("f")).alias("p"))
     steps = [i / 20 for i in range(10, 20)]
-    sums = scored.agg(*(F.avg(F.when(F.col("p") >= t, F.col("label"))).alias(f"t{i}") for i, t in enumerate(steps))).first()
+    sums = scored.agg(*(
+        (F.sum(F.when(F.col("p") >= t, F.col("label") * F.col("weight"))) / F.sum(F.when(F.col("p") >= t, F.col("weight")))).alias(f"t{i}")
+        for i, t in enumerate(steps)
+    )).first()
     good = [t for t, precision in zip(steps, sums) if precision is not None and precision >= PRECISION]
     trees.threshold = good[0] if good else steps[-1]
     return trees
