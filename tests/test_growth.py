@@ -8,6 +8,7 @@ from rowledger.operators.diff import diff_tables, key_bitmap, maybe_listed
 from rowledger.operators import review as R
 from rowledger.operators.review import build_review
 from rowledger.plans import bindings as B
+from rowledger.plans import queries as Q
 from rowledger.storage import write_once
 
 
@@ -67,3 +68,14 @@ def test_review_of_a_long_list_of_keys(spark, monkeypatch):
     assert len(listed) == 40 + 134 - 14
     monkeypatch.setattr(R, "LISTED_KEYS", 0)
     assert sorted(map(str, _review(spark).grid.collect())) == listed
+
+
+def test_folders_of_many_tables_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    supplier = spark.range(60).selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 25 as int) as s_nationkey", "0.0D as s_acctbal")
+    supplier.write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(Q, "new_path", lambda spark, name: str(tmp_path / name))
+    found = Q.REGISTRY["discover_prefer_fac"](spark, str(tmp_path))
+    assert found.count() == 60
+    assert found.where("suffix = '.FAC'").count() == supplier.where("s_nationkey < 15").count()
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "listing").rglob("part-*.txt")}
+    assert len(tasks) > 1
