@@ -16,8 +16,8 @@ from rowledger.llm.common import documents, held_out, new_path, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.5 or more go; labels of the fold that op8 holds out aren't learned here either."""
     model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id"), 5, 0))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.with_score(marked, model, "row").where("score < 0.5").select("row.*")
+    marked = docs.select(F.struct(*docs.columns).alias("row"))
+    return toxicity.with_score(marked, model, "row", text_in="row").where("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ COORDINATES = BANDS * ROWS
 # pairs whose signatures agree less are not compared: 4.3 standard deviations below the threshold
 AGREEMENT = SIMILARITY - 4.3 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 BROADCAST_IDS = 1_000_000
+CHUNK = 1 << 19  # bytes of texts taken apart at a time; signatures of short texts are far longer than the texts
 
 SIGNED = "row_id long, key_1 long, key_2 long, n long, bands array<long>, marks binary"
 
@@ -98,7 +99,7 @@ def word_keys(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, at in T.chunks(batch.column(1)):
+        for first, last, data, at in T.chunks(batch.column(1), CHUNK):
             text, element, w = shingles(data, at)
             signature = signatures(text, element, last - first).view(np.uint64)
             key_1, key_2 = word_keys(w)
@@ -126,7 +127,7 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     result, first = np.zeros(len(left)), 0
     while first < len(left):
         done = both[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(both, done + T.CHUNK_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(both, done + CHUNK, "right")))
         keys, sizes = [], []
         for data, at in ((a, a_at), (b, b_at)):
             pair, element, _ = shingles(data[at[first] : at[last]], at[first : last + 1] - at[first])
@@ -214,14 +215,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: flo
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, at in T.chunks(batch.column(1)):
+        for first, last, data, at in T.chunks(batch.column(1), CHUNK):
             key_1, key_2 = word_keys(T.words(data, at))
             yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(key_1), pa.array(key_2), batch.column(1)[first:last]], ["row_id", "key_1", "key_2", "text"])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, at in T.chunks(batch.column(1)):
+        for first, last, data, at in T.chunks(batch.column(1), CHUNK):
             text, element, _ = shingles(data, at)
             yield pa.RecordBatch.from_arrays([batch.column(0)[first:last].take(pa.array(text)), pa.array(units(text, element).view(np.int64))], ["id", "unit"])
 
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def _keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, at in T.chunks(batch.column(1)):
+        for first, last, data, at in T.chunks(batch.column(1), CHUNK):
             key_1, key_2 = word_keys(T.words(data, at))
             yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(key_1), pa.array(key_2), batch.column(2)[first:last]], ["id", "key_1", "key_2", "row"])
 

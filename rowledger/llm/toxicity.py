@@ -22,8 +22,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -496,34 +496,41 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") > 0)
         .dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).alias("toxic"))
     )
-    found = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_fit_rows, "weights binary, bias double, slope double, offset double, sums binary, start double").collect()
+    found = rows.groupBy(F.lit(1).alias("one")).applyInArrow(_fit_rows, "weights binary, bias double, slope double, offset double, sums binary, start double").collect()
     if not found:
         return fit([], np.zeros(0, bool))
     weights, bias, slope, offset, sums, start = found[0]
     return Model(np.frombuffer(bytes(weights), np.float32), bias, slope, offset, np.frombuffer(bytes(sums), np.float32), start)
 
 
-def _fit_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows[["text", "toxic"]].drop_duplicates().sort_values(["text", "toxic"], kind="stable")
-    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy(bool))
-    return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset], "sums": [model.sums.tobytes()], "start": [model.start]})
+def _fit_rows(rows: pa.Table) -> pa.Table:
+    marked = sorted(set(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())))
+    model = fit([text for text, _ in marked], np.array([toxic for _, toxic in marked], bool))
+    return pa.table({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset], "sums": [model.sums.tobytes()], "start": [model.start]})
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text_in: str | None = None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, at in T.chunks(batch.column(0)):
+            if text_in:
+                texts, kept, names = pc.struct_field(batch.column(text_in), "text"), batch.columns, batch.schema.names
+            else:
+                texts, kept, names = batch.column(0), batch.columns[1:], batch.schema.names[1:]
+            for first, last, data, at in T.chunks(texts, FIT_BYTES):
                 found = model.scores(model.values(strings(data, at), last - first))
-                yield pa.RecordBatch.from_arrays([*(c[first:last] for c in batch.columns[1:]), pa.array(found)], [*batch.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*(c[first:last] for c in kept), pa.array(found)], [*names, "score"])
 
     return score
 
 
-def with_score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """``columns`` of every row of ``docs``, and its toxicity as ``score``; the text is only read."""
-    kept = docs.select(*columns)
-    schema = kept.schema.add("score", "double")
-    return docs.select(F.col("text").alias("__text"), *columns).mapInArrow(_scorer(model), schema)
+def with_score(docs: DataFrame, model: Model, *columns: str, text_in: str | None = None) -> DataFrame:
+    """``columns`` of every row of ``docs``, and its toxicity as ``score``; the text is only read.
+
+    ``text_in`` names the one of them, a struct, that holds the text, so that no text is sent to Python twice.
+    """
+    schema = docs.select(*columns).schema.add("score", "double")
+    sent = docs.select(*([] if text_in else [F.col("text").alias("__text")]), *columns)
+    return sent.mapInArrow(_scorer(model, text_in), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
