@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rowledger.model import LOG_COLUMNS, from_dataframe
 from rowledger.operators import diff as D
 from rowledger.operators.diff import diff_tables, key_bitmap, maybe_listed
@@ -79,3 +81,11 @@ def test_folders_of_many_tables_are_written_by_several_tasks(spark, tmp_path, mo
     assert found.where("suffix = '.FAC'").count() == supplier.where("s_nationkey < 15").count()
     tasks = {f.name.split("-")[1] for f in (tmp_path / "listing").rglob("part-*.txt")}
     assert len(tasks) > 1
+
+
+def test_keys_of_both_sides_meet_in_one_aggregation(spark):
+    old, new = (spark.createDataFrame([(k,) for k in ks], "k string") for ks in (["1", "1.0", None, "a"], ["1", "b", "b"]))
+    found = Q.key_sets(*(from_dataframe(df, "t", ["k"], change_request_id="CR") for df in (old, new)))
+    assert sorted((r.key_tuple, r.part) for r in found.collect()) == [("", "deleted"), ("1", "common"), ("a", "deleted"), ("b", "added")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "LeftAnti" not in plan and "LeftSemi" not in plan
