@@ -89,3 +89,22 @@ def test_keys_of_both_sides_meet_in_one_aggregation(spark):
     assert sorted((r.key_tuple, r.part) for r in found.collect()) == [("", "deleted"), ("1", "common"), ("a", "deleted"), ("b", "added")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "LeftAnti" not in plan and "LeftSemi" not in plan
+
+
+def test_keys_of_few_and_of_many_rows_give_the_same_log(spark, monkeypatch):
+    values = "case id % 5 when 0 then '1' when 1 then '1.0' when 2 then 'a' when 3 then null else string(id % 3) end"
+    old = spark.range(300).selectExpr("if(id < 200, id div 4, id) as k", f"{values} as v", "id % 2 as w", "id as line")
+    new = spark.range(320).where("id % 11 <> 0").selectExpr("if(id < 220, id div 5, id) as k", f"{values} as v", "id % 3 as w", "id as line")
+    sides = [from_dataframe(df, "t", ["k"], change_request_id="CR", order_by="line") for df in (old, new)]
+    none = B.control(spark).renames
+
+    def logged(rows):
+        monkeypatch.setattr(D, "GATHERED_ROWS", rows)
+        log = diff_tables(*sides, none).log
+        return sorted(map(str, log.collect())), log._jdf.queryExecution().optimizedPlan().toString()
+
+    gathered, plan = logged(1000)
+    assert "Window" in plan
+    for rows in (0, 7):
+        assert logged(rows)[0] == gathered
+    assert sum(D.CROWDED_NOTE in line for line in gathered) > 100
