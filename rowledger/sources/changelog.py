@@ -14,6 +14,8 @@ from rowledger.operators.diff import CROWDED_NOTE
 from rowledger.storage import write_observed
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+# rows of a CSV file of the log; cells may hold line ends, so one task reads a whole file
+FILE_ROWS = 100_000
 SEQUENCE = f"struct<old:{POSITION.simpleString()},new:{POSITION.simpleString()}>"
 
 
@@ -29,7 +31,7 @@ def export_log(log: DataFrame, path: str) -> None:
     counts = {"n_keys_before", "n_keys_after"}
     columns = [F.expr(f"coalesce(cast({c} as string), '')").alias(c) if c in counts else F.col(c) for c in LOG_COLUMNS]
     extra = ["coalesce(cast(copies as string), '') as copies", "coalesce(to_json(seq), '') as seq"]
-    log.select(*columns, *map(F.expr, extra)).write.options(**CSV_OPTIONS, emptyValue="").mode("overwrite").csv(path)
+    log.select(*columns, *map(F.expr, extra)).write.options(**CSV_OPTIONS, emptyValue="", maxRecordsPerFile=FILE_ROWS).mode("overwrite").csv(path)
 
 
 def normalize_log(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from rowledger.operators import review as R
 from rowledger.operators.review import build_review
 from rowledger.plans import bindings as B
 from rowledger.plans import queries as Q
+from rowledger.sources import changelog as C
 from rowledger.storage import write_once
 
 
@@ -91,6 +92,16 @@ def test_keys_of_both_sides_meet_in_one_aggregation(spark):
     assert plan.count("Aggregate") == 1 and "LeftAnti" not in plan and "LeftSemi" not in plan
 
 
+def test_no_task_reads_the_log_of_one_task_back_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "FILE_ROWS", 10)
+    entry = {c: F.lit("x") for c in LOG_COLUMNS} | {"n_keys_before": F.lit(2), "n_keys_after": F.lit(2), "copies": F.lit(1)}
+    log = spark.range(0, 95, 1, 1).withColumns(entry | {"key_tuple": F.expr("concat(id, '\\n', id)"), "seq": F.expr(f"cast(null as {C.SEQUENCE})")})
+    C.export_log(log, str(tmp_path / "log.csv"))
+    assert len(list((tmp_path / "log.csv").glob("part-*"))) == 10
+    found = C.read_log_csv(spark, str(tmp_path / "log.csv")).collect()
+    assert sorted(r.key_tuple for r in found) == sorted(f"{i}\n{i}" for i in range(95))
+
+
 def test_keys_of_few_and_of_many_rows_give_the_same_log(spark, monkeypatch):
     values = "case id % 5 when 0 then '1' when 1 then '1.0' when 2 then 'a' when 3 then null else string(id % 3) end"
     old = spark.range(300).selectExpr("if(id < 200, id div 4, id) as k", f"{values} as v", "id % 2 as w", "id as line")
