@@ -119,3 +119,14 @@ def test_keys_of_few_and_of_many_rows_give_the_same_log(spark, monkeypatch):
     for rows in (0, 7):
         assert logged(rows)[0] == gathered
     assert sum(D.CROWDED_NOTE in line for line in gathered) > 100
+
+
+def test_list_of_changed_keys_too_long_for_a_small_broadcast_limit_has_a_bitmap(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(D, "key_bitmap", lambda keys, bits: made.append(bits) or key_bitmap(keys, bits))
+    old = spark.range(30_000).selectExpr("id as k", "1 as v")
+    new = old.selectExpr("k", "if(k < 25000, 2, 1) as v")
+    sides = [from_dataframe(df, "t", ["k"], change_request_id="CR") for df in (old, new)]
+    log = diff_tables(*sides, B.control(spark).renames).log
+    assert log.count() == 25_000
+    assert made
