@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowledger.model import LOG_COLUMNS, from_dataframe
+from rowledger.functions.cells import cell_text
+from rowledger.model import LOG_COLUMNS, META, TableSet, empty_set, from_dataframe, small_frame
 from rowledger.operators import diff as D
 from rowledger.operators.diff import diff_tables, key_bitmap, maybe_listed
 from rowledger.operators import review as R
@@ -130,3 +132,42 @@ def test_list_of_changed_keys_too_long_for_a_small_broadcast_limit_has_a_bitmap(
     log = diff_tables(*sides, B.control(spark).renames).log
     assert log.count() == 25_000
     assert made
+
+
+def _odd_sides(spark):
+    """Repeated keys in short rows, null cells, a name used twice, a table of keys alone, keys of one side, and lines far apart."""
+    half = 1 << 62
+    pos = "cast(struct('p' as part, id % 3 as block, {line} as line) as " + D.POSITION.simpleString() + ") as pos"
+    cells = "array(string(id % 6 + {lone}), case id % 4 when 0 then '1' when 1 then '1.0' when 2 then null else string(id) end, string(id % 3), 'x')"
+    sides = []
+    for n, lone, line in ((60, 0, f"(id - 30) * {half // 30}L"), (66, 1, "id")):
+        rows = spark.range(n).selectExpr(
+            "'CR' as change_request_id", "'t' as table_name", pos.format(line=line), f"slice({cells.format(lone=lone)}, 1, if(id % 5 = 0, 2, 4)) as cells",
+        )
+        keys = rows.selectExpr("change_request_id", "'k' as table_name", "pos", "slice(cells, 1, 1) as cells")
+        meta = [("CR", "t", 2, ["k", "v", "w", "w"], ".csv", None, None), ("CR", "k", 2, ["k"], ".csv", None, None)]
+        sides.append(TableSet(small_frame(spark, meta, META), rows.unionAll(keys), empty_set(spark).dummies))
+    return sides
+
+
+def test_rows_of_vast_keys_are_counted_without_being_written(spark, monkeypatch):
+    sides, none, written = _odd_sides(spark), B.control(spark).renames, []
+    monkeypatch.setattr(D, "write_once", lambda df, name: written.append(name) or write_once(df, name))
+
+    def logged(rows):
+        monkeypatch.setattr(D, "GATHERED_ROWS", rows)
+        return sorted(map(str, diff_tables(*sides, none).log.collect()))
+
+    gathered = logged(1000)
+    assert "crowded-rows" in written
+    written.clear()
+    assert logged(0) == gathered
+    assert "crowded-rows" not in written
+    kinds = [sum(kind in line for line in gathered) for kind in ("row_add", "row_delete", "value_update")]
+    assert all(kinds), kinds
+
+
+def test_text_of_numbers_of_few_decimals(spark):
+    values = [0.001, 0.00099, 0.1, 1.25, 104948.05, 9999999.999999, 10000000.5, 1e7, -0.0, -3.5, 0.1 + 0.2, 1 / 3, 2.0e-3, 1e-5, float("nan"), float("inf")]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").selectExpr(cell_text("d", T.DoubleType())).collect()]
+    assert found == [str(int(v)) if v == v and abs(v) < 1e15 and v == int(v) else str(v) for v in values]
