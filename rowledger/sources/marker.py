@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowledger.functions.cells import literal, strip
+from rowledger.functions.cells import filled, literal, strip
 from rowledger.model import BODY, HEADER, LEADING, META, POSITION, TRAILING, TableSet, empty_set, small_frame
 from rowledger.sources.published import roots_of
 from rowledger.storage import write_once
@@ -72,7 +72,8 @@ def decoded(line: str, encoding: str) -> str:
     raw = f"decode(cast({line} as binary), 'ISO-8859-1')"
     return (
         f"case {encoding} when '{UTF8}' then {line}"
-        f" when '{CP1252}' then translate({raw}, {literal(LATIN1_CHARS)}, {literal(CP1252_CHARS)}) else {raw} end"
+        f" when '{CP1252}' then if({raw} rlike {literal('[' + LATIN1_CHARS + ']')},"
+        f" translate({raw}, {literal(LATIN1_CHARS)}, {literal(CP1252_CHARS)}), {raw}) else {raw} end"
     )
 
 
@@ -197,7 +198,7 @@ def _layout(files: DataFrame, lines: DataFrame) -> DataFrame:
     raw = "decode(cast(value as binary), 'ISO-8859-1')"
     marks = write_once(
         lines.selectExpr(
-            *OWNER, "pos", "mark", f"{strip('value')} <> '' and mark <> '*' as other",
+            *OWNER, "pos", "mark", f"{filled('value')} and mark <> '*' as other",
             "not is_valid_utf8(value) as invalid",
             f"not {plain} and {raw} rlike {literal('[' + UNDEFINED_CHARS + ']')} as undefined",
             "value",

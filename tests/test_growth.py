@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowledger.functions.cells import cell_text
+from rowledger.functions.cells import WHITE, cell_text, filled, literal, strip
 from rowledger.model import LOG_COLUMNS, META, TableSet, empty_set, from_dataframe, small_frame
 from rowledger.operators import diff as D
 from rowledger.operators.diff import diff_tables, key_bitmap, maybe_listed
@@ -14,6 +14,7 @@ from rowledger.operators.review import build_review
 from rowledger.plans import bindings as B
 from rowledger.plans import queries as Q
 from rowledger.sources import changelog as C
+from rowledger.sources.marker import decoded
 from rowledger.storage import write_once
 
 
@@ -171,3 +172,17 @@ def test_text_of_numbers_of_few_decimals(spark):
     values = [0.001, 0.00099, 0.1, 1.25, 104948.05, 9999999.999999, 10000000.5, 1e7, -0.0, -3.5, 0.1 + 0.2, 1 / 3, 2.0e-3, 1e-5, float("nan"), float("inf")]
     found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").selectExpr(cell_text("d", T.DoubleType())).collect()]
     assert found == [str(int(v)) if v == v and abs(v) < 1e15 and v == int(v) else str(v) for v in values]
+
+
+def test_ends_of_long_texts_are_found_without_a_search(spark):
+    plan = spark.range(1).selectExpr("concat(id, ' x ') as c").selectExpr(strip("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim" in plan
+    ends = ["", " ", "　\x85a b\xa0 \n", "\r\n x\x1c \x1f", "​ z ", "é ", "a\n\n"]
+    raw = [t.encode() for t in ends] + [b"\xe9  ", b"\xa0a", b" a\x85", b"*\xe9 ", b"\xc2", b" \xff "]
+    frame = spark.createDataFrame([(r,) for r in raw], "b binary").selectExpr("cast(b as string) as c")
+    old = f"regexp_replace(c, r'^{WHITE}+|{WHITE}+$', '')"
+    same = frame.selectExpr(f"hex({strip('c')}) = hex({old}) as stripped", f"{filled('c')} = ({old} <> '') as full").collect()
+    assert all(r.stripped and r.full for r in same), same
+    texts = spark.createDataFrame([(bytes(range(32, 256)),), (b"plain \xe9",)], "b binary").selectExpr("cast(b as string) as c")
+    got = [r[0] for r in texts.selectExpr(f"{decoded('c', literal('cp1252'))} as t").collect()]
+    assert got[1] == "plain é" and "€" in got[0] and "Ÿ" in got[0] and len(got[0]) == 224
