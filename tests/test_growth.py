@@ -186,3 +186,12 @@ def test_ends_of_long_texts_are_found_without_a_search(spark):
     texts = spark.createDataFrame([(bytes(range(32, 256)),), (b"plain \xe9",)], "b binary").selectExpr("cast(b as string) as c")
     got = [r[0] for r in texts.selectExpr(f"{decoded('c', literal('cp1252'))} as t").collect()]
     assert got[1] == "plain é" and "€" in got[0] and "Ÿ" in got[0] and len(got[0]) == 224
+
+
+def test_no_text_is_made_of_columns_that_are_only_compared(spark, monkeypatch):
+    plans = []
+    changed_keys = D.changed_keys
+    monkeypatch.setattr(D, "changed_keys", lambda b, a: plans.extend(s._jdf.queryExecution().optimizedPlan().toString() for s in (b, a)) or changed_keys(b, a))
+    old = spark.range(60).selectExpr("id as k", "timestamp_millis(id) as t", "id / 7 as d")
+    diff_tables(*(from_dataframe(old.where(c), "t", ["k"], change_request_id="CR") for c in ("k < 50", "k > 9")), B.control(spark).renames)
+    assert len(plans) == 2 and not any("date_format" in p for p in plans)
