@@ -188,6 +188,40 @@ def test_ends_of_long_texts_are_found_without_a_search(spark):
     assert got[1] == "plain é" and "€" in got[0] and "Ÿ" in got[0] and len(got[0]) == 224
 
 
+def _typed_sides(spark):
+    """Nulls that change places, numbers and times of one text, types that differ between the sides, repeated keys, null keys."""
+    old = spark.range(400).selectExpr(
+        "if(id % 50 = 7, null, if(id < 40, id div 4, id)) as k", "concat('0', id % 3) as k2", "if(id % 9 = 0, null, 'a') as v", "if(id % 9 = 0, 'a', null) as w",
+        "case id % 5 when 0 then -0.0D when 1 then double('nan') when 2 then null else id / 3 end as d",
+        "timestamp_millis(id * 1000) as t", "int(id % 7) as n", "id as line",
+    )
+    new = old.where("line % 31 <> 0").selectExpr(
+        "k", "k2", "if(line % 27 = 0, 'a', v) as v", "if(line % 27 = 0, null, w) as w", "if(line % 10 = 0, 0.0D, if(line % 10 = 3, d + 1, d)) as d",
+        "t + make_interval(0, 0, 0, 0, 0, 0, if(line % 2 = 0, 0.5, 2 * int(line % 11 = 0))) as t", "concat(n, '.0') as n", "line", "k2 as extra",
+    ).unionByName(old.where("line < 20").selectExpr("k + 5000 as k", "k2", "v", "w", "d", "t", "string(n) as n", "line", "'x' as extra"))
+    return [from_dataframe(df, "t", ["k", "k2"], change_request_id="CR_A", order_by="line") for df in (old, new)]
+
+
+def test_typed_frames_give_the_log_and_review_of_their_rows(spark, monkeypatch):
+    sides, none = _typed_sides(spark), B.control(spark).renames
+    assert all(s.frames for s in sides)
+
+    def found(sides):
+        result = diff_tables(*sides, none)
+        log = write_once(result.log, "log")
+        review = build_review(*sides, result.pairs, log, B.steps(spark))
+        return [sorted(map(str, df.collect())) for df in (log, review.grid, sides[0].keyed_rows())]
+
+    plain = found([s.with_tables() for s in sides])
+    assert len(plain[0]) > 400 and any("'a'" in line for line in plain[0])
+    assert found(sides) == plain
+    # long lists of keys, and more requests than get a column each
+    for module in (D, R):
+        monkeypatch.setattr(module, "LISTED_KEYS", 0)
+    monkeypatch.setattr(R, "SPREAD_STEPS", 0)
+    assert found(sides) == plain
+
+
 def test_no_text_is_made_of_columns_that_are_only_compared(spark, monkeypatch):
     plans = []
     changed_keys = D.changed_keys
@@ -195,3 +229,26 @@ def test_no_text_is_made_of_columns_that_are_only_compared(spark, monkeypatch):
     old = spark.range(60).selectExpr("id as k", "timestamp_millis(id) as t", "id / 7 as d")
     diff_tables(*(from_dataframe(old.where(c), "t", ["k"], change_request_id="CR") for c in ("k < 50", "k > 9")), B.control(spark).renames)
     assert len(plans) == 2 and not any("date_format" in p for p in plans)
+
+
+def test_changes_and_rows_of_a_key_are_brought_together_in_one_step_each(spark):
+    plan = _review(spark).grid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
+
+
+def test_review_over_two_requests_takes_the_latest_new_row_and_the_first_old_one(spark):
+    def tables(cr, rows):
+        frame = spark.createDataFrame(rows, "k string, v string, w string, line long")
+        return from_dataframe(frame, "t", ["k"], change_request_id=cr, order_by="line")
+
+    before = [tables("CR_A", [("1", "a", "b", 1), ("2", "c", "d", 2), ("1", "z", None, 3)]), tables("CR_B", [("1", "q", "r", 1), ("2", "s", "t", 2)])]
+    after = [tables("CR_A", [("1", "a2", "b", 1), ("3", "n", "m", 4)]), tables("CR_B", [("1", "q", "r9", 1)])]
+    before, after = B.union_sets(spark, before), B.union_sets(spark, after)
+    found = diff_tables(before, after, B.control(spark).renames)
+    grid = build_review(before, after, found.pairs, write_once(found.log, "log"), B.steps(spark)).grid
+    rows = {r.key_tuple: (r.status, r.cells) for r in grid.collect()}
+    # key 1 repeats on a side of CR_A, the only update of its w in CR_B is shown with its request
+    assert rows["3"] == ("ADD", ["3", "n", "m", "4"])
+    assert rows["2"][0] == "DELETE" and rows["2"][1][1] in ("s", "c")
+    assert rows["1"][0] == "" and rows["1"][1][2].endswith("updates, see change log")
+    assert len(rows) == 3
