@@ -222,6 +222,16 @@ def test_typed_frames_give_the_log_and_review_of_their_rows(spark, monkeypatch):
     assert found(sides) == plain
 
 
+def test_each_kind_of_changed_keys_has_a_bitmap_of_its_own(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(D, "LISTED_KEYS", 0)
+    monkeypatch.setattr(D, "key_bitmap", lambda keys, bits: made.append((keys.count(), bits)) or key_bitmap(keys, bits))
+    old = spark.range(60).selectExpr("if(id < 30, id div 3, id) as k", "id as v")
+    new = old.selectExpr("k", "v + int(k = 50 or k < 5) as v")
+    diff_tables(*(from_dataframe(df, "t", ["k"], change_request_id="CR") for df in (old, new)), B.control(spark).renames)
+    assert [n for n, _ in made] == [1, 10, 0]
+
+
 def test_no_text_is_made_of_columns_that_are_only_compared(spark, monkeypatch):
     plans = []
     changed_keys = D.changed_keys
